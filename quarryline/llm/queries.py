@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op9_quality_rules
+from . import op1_fingerprint, op5_language_id, op7_url_filter, op9_quality_rules
 
-MODULES = (op9_quality_rules,)
+MODULES = (op1_fingerprint, op5_language_id, op7_url_filter, op9_quality_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
