@@ -43,14 +43,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of the base and of its inverse modulo 2**64, kept for the worker's life."""
     kept = cache()
     if len(kept.get("powers", ((),))[0]) <= n:
-        size = max(n + 1, 1 << 16)
-        size = 1 << (size - 1).bit_length()
+        size = max(n + n // 4, 1 << 16)
         both = []
         for b in (BASE, pow(BASE, -1, 1 << 64)):
             p = np.full(size, b, U)
             p[0] = 1
             both.append(np.multiply.accumulate(p))
-        if size > 4 * SLICE_BYTES:
+        if size > 4 * SLICE_BYTES:  # for one very long text; not worth keeping
             return both[0], both[1]
         kept["powers"] = (both[0], both[1])
     return kept["powers"]
