@@ -32,7 +32,7 @@ FRAGMENTS = 8
 #: share one before it is counted.
 FREQUENT, SHARED = 1 << 18, 3
 #: A group of up to so many classes is expanded into all pairs at once.
-SMALL_GROUP = 5
+SMALL_GROUP = 64
 #: Most candidates that are broadcast to select their texts; beyond it they are joined.
 BROADCAST_IDS = 1_000_000
 ENTRY = np.dtype([("gram", "<u4"), ("set", "<i8"), ("n", "<u4")])
@@ -106,7 +106,8 @@ def described(docs: DataFrame) -> DataFrame:
 
 
 def prefix_groups(docs: DataFrame, frequent, parts: int) -> DataFrame:
-    """Pairs (a, b, na, nb) of set digests that meet at a prefix n-gram, and members (grp, a, na) of the groups that were not expanded."""
+    """Pairs (a, b) of set digests that meet at prefix n-grams, with the number n of those (several rows for a pair, to be summed), and
+    members (grp, a, size n) of the groups that were not expanded."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, rank = frequent.value
@@ -154,27 +155,29 @@ def prefix_groups(docs: DataFrame, frequent, parts: int) -> DataFrame:
         e = e[new]
         heads = np.flatnonzero(np.concatenate(([True], e["gram"][1:] != e["gram"][:-1])))
         sizes = np.diff(np.append(heads, len(e)))
-        left, right, groups, members = [], [], [], []
+        left, right, groups, members, shared = [], [], [], [], []
         for size in range(2, SMALL_GROUP + 1):
             at = heads[sizes == size]
-            for i in range(size):
-                for j in range(i + 1, size):
-                    left.append(at + i)
-                    right.append(at + j)
+            if len(at):
+                i, j = np.triu_indices(size, 1)
+                left.append((at[:, None] + i).ravel())
+                right.append((at[:, None] + j).ravel())
+                shared.append(np.ones(len(left[-1]), np.int64))
         for head, size in zip(heads[sizes > SMALL_GROUP].tolist(), sizes[sizes > SMALL_GROUP].tolist(), strict=True):
             own = np.arange(head, head + size)
             left += [own[:-1], np.full(size - 2, head)]
             right += [own[1:], own[2:]]
+            shared.append(np.zeros(2 * size - 3, np.int64))  # these are counted as members
             groups.append(np.full(size, (part << 32) | int(e["gram"][head])))
             members.append(own)
         if left:
             a, b = np.concatenate(left), np.concatenate(right)
             near = 5 * e["n"][a].astype(np.int64) >= 4 * e["n"][b].astype(np.int64)  # sorted by size, so b has at least as many
-            a, b = e[a[near]], e[b[near]]
-            pairs = np.stack((np.minimum(a["set"], b["set"]), np.maximum(a["set"], b["set"])), axis=1)
+            sets, number = np.unique(e["set"], return_inverse=True)
+            a, b, shared = number[a[near]], number[b[near]], np.concatenate(shared)[near]
+            pairs, which = np.unique(np.minimum(a, b) * len(sets) + np.maximum(a, b), return_inverse=True)
             if len(pairs):
-                pairs = np.unique(pairs, axis=0)
-                yield record(grp=pa.nulls(len(pairs), pa.int64()), a=pairs[:, 0].copy(), b=pairs[:, 1].copy(), n=pa.nulls(len(pairs), pa.int64()))
+                yield record(grp=pa.nulls(len(pairs), pa.int64()), a=sets[pairs // len(sets)], b=sets[pairs % len(sets)], n=np.bincount(which, shared).astype(np.int64))
         if members:
             own = e[np.concatenate(members)]
             yield record(grp=np.concatenate(groups), a=own["set"].copy(), b=pa.nulls(len(own), pa.int64()), n=own["n"].astype(np.int64))
@@ -205,12 +208,14 @@ def linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, frequent) -> D
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists], dtype=np.int64))).astype(np.int32)
         return record(doc=pa.array(doc, pa.int64()), fragment=pa.array(fragment, pa.int32()), segment=pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
 
-    segments = map_slices(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), cut, "doc long, fragment int, segment array<long>")
+    segments = map_slices(docs.join(ids, "doc_id", "left_semi"), cut, "doc long, fragment int, segment array<long>")
     wide = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
     one = wide.join(segments.select(F.col("doc").alias("a"), "fragment", F.col("segment").alias("x")), ["a", "fragment"])
     two = one.join(segments.select(F.col("doc").alias("b"), "fragment", F.col("segment").alias("y")), ["b", "fragment"])
-    partial = two.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("overlap"))
-    total = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
+    partial = two.select("a", "b", "fragment", F.size(F.array_intersect("x", "y")).cast("long").alias("overlap"))
+    # At most one count for each fragment; a set, as rows of a document may repeat.
+    counts = F.collect_set(F.struct("fragment", "overlap"))
+    total = partial.groupBy("a", "b").agg(F.aggregate(counts, F.lit(0).cast("long"), lambda acc, x: acc + x["overlap"]).alias("overlap"))
     sizes = classes.select("rep", "n")
     total = total.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
     return total.where("100 * overlap >= 80 * (na + nb - overlap)").select("a", "b")
@@ -234,20 +239,34 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     frequent = spark.sparkContext.broadcast((hot[order], np.arange(len(hot), 0, -1)[order]))  # the most frequent one comes last
     classes = stored(sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
     met = stored(prefix_groups(docs, frequent, parts), "met")
-    by_rep = lambda side: classes.select(F.col("key").alias(side), F.col("rep").alias(f"{side}_rep"))
-    pairs = met.where("grp IS NULL").select("a", "b").distinct().join(by_rep("a"), "a").join(by_rep("b"), "b")
-    pairs = stored(pairs.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).where("a IS NOT NULL AND b IS NOT NULL"), "pairs")
+    counted = met.where("grp IS NULL").groupBy("a", "b").agg(F.sum("n").alias("shared"))
+    grouped = met.where("grp IS NOT NULL")
+    # Of each class: document, size, and its prefix n-grams in groups that were not expanded.
+    infos = stored(classes.join(grouped.groupBy(F.col("a").alias("key")).agg(F.count("*").alias("more")), "key", "left").na.fill(0, ["more"]), "infos")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Pairs of documents that may be similar enough: what they share at most is what their prefixes share and the longer rest."""
+        both = pairs
+        for side in ("a", "b"):
+            both = both.join(infos.select(F.col("key").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "more"))), side)
+        need = F.floor((4 * (F.col("n_a") + F.col("n_b")) + 8) / 9)
+        rest = F.floor((4 * F.greatest("n_a", "n_b") + 4) / 5) - 1
+        both = both.where((F.col("shared") + F.least("more_a", "more_b") + rest >= need) & F.col("rep_a").isNotNull() & F.col("rep_b").isNotNull())
+        return both.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+
+    pairs = stored(possible(counted), "pairs")
     links = stored(linked(docs, pairs, classes, frequent), "links")
     stars = components(links)
     # Groups that were not expanded and still fall into several components.
-    members = met.where("grp IS NOT NULL").select("grp", F.col("a").alias("key"), "n").join(classes.select("key", "rep"), "key")
-    members = members.join(stars, members["rep"] == stars["node"], "left").select("grp", "rep", "n", F.coalesce("root", "rep").alias("root"))
+    members = grouped.select("grp", F.col("a").alias("key"), "n").join(classes.select("key", "rep"), "key").where("rep IS NOT NULL")
+    members = members.join(stars, members["rep"] == stars["node"], "left").select("grp", "key", "n", F.coalesce("root", "rep").alias("root"))
     members = stored(members, "members")
     mixed = members.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("grp")
     rest = members.join(mixed, "grp", "left_semi")
-    one, two = (rest.select("grp", *(F.col(c).alias(f"{c}{i}") for c in ("rep", "n", "root"))) for i in (1, 2))
+    one, two = (rest.select("grp", *(F.col(c).alias(f"{c}{i}") for c in ("key", "n", "root"))) for i in (1, 2))
     more = one.join(two, "grp").where("root1 < root2 AND 5 * n1 >= 4 * n2 AND 5 * n2 >= 4 * n1")
-    more = stored(more.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+    more = more.select(F.least("key1", "key2").alias("a"), F.greatest("key1", "key2").alias("b")).distinct().join(counted, ["a", "b"], "left").na.fill(0, ["shared"])
+    more = stored(possible(more).join(pairs, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         stars = components(links.union(linked(docs, more, classes, frequent)))
     roots = classes.join(stars, classes["rep"] == stars["node"], "left").select("key", F.coalesce("root", "rep").alias("component"))
