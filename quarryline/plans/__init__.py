@@ -1,3 +1,3 @@
 """Query plans over the test tables, each with its DuckDB counterpart."""
 
-from . import queries  # noqa: F401
+from . import models, queries  # noqa: F401
