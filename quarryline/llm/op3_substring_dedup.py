@@ -115,18 +115,24 @@ def repeated_anchors(docs: DataFrame, parts: int, hot: int) -> tuple[np.ndarray,
     out = np.zeros((parts, bits // 8), np.uint8)
     often = [np.zeros(0, U)]
     # FILTER_BITS in all, and at most as many hot anchors as HOT_SHARE allows.
-    for r in dealt.mapInArrow(judge, "part int, bits binary, hot binary").toLocalIterator():
+    for r in dealt.mapInArrow(judge, "part int, bits binary, hot binary").collect():
         out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
         often.append(np.frombuffer(r["hot"], U))
     return out, np.sort(np.concatenate(often))
 
 
-def first_of(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Whether each entry is the first one of its key in the given order of entries."""
-    _, which = np.unique(keys[order], return_index=True)
-    out = np.zeros(len(keys), bool)
-    out[order[which]] = True
-    return out
+def copies(keys: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries come first of their key by (doc, start), and which are copies of them at another place.
+
+    Entries at the first one's own place, from rows that repeat a document, are neither.
+    """
+    order = np.lexsort((start, doc))
+    _, which, number = np.unique(keys[order], return_index=True, return_inverse=True)
+    lead = np.empty(len(order), np.int64)
+    lead[order] = order[which][number]
+    first = np.zeros(len(keys), bool)
+    first[order[which]] = True
+    return first, (doc != doc[lead]) | (start != start[lead])
 
 
 def spans(doc: np.ndarray, start: np.ndarray, windows: np.ndarray) -> tuple[list, list[bytes]]:
@@ -143,9 +149,8 @@ def searched(seg: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray
     begin = np.concatenate(([0], np.cumsum(seg["words"], dtype=np.int64)))
     upto = np.concatenate((np.zeros(1, U), np.cumsum(mix(words), dtype=U)))
     digest = mix((upto[begin[1:]] - upto[begin[:-1]]) ^ (words[begin[:-1]] * U(3)) ^ (words[begin[1:] - 1] << U(7)) ^ (seg["words"].astype(U) << U(56)))
-    keep = first_of(digest, np.lexsort((seg["start"], seg["doc"])))
-    copies = seg[~keep]
-    out = [(copies["doc"], copies["start"].astype(np.int64), copies["words"].astype(np.int64) - WINDOW + 1)]
+    keep, later = copies(digest, seg["doc"], seg["start"])
+    out = [(seg["doc"][later], seg["start"][later].astype(np.int64), seg["words"][later].astype(np.int64) - WINDOW + 1)]
     begin, seg = begin[:-1][keep], seg[keep]
     size = seg["words"].astype(np.int64)
     order = np.argsort(-size, kind="stable")
@@ -203,8 +208,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             doc, start, count, route, digest = (np.concatenate([h[i] for h in held]) for i in range(5))
             words = np.concatenate([h[5] for h in held])
             begin = np.cumsum(count) - count
-            keep = first_of(digest, np.lexsort((start, doc)))
-            ids, raw = spans(doc[~keep], start[~keep], count[~keep] - WINDOW + 1)
+            keep, later = copies(digest, doc, start)
+            ids, raw = spans(doc[later], start[later], count[later] - WINDOW + 1)
             if ids:
                 yield record(part=pa.array([i % parts for i in ids], pa.int32()), doc_id=pa.array(ids, pa.int64()), spans=blobs(raw), low=pa.nulls(len(ids), pa.binary()), high=pa.nulls(len(ids), pa.binary()))
             at = np.flatnonzero(keep)
