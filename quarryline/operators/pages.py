@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -125,8 +126,9 @@ def every_nth(pages: DataFrame, n: int, *order: str) -> DataFrame:
     Rows are numbered without bringing them to one task: the ranges of a sort are counted, then numbered with their offsets.
     """
     spark = pages.sparkSession
-    ranged = pages.sortWithinPartitions(*order) if pages.rdd.getNumPartitions() == 1 else pages.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = ranged.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
+    ranged = pages.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
+    # Kept, as the bounds of ranges come from a sample and both uses must see the same ones.
+    ranged = ranged.persist(StorageLevel.DISK_ONLY)
     counts = ranged.groupBy("_part").agg(F.count("*").alias("n"))
     # One number for each partition.
     at, starts = 0, []
