@@ -33,8 +33,8 @@ FILTER_BITS = 1 << 27
 #: An anchor with more segments than this and than this share of all rows is cut into windows; the share bounds the list of them.
 HOT, HOT_SHARE = 256, 20_000
 #: Text that a task gathers before it deals out its segments, and words of an index.
-GATHER_BYTES = 48 << 20
-INDEX_WORDS = 1 << 20
+GATHER_BYTES = 12 << 20
+INDEX_WORDS = 1 << 19
 SEGMENT = np.dtype([("doc", "<i8"), ("start", "<u4"), ("words", "<u4"), ("route", "<u4")])
 
 
