@@ -6,7 +6,7 @@ fragment. Overlaps are counted for each fragment on its own and summed for each
 
 Steps: (1) documents with equal sets form a class, and one of them stands for it; (2) two sets that are similar enough share an n-gram
 among the first ones of either in the global order (prefix filter), so those n-grams are dealt out with the classes that start with
-them, and classes that meet are candidates; (3) partial overlaps are counted for candidates. As the result is the components of the
+them, and classes that meet are candidates, unless a bound shows that they can't share enough; (3) partial overlaps are counted for candidates. As the result is the components of the
 links, a group of many classes that meet at one n-gram isn't expanded into all pairs at first: each class is compared with its
 neighbour by size and with the group's first one, and only where these leave more than one component in the group, pairs of different
 components are compared as well. So no link is lost, and a group of near copies costs as many comparisons as it has members.
@@ -27,14 +27,16 @@ from .scan import Texts, U, blobs, documents, grams, map_slices, mix, read_table
 #: Words of an n-gram.
 N = 5
 #: Fragments of the global order; the last one holds the frequent n-grams.
-FRAGMENTS = 8
+FRAGMENTS = 4
 #: Most n-grams in the list of frequent ones (its order is all that depends on it), and how many documents of a slice of text must
 #: share one before it is counted.
 FREQUENT, SHARED = 1 << 18, 3
+#: Bits of a set's parity bitmap. Two bitmaps differ in as many bits at most as the sets differ in n-grams, whatever the number of bits.
+BITS = 2048
 #: A group of up to so many classes is expanded into all pairs at once.
 SMALL_GROUP = 64
 #: Most candidates that are broadcast to select their texts; beyond it they are joined.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
 ENTRY = np.dtype([("gram", "<u4"), ("set", "<i8"), ("n", "<u4")])
 
 
@@ -72,6 +74,19 @@ def digests(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return mix((sums[ptr[1:]] - sums[ptr[:-1]]) ^ (np.diff(ptr).astype(U) << U(40))).view(np.int64)
 
 
+def bitmaps(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    """For each row BITS bits as 64-bit numbers: whether an odd number of its n-grams falls on a bit."""
+    n = len(ptr) - 1
+    out = np.zeros((n, BITS // 64), np.int64)
+    place = (mix(values ^ U(0x2545F491)) % U(BITS)).astype(np.int64)
+    for a in range(0, n, 256):
+        b = min(n, a + 256)
+        row = np.repeat(np.arange(b - a), np.diff(ptr[a : b + 1]))
+        odd = np.bincount(row * BITS + place[ptr[a] : ptr[b]], minlength=(b - a) * BITS) & 1
+        out[a:b] = np.packbits(odd.astype(np.uint8).reshape(b - a, BITS), axis=1).view(np.int64)
+    return out
+
+
 def ordered(x: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
     """A row's n-grams in the global order, and how many of them aren't frequent. ``frequent`` is sorted."""
     if not len(frequent):
@@ -85,7 +100,7 @@ def ordered(x: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.n
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """One row (doc_id, key = digest of the set, n) for each document, and rows (key = n-gram, n = documents, frequent = true)."""
+    """One row (doc_id, key = digest of the set, n, bits = its bitmap) for each document, and rows (key = n-gram, n = documents, frequent = true)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared: dict[int, int] = {}
@@ -93,16 +108,17 @@ def described(docs: DataFrame) -> DataFrame:
             for part, texts in slices(batch):
                 values, ptr = gram_sets(texts)
                 keys = digests(values, ptr)
-                yield record(doc_id=part.column(0), key=keys, n=np.diff(ptr), frequent=np.zeros(len(keys), bool))
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * (BITS // 64)), pa.array(bitmaps(values, ptr).ravel()))
+                yield record(doc_id=part.column(0), key=keys, n=np.diff(ptr), bits=bits, frequent=np.zeros(len(keys), bool))
                 _, one = np.unique(keys, return_index=True)
                 some, count = np.unique(np.concatenate([values[ptr[i] : ptr[i + 1]] for i in one]), return_counts=True) if len(one) > 1 else ((), ())
                 if len(some):
                     for g, c in zip(some[count >= SHARED].view(np.int64).tolist(), count[count >= SHARED].tolist(), strict=True):
                         shared[g] = shared.get(g, 0) + c
         if shared:
-            yield record(doc_id=pa.nulls(len(shared), pa.int64()), key=pa.array(list(shared), pa.int64()), n=pa.array(list(shared.values()), pa.int64()), frequent=np.ones(len(shared), bool))
+            yield record(doc_id=pa.nulls(len(shared), pa.int64()), key=pa.array(list(shared), pa.int64()), n=pa.array(list(shared.values()), pa.int64()), bits=pa.nulls(len(shared), pa.list_(pa.int64())), frequent=np.ones(len(shared), bool))
 
-    return docs.mapInArrow(run, "doc_id long, key long, n long, frequent boolean")
+    return docs.mapInArrow(run, "doc_id long, key long, n long, bits array<long>, frequent boolean")
 
 
 def prefix_groups(docs: DataFrame, frequent, parts: int) -> DataFrame:
@@ -135,7 +151,7 @@ def prefix_groups(docs: DataFrame, frequent, parts: int) -> DataFrame:
                     first = ordered(values[a:b], hot, rank)[0][: n - (4 * n + 4) // 5 + 1]
                     held.append((first, np.full(len(first), key), np.full(len(first), n)))
                     size += len(first)
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield flush()
                     size = 0
         if held:
@@ -237,7 +253,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     hot = top["key"].to_numpy(np.int64).view(U)
     order = np.argsort(hot)
     frequent = spark.sparkContext.broadcast((hot[order], np.arange(len(hot), 0, -1)[order]))  # the most frequent one comes last
-    classes = stored(sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
+    sized = known.where("NOT frequent AND n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bits").alias("bits"))
+    classes = stored(sized, "classes")
     met = stored(prefix_groups(docs, frequent, parts), "met")
     counted = met.where("grp IS NULL").groupBy("a", "b").agg(F.sum("n").alias("shared"))
     grouped = met.where("grp IS NOT NULL")
@@ -245,17 +262,32 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     infos = stored(classes.join(grouped.groupBy(F.col("a").alias("key")).agg(F.count("*").alias("more")), "key", "left").na.fill(0, ["more"]), "infos")
 
     def possible(pairs: DataFrame) -> DataFrame:
-        """Pairs of documents that may be similar enough: what they share at most is what their prefixes share and the longer rest."""
+        """Pairs of documents that may be similar enough: what they share at most is what their prefixes share and the longer rest, and
+        what they differ in at least is what their bitmaps differ in."""
         both = pairs
         for side in ("a", "b"):
-            both = both.join(infos.select(F.col("key").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "more"))), side)
+            both = both.join(infos.select(F.col("key").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "more", "bits"))), side)
         need = F.floor((4 * (F.col("n_a") + F.col("n_b")) + 8) / 9)
         rest = F.floor((4 * F.greatest("n_a", "n_b") + 4) / 5) - 1
         both = both.where((F.col("shared") + F.least("more_a", "more_b") + rest >= need) & F.col("rep_a").isNotNull() & F.col("rep_b").isNotNull())
-        return both.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+        differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+        both = both.where(differ <= F.col("n_a") + F.col("n_b") - 2 * need)
+        shared = F.col("shared") + F.least("more_a", "more_b")
+        return both.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), shared.alias("shared"))
+
+    def apart(pairs: DataFrame, stars: DataFrame) -> DataFrame:
+        """Pairs of different components."""
+        for side in ("a", "b"):
+            pairs = pairs.join(stars.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+        return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
     pairs = stored(possible(counted), "pairs")
-    links = stored(linked(docs, pairs, classes, frequent), "links")
+    # At first each document with the one that shares most with it and with the smallest one that it meets: that links most groups.
+    ends = pairs.union(pairs.select("b", "a", "shared"))
+    best = ends.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("most"), F.min("b").alias("least"))
+    chosen = best.select("a", F.explode(F.array("most.b", "least")).alias("b"))
+    chosen = stored(chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "chosen")
+    links = stored(linked(docs, chosen, classes, frequent), "links")
     stars = components(links)
     # Groups that were not expanded and still fall into several components.
     members = grouped.select("grp", F.col("a").alias("key"), "n").join(classes.select("key", "rep"), "key").where("rep IS NOT NULL")
@@ -266,7 +298,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     one, two = (rest.select("grp", *(F.col(c).alias(f"{c}{i}") for c in ("key", "n", "root"))) for i in (1, 2))
     more = one.join(two, "grp").where("root1 < root2 AND 5 * n1 >= 4 * n2 AND 5 * n2 >= 4 * n1")
     more = more.select(F.least("key1", "key2").alias("a"), F.greatest("key1", "key2").alias("b")).distinct().join(counted, ["a", "b"], "left").na.fill(0, ["shared"])
-    more = stored(possible(more).join(pairs, ["a", "b"], "left_anti"), "more")
+    # Then all others that are still in different components.
+    more = apart(pairs.select("a", "b"), stars).union(possible(more).select("a", "b")).distinct().join(chosen, ["a", "b"], "left_anti")
+    more = stored(more, "more")
     if not more.isEmpty():
         stars = components(links.union(linked(docs, more, classes, frequent)))
     roots = classes.join(stars, classes["rep"] == stars["node"], "left").select("key", F.coalesce("root", "rep").alias("component"))
