@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -261,17 +261,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # Of each class: document, size, and its prefix n-grams in groups that were not expanded.
     infos = stored(classes.join(grouped.groupBy(F.col("a").alias("key")).agg(F.count("*").alias("more")), "key", "left").na.fill(0, ["more"]), "infos")
 
+    need = lambda na, nb: F.floor((4 * (F.col(na) + F.col(nb)) + 8) / 9)
+
+    def differ(a: str, b: str) -> Column:
+        """In how many bits two bitmaps differ: in that many n-grams at least the sets do."""
+        return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+
     def possible(pairs: DataFrame) -> DataFrame:
         """Pairs of documents that may be similar enough: what they share at most is what their prefixes share and the longer rest, and
         what they differ in at least is what their bitmaps differ in."""
         both = pairs
         for side in ("a", "b"):
             both = both.join(infos.select(F.col("key").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "more", "bits"))), side)
-        need = F.floor((4 * (F.col("n_a") + F.col("n_b")) + 8) / 9)
         rest = F.floor((4 * F.greatest("n_a", "n_b") + 4) / 5) - 1
-        both = both.where((F.col("shared") + F.least("more_a", "more_b") + rest >= need) & F.col("rep_a").isNotNull() & F.col("rep_b").isNotNull())
-        differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-        both = both.where(differ <= F.col("n_a") + F.col("n_b") - 2 * need)
+        both = both.where((F.col("shared") + F.least("more_a", "more_b") + rest >= need("n_a", "n_b")) & F.col("rep_a").isNotNull() & F.col("rep_b").isNotNull())
+        both = both.where(differ("bits_a", "bits_b") <= F.col("n_a") + F.col("n_b") - 2 * need("n_a", "n_b"))
         shared = F.col("shared") + F.least("more_a", "more_b")
         return both.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), shared.alias("shared"))
 
@@ -293,10 +297,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     members = grouped.select("grp", F.col("a").alias("key"), "n").join(classes.select("key", "rep"), "key").where("rep IS NOT NULL")
     members = members.join(stars, members["rep"] == stars["node"], "left").select("grp", "key", "n", F.coalesce("root", "rep").alias("root"))
     members = stored(members, "members")
-    mixed = members.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("grp")
-    rest = members.join(mixed, "grp", "left_semi")
-    one, two = (rest.select("grp", *(F.col(c).alias(f"{c}{i}") for c in ("key", "n", "root"))) for i in (1, 2))
-    more = one.join(two, "grp").where("root1 < root2 AND 5 * n1 >= 4 * n2 AND 5 * n2 >= 4 * n1")
+    # In each, all classes but those of its largest component meet the group's other components; so a group that is linked but for a
+    # few classes costs as many pairs as these have partners.
+    sizes = members.groupBy("grp", "root").agg(F.count("*").alias("size")).groupBy("grp").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("roots"))
+    mixed = stored(sizes.where("roots > 1").select("grp", F.col("top.root").alias("main")), "mixed")
+    mixed = F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed
+    rest = stored(members.join(mixed, "grp").join(infos.select("key", "bits"), "key"), "rest")
+    one, two = (rest.select("grp", "main", *(F.col(c).alias(f"{c}{i}") for c in ("key", "n", "root", "bits"))) for i in (1, 2))
+    # The bitmaps are compared in the join's condition, so only pairs that may be similar come out of it.
+    other = F.expr("root1 <> root2 AND (root2 = main OR root1 < root2) AND 5 * n1 >= 4 * n2 AND 5 * n2 >= 4 * n1")
+    close = differ("bits1", "bits2") <= F.col("n1") + F.col("n2") - 2 * need("n1", "n2")
+    one, two = one.where("root1 <> main"), two.drop("main").withColumnRenamed("grp", "grp2")
+    more = one.join(two, (F.col("grp") == F.col("grp2")) & other & close)
     more = more.select(F.least("key1", "key2").alias("a"), F.greatest("key1", "key2").alias("b")).distinct().join(counted, ["a", "b"], "left").na.fill(0, ["shared"])
     # Then all others that are still in different components.
     more = apart(pairs.select("a", "b"), stars).union(possible(more).select("a", "b")).distinct().join(chosen, ["a", "b"], "left_anti")
