@@ -6,6 +6,7 @@ as UTF-8 never uses those values inside a character.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
@@ -28,6 +29,17 @@ def cache() -> dict:
     return sys.modules.setdefault("_quarryline_cache", types.ModuleType("_quarryline_cache")).__dict__
 
 
+def lean() -> None:
+    """Lets the worker give large arrays back to the system when they are freed (the allocator would keep them for later)."""
+    kept = cache()
+    if not kept.get("lean"):
+        kept["lean"] = True
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(-3, 1 << 20)  # arrays from 1 MB on are mapped on their own
+            libc.mallopt(-1, 8 << 20)  # and at most 8 MB stay on top of the heap
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x.astype(U, copy=True)
@@ -156,6 +168,7 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Parts of a batch with at most ``size`` bytes of text each, unless one row alone has more."""
+    lean()
     data, offsets = texts_of(batch.column(batch.schema.get_field_index(column)))
     at = 0
     while at < batch.num_rows:
