@@ -137,9 +137,11 @@ def copies(keys: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.nda
 
 def spans(doc: np.ndarray, start: np.ndarray, windows: np.ndarray) -> tuple[list, list[bytes]]:
     """Spans of removed windows by document: ids, and bytes of (first word, number of windows) pairs."""
+    if not len(doc):
+        return [], []
     order = np.lexsort((start, doc))
     doc, pair = doc[order], np.stack((start[order], windows[order]), axis=1).astype("<u4")
-    head = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
+    head = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
     ends = np.append(head[1:], len(doc))
     return doc[head].tolist(), [pair[a:b].tobytes() for a, b in zip(head.tolist(), ends.tolist(), strict=True)]
 

@@ -157,6 +157,15 @@ def test_substring_dedup_of_little(spark):
     assert got(op3.substring_dedup(edge.no_id(spark)).where("doc_id IS NOT NULL")) == dedup_brute([r[:2] for r in edge.rows()])
 
 
+def test_substring_dedup_of_unequal_windows():
+    """Segments that share an anchor but no window: nothing is reported."""
+    seg = np.zeros(2, op3.SEGMENT)
+    seg["doc"], seg["words"] = [1, 2], 20
+    words = np.arange(40).astype(np.uint64)
+    words[20:30] = words[:10]
+    assert op3.spans(*op3.searched(seg, words)) == ([], [])
+
+
 def test_index_counts_patterns():
     r = np.random.default_rng(1)
     text = np.append(r.integers(2, 6, 400), 1)  # a text ends with a separator, which no pattern has
