@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .scan import Texts, U, blobs, documents, grams, mix, ranges, read_table, record, slices, spread, starts_within
+from .scan import Texts, U, blobs, documents, grams, mix, powers, ranges, read_table, record, slices, spread, starts_within
 
 WINDOW, GRAM = 20, 5
 #: Bits of the filter of repeated anchors.
@@ -121,6 +121,13 @@ def repeated_anchors(docs: DataFrame, parts: int, hot: int) -> tuple[np.ndarray,
     return out, np.sort(np.concatenate(often))
 
 
+def digests(words: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Hash of the ``count`` words from place ``first`` on, in their order and wherever they stand."""
+    up, down = powers(len(words))
+    upto = np.concatenate((np.zeros(1, U), np.cumsum(mix(words) * up[: len(words)], dtype=U)))
+    return mix((upto[first + count] - upto[first]) * down[first] ^ count.astype(U) << U(56))
+
+
 def copies(keys: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which entries come first of their key by (doc, start), and which are copies of them at another place.
 
@@ -149,9 +156,7 @@ def spans(doc: np.ndarray, start: np.ndarray, windows: np.ndarray) -> tuple[list
 def searched(seg: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans (document, first word, windows) of the windows of some segments that also start earlier in one of them."""
     begin = np.concatenate(([0], np.cumsum(seg["words"], dtype=np.int64)))
-    upto = np.concatenate((np.zeros(1, U), np.cumsum(mix(words), dtype=U)))
-    digest = mix((upto[begin[1:]] - upto[begin[:-1]]) ^ (words[begin[:-1]] * U(3)) ^ (words[begin[1:] - 1] << U(7)) ^ (seg["words"].astype(U) << U(56)))
-    keep, later = copies(digest, seg["doc"], seg["start"])
+    keep, later = copies(digests(words, begin[:-1], np.diff(begin)), seg["doc"], seg["start"])
     out = [(seg["doc"][later], seg["start"][later].astype(np.int64), seg["words"][later].astype(np.int64) - WINDOW + 1)]
     begin, seg = begin[:-1][keep], seg[keep]
     size = seg["words"].astype(np.int64)
@@ -245,8 +250,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                     windows = np.where(many, 1, np.repeat(windows, each))
                     route[many] = grams(words, WINDOW)[first[many]]
                 count = windows + WINDOW - 1
-                upto = np.concatenate((np.zeros(1, U), np.cumsum(mix(words), dtype=U)))
-                digest = mix((upto[first + count] - upto[first]) ^ words[first] * U(3) ^ (words[first + count - 1] << U(7))) ^ route
+                digest = digests(words, first, count) ^ route
                 ptr = texts.words()[2]
                 doc = part.column(0).to_numpy()[row]
                 held.append((doc, first - ptr[row], count, route, digest, words[ranges(first, count)]))
@@ -313,7 +317,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     A null or empty text has no words and the digest of an empty text; one with fewer than 20 words loses nothing. doc_id names a
     document: rows that repeat one with the same text get the same result and don't count as earlier occurrences of each other. A
     row without doc_id keeps all words and removes none elsewhere. An empty table gives an empty result. Words are compared by 40 bits
-    of a hash, windows so by 20 times 40.
+    of a hash, windows so by 20 times 40, and whole segments that are copies by 64 bits that tell the order of their words.
     """
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

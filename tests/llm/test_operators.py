@@ -166,6 +166,32 @@ def test_substring_dedup_of_unequal_windows():
     assert op3.spans(*op3.searched(seg, words)) == ([], [])
 
 
+def swapped_rows():
+    """Near copies whose inner words stand in another order, then copies of these; also tables of few distinct words."""
+    words, out = edge.prose(11, 60).split(), []
+    for i in (None, *range(3, 56)):
+        w = list(words)
+        if i is not None:
+            w[i], w[i + 1] = w[i + 1], w[i]
+        out.append(" ".join(w))
+    bits = ["".join(r) for r in itertools.product("01", repeat=4)]
+    out += [" ".join(["x", "y", "z", "v", "w", *b, *b[::-1], *"0110100110010110", "k"]) for b in bits]
+    return [(i, t) for i, t in enumerate(out + out[5:60:7])]
+
+
+@pytest.mark.parametrize("hot", [256, 2])
+def test_substring_dedup_tells_the_order_of_words(spark, monkeypatch, hot):
+    monkeypatch.setattr(op3, "HOT", hot)
+    rows = swapped_rows()
+    assert got(op3.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == dedup_brute(rows)
+
+
+def test_digests_tell_the_order_of_words():
+    words = np.array([5, 1, 2, 3, 9, 5, 2, 1, 3, 9, 5, 1, 2, 3, 9], np.uint64)
+    a, b, c = op3.digests(words, np.array([0, 5, 10]), np.array([5, 5, 5]))
+    assert a == c != b
+
+
 def test_index_counts_patterns():
     r = np.random.default_rng(1)
     text = np.append(r.integers(2, 6, 400), 1)  # a text ends with a separator, which no pattern has
