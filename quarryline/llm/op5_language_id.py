@@ -2,13 +2,16 @@
 
 A text becomes a vector of hashed byte n-grams (1 to 3 bytes of lower-cased letters, anything between words as one space), weighted by TF-IDF and scaled to length 1. Each
 language has several centroids (spherical k-means), and a text gets the language of the centroid with the largest cosine. A text
-whose cosine is far below what training texts of that centroid show is marked as not accepted (distance-based rejection).
+whose cosine is below what labelled texts of that language show is marked as not accepted (distance-based rejection). The floors are
+calibrated by cross-fitting: centroids of one half of the labelled rows, cosines of the other half and of short pieces of it. Cosines
+grow with the number of distinct n-grams, so each size of a text has its own floor.
 
 The model is fitted on a bounded sample of labelled rows: about ``PER_LANGUAGE`` for each language, chosen by a hash of doc_id.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +27,12 @@ LANGUAGES = 200
 CENTROIDS = 4
 #: Length of the hashed vectors.
 SIZE = 4096
-#: A text is rejected when its cosine is below this share of the centroid's least training cosine.
-SLACK = 0.05
+#: A text is rejected when its cosine is below this share of a low quantile of the cosines of labelled texts of its language and size.
+SLACK, QUANTILE = 0.8, 0.01
+#: Sizes are powers of two of the number of distinct n-grams; a floor is taken from at least so many texts.
+SIZES, LEAST = 13, 40
+#: Bytes of the pieces of labelled texts that stand for short texts; one piece of each, in turn.
+PIECES = (8, 16, 32, 64, 128, 256)
 
 
 @dataclass
@@ -33,7 +40,7 @@ class Model:
     languages: list[str]  # of each centroid
     idf: np.ndarray
     centroids: np.ndarray  # SIZE x number of centroids
-    floors: np.ndarray  # least accepted cosine of each centroid
+    floors: np.ndarray  # least accepted cosine: a row for each centroid, a column for each size
 
 
 def letters(t: Texts) -> Texts:
@@ -75,13 +82,16 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def learned(lang: list[str], counts: np.ndarray) -> Model | None:
+def sizes_of(counts: np.ndarray) -> np.ndarray:
+    """The power of two of the number of distinct n-grams of each row."""
+    return np.minimum(np.log2(np.maximum((counts > 0).sum(axis=1), 1)).astype(int), SIZES - 1)
+
+
+def centroids(lang: list[str], counts: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Spherical k-means for each language; deterministic, as the rows come in a fixed order."""
-    if not lang:
-        return None
     idf = np.log((1 + len(lang)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 0.1
     x, names = weighted(counts, idf), np.array(lang)
-    centres, owners, floors = [], [], []
+    centres, owners = [], []
     for one in sorted(set(lang)):
         own = x[names == one]
         k = min(CENTROIDS, len(own))
@@ -90,12 +100,58 @@ def learned(lang: list[str], counts: np.ndarray) -> Model | None:
             near = (own @ c.T).argmax(axis=1)
             c = np.stack([own[near == j].mean(axis=0) if (near == j).any() else c[j] for j in range(k)])
             c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        cos = own @ c.T
-        near = cos.argmax(axis=1)
         centres.append(c)
         owners += [one] * k
-        floors += [SLACK * cos[near == j, j].min() if (near == j).any() else 0.0 for j in range(k)]
-    return Model(owners, idf, np.concatenate(centres).T.copy(), np.array(floors))
+    return owners, idf, np.concatenate(centres).T.copy()
+
+
+def floor(cos: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Least accepted cosine of each size, from those of labelled texts: of a size and, if there are too few, also of its neighbours.
+
+    With fewer than ``LEAST`` texts in all, of all of them; without any, everything is accepted.
+    """
+    out = np.zeros(SIZES)
+    for k in range(SIZES if len(cos) else 0):
+        near = np.abs(size - k)
+        reach = np.sort(near)[min(LEAST, len(near)) - 1]
+        out[k] = SLACK * np.quantile(cos[near <= reach], QUANTILE)
+    return out
+
+
+def learned(lang: list[str], counts: np.ndarray, pieces: np.ndarray | None = None) -> Model | None:
+    """Centroids of all rows, and floors from rows (and ``pieces``, one of each row) that the centroids weren't fitted on."""
+    if not lang:
+        return None
+    names = np.array(lang)
+    # Every second row of a language, as the rows come sorted by it.
+    half = (np.arange(len(lang)) - np.searchsorted(names, names)) % 2
+    seen: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for h in (0, 1):
+        fitted, rest = half != h, half == h
+        if not fitted.any() or not rest.any():
+            continue
+        owners, idf, centres = centroids(names[fitted].tolist(), counts[fitted])
+        for one in set(owners) & set(names[rest]):
+            own = np.flatnonzero(np.array(owners) == one)
+            for c in (counts, pieces) if pieces is not None else (counts,):
+                c = c[rest & (names == one)]
+                c = c[c.any(axis=1)]
+                if len(c):
+                    seen.setdefault(one, []).append(((weighted(c, idf) @ centres[:, own]).max(axis=1), sizes_of(c)))
+    owners, idf, centres = centroids(lang, counts)
+    floors = {one: floor(*(np.concatenate(x) for x in zip(*seen[one], strict=True))) if one in seen else np.zeros(SIZES) for one in set(owners)}
+    return Model(owners, idf, centres, np.stack([floors[one] for one in owners]))
+
+
+def piece(t: Texts, doc: np.ndarray) -> Texts:
+    """A piece from the middle of each text, of a length that its doc_id chooses, cut at spaces where there are any."""
+    out = []
+    for i, d in enumerate(doc.tolist()):
+        text = t.data[t.offsets[i] : t.offsets[i + 1]].tobytes()
+        size = PIECES[zlib.crc32(str(d).encode()) // 3 % len(PIECES)]
+        at = text.find(b" ", max(0, len(text) - size) // 2) + 1
+        out.append(text[at : at + size].decode(errors="ignore").encode())
+    return Texts(np.frombuffer(b"".join(out), np.uint8), np.cumsum([0, *map(len, out)]))
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
@@ -110,11 +166,14 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
 
     def counted(part: pa.RecordBatch, texts: Texts) -> pa.RecordBatch:
-        return record(doc_id=part.column(0), lang=part.column(2), counts=blobs([v.astype(np.float32).tobytes() for v in vectors(texts)]))
+        short = vectors(piece(texts, part.column(0).to_numpy()))
+        return record(doc_id=part.column(0), lang=part.column(2), counts=blobs([v.tobytes() for v in vectors(texts)]), piece=blobs([v.tobytes() for v in short]))
 
-    got = map_slices(documents(chosen, "lang"), counted, "doc_id long, lang string, counts binary").collect()
+    got = map_slices(documents(chosen, "lang"), counted, "doc_id long, lang string, counts binary, piece binary").collect()
     got.sort(key=lambda r: (r["lang"], r["doc_id"], bytes(r["counts"])))
-    return learned([r["lang"] for r in got], np.stack([np.frombuffer(r["counts"], np.float32) for r in got]) if got else np.zeros((0, SIZE), np.float32))
+    if not got:
+        return None
+    return learned([r["lang"] for r in got], *(np.stack([np.frombuffer(r[c], np.float32) for r in got]) for c in ("counts", "piece")))
 
 
 def has_letter(texts: Texts) -> np.ndarray:
@@ -140,12 +199,13 @@ def identify(docs: DataFrame, model: Model | None, *more: str | Column) -> DataF
         if model is not None:
             for a in range(0, texts.n, 256):
                 b = min(texts.n, a + 256)
-                cos = weighted(vectors(Texts(texts.data[texts.offsets[a] : texts.offsets[b]], texts.offsets[a : b + 1] - texts.offsets[a])), model.idf) @ model.centroids
+                counts = vectors(Texts(texts.data[texts.offsets[a] : texts.offsets[b]], texts.offsets[a : b + 1] - texts.offsets[a]))
+                cos = weighted(counts, model.idf) @ model.centroids
                 best = cos.argmax(axis=1)
                 top = cos[np.arange(b - a), best]
                 lang[a:b] = [model.languages[j] for j in best]
                 score[a:b] = np.clip(top, 0, 1)
-                accepted[a:b] = top >= model.floors[best]
+                accepted[a:b] = top >= model.floors[best, sizes_of(counts)]
             none = ~has_letter(texts)
             lang[none], score[none], accepted[none] = "und", 0.0, False
         rest = {part.schema.names[i]: part.column(i) for i in range(2, part.num_columns)}

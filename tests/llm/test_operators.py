@@ -252,6 +252,22 @@ def test_language(spark):
     assert op5.fit(edge.empty(spark)) is None and op5.identify(edge.table(spark), None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_rejects_what_was_not_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = op5.fit(docs.where(~op5.held_out()))
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto."
+    russian = "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью."
+    chinese = "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。"
+    random = np.random.default_rng(1)
+    letters = ["".join(random.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(2000)]
+    base64 = "".join(random.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 4000))
+    other = [finnish, finnish * 10, russian, russian * 10, chinese, base64[:300], base64, *(" ".join(letters[:n]) for n in (30, 300, 2000))]
+    out = op5.identify(spark.createDataFrame(list(enumerate(other)), "doc_id long, text string"), model).collect()
+    assert not [r.doc_id for r in out if r.accepted]
+    clean = op5.identify(docs.where(op5.held_out()).where("text RLIKE '[A-Za-z]'"), model)
+    assert clean.where("accepted").count() >= 0.99 * clean.count() > 0
+
+
 def test_token_counts(spark, tmp_path):
     import sentencepiece
 
