@@ -176,40 +176,56 @@ def clustered_match(a: Node, b: Node, wide: int = 1) -> float:
     return (total if n or m else 1.0) / wide
 
 
-def similarities(nodes: list[Node]) -> np.ndarray:
-    out = np.zeros((len(nodes), len(nodes)))
-    for i, j in itertools.combinations_with_replacement(range(len(nodes)), 2):
-        out[i, j] = out[j, i] = clustered_match(nodes[i], nodes[j])
-    return out
+def shapes(nodes: list[Node]) -> list[int]:
+    """The shape of each node (its tags, without texts and marks), numbered by first occurrence among the nodes."""
+    known: dict[tuple, int] = {}
+
+    def of(node: Node) -> int:
+        return known.setdefault((node.tag, *map(of, node.kids)), len(known))
+
+    number: dict[int, int] = {}
+    return [number.setdefault(of(n), len(number)) for n in nodes]
 
 
-def clusters(matrix: np.ndarray, threshold: float = THRESHOLD) -> list[int]:
-    """Complete linkage over the rows as points, cut at a distance; numbered by first member."""
-    groups = [[i] for i in range(len(matrix))]
-    apart = np.sqrt(((matrix[:, None, :] - matrix[None, :, :]) ** 2).sum(axis=2))
-    far = apart.copy()
+def similarities(nodes: list[Node]) -> tuple[np.ndarray, list[int]]:
+    """Matches between the distinct shapes of the nodes, and the shape of each node: equal shapes match everything equally."""
+    kinds = shapes(nodes)
+    first = [kinds.index(k) for k in range(max(kinds, default=-1) + 1)]
+    out = np.zeros((len(first), len(first)))
+    for i, j in itertools.combinations_with_replacement(range(len(first)), 2):
+        out[i, j] = out[j, i] = clustered_match(nodes[first[i]], nodes[first[j]])
+    return out, kinds
+
+
+def clusters(sims: np.ndarray, kinds: list[int], threshold: float = THRESHOLD) -> list[int]:
+    """Complete linkage over the nodes' rows of matches as points, cut at a distance; numbered by first member.
+
+    Nodes of one shape are one point and are joined at distance 0, before all others, so linkage starts from the shapes.
+    """
+    groups = [[i] for i in range(len(sims))]
+    often = np.bincount(kinds, minlength=len(sims))
+    far = np.stack([np.sqrt(((sims - row) ** 2 * often).sum(axis=1)) for row in sims]) if len(sims) else sims.copy()
     np.fill_diagonal(far, np.inf)
-    alive = list(range(len(matrix)))
+    alive = set(range(len(sims)))
     while len(alive) > 1:
-        sub = far[np.ix_(alive, alive)]
-        at = int(sub.argmin())
-        x, y = alive[at // len(alive)], alive[at % len(alive)]
+        x, y = divmod(int(far.argmin()), len(far))
         if far[x, y] > threshold:
             break
         groups[x] += groups[y]
         far[x] = far[:, x] = np.maximum(far[x], far[y])
-        far[x, x] = np.inf
+        far[x, x] = far[y] = far[:, y] = np.inf
         alive.remove(y)
     of = {i: g for g in alive for i in groups[g]}
     number: dict[int, int] = {}
-    return [number.setdefault(of[i], len(number)) for i in range(len(matrix))]
+    return [number.setdefault(of[k], len(number)) for k in kinds]
 
 
-def record_similarity(a: list[int], b: list[int], sims: np.ndarray) -> float:
+def record_similarity(a: tuple[int, ...], b: tuple[int, ...], sims: np.ndarray) -> float:
+    """Of two records, given as the shapes of their children."""
     return best_chain(len(a), len(b), lambda i, j: sims[a[i], b[j]])[0] / (max(len(a), len(b)) + 1)
 
 
-def best_division(sims: np.ndarray, labels: list[int]) -> list[list[int]]:
+def best_division(sims: np.ndarray, kinds: list[int], labels: list[int]) -> list[list[int]]:
     """Records (lists of places) for the cluster whose members cut the children into the most similar ones; none if all differ."""
     if len(set(labels)) == len(labels):
         return []
@@ -217,8 +233,11 @@ def best_division(sims: np.ndarray, labels: list[int]) -> list[list[int]]:
     for c in sorted(set(labels)):
         records = [r for r in split_before(list(range(len(labels))), lambda i, c=c: labels[i] == c) if len(r) < len(labels)]
         if records:
-            values = [record_similarity(a, b, sims) for a, b in itertools.combinations(records, 2)]
-            score = sum(values) / (len(values) + 1)
+            # Pairs of equal records count as often as they occur, and are compared once.
+            often = Counter(tuple(kinds[i] for i in r) for r in records)
+            values = [(record_similarity(a, b, sims), often[a] * often[b]) for a, b in itertools.combinations(often, 2)]
+            values += [(record_similarity(a, a, sims), n * (n - 1) // 2) for a, n in often.items() if n > 1]
+            score = sum(v * n for v, n in values) / (len(records) * (len(records) - 1) // 2 + 1)
             if score > best:
                 best, chosen = score, records
     return chosen
@@ -329,8 +348,8 @@ def texts(template: list[Column], n: int) -> list[dict[str, str]]:
 def mine(root: Node, seed: list[Node] | None = None) -> list[dict[str, str]]:
     """The records below a root, each a map from path to text."""
     if seed is None:
-        sims = similarities(root.kids)
-        cut = best_division(sims, clusters(sims))
+        sims, kinds = similarities(root.kids)
+        cut = best_division(sims, kinds, clusters(sims, kinds))
     else:
         cut = division_by_seed(root, seed)
     return texts(aligned([[root.kids[i] for i in r] for r in cut]), len(cut)) if cut else []
@@ -363,9 +382,9 @@ def compact(tree):
 SCHEMA = "page_id long, root string, rank int, n_records int, n_hits int, records array<map<string,string>>, error string"
 
 
-def mine_pages(pages: DataFrame, wanted: str | None = None, roots: int = 3, most_children: int = 200) -> DataFrame:
+def mine_pages(pages: DataFrame, wanted: str | None = None, roots: int = 3) -> DataFrame:
     """One row for each of the best roots of each page (page_id, html): its records, how many have a text that fits ``wanted``, or what
-    went wrong. Roots with more children than ``most_children`` are reported with an error, as matching is quadratic in them."""
+    went wrong. Roots of any width are mined; matching is quadratic in the distinct shapes of their children."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hit = re.compile(wanted) if wanted else None
@@ -378,9 +397,6 @@ def mine_pages(pages: DataFrame, wanted: str | None = None, roots: int = 3, most
                     rows.append((page, None, 0, 0, 0, [], repr(e)))
                     continue
                 for rank, root in enumerate(found):
-                    if len(root.kids) > most_children:
-                        rows.append((page, root.path(), rank, 0, 0, [], f"{len(root.kids)} children"))
-                        continue
                     try:
                         records = mine(root)
                         n = sum(1 for r in records if hit is None or any(hit.search(t) for t in r.values()))

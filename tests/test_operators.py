@@ -119,6 +119,17 @@ def test_mining_of_a_table(spark):
     assert nested == {"tr": {"td": {"001": {"text": "a"}, "002": {"text": "b"}}}} and mining.compact(nested) == {"001": "a", "002": "b"}
 
 
+def test_mining_of_wide_roots(spark):
+    """Each row of a long table is in a record; rows that alternate between two shapes make records of two rows."""
+    cells = ["<td>{0}</td><td>{0}00</td>", "<td>{0}</td><td><b>{0}00</b></td>"]
+    tables = [(k, "<html><body><table>" + "".join(f"<tr>{cells[i % k].format(i)}</tr>" for i in range(450)) + "</table></body></html>") for k in (1, 2)]
+    mined = mining.mine_pages(spark.createDataFrame(tables, "page_id long, html string"))
+    for r in mined.where("root LIKE '%/table'").collect():
+        assert (r.n_records, r.error) == (450 // r.page_id, None)
+        assert sorted(v for x in r.records for v in x.values()) == sorted(v for i in range(450) for v in (f"{i}", f"{i}00"))
+    assert mining.structure(mined).where("root LIKE '%/table' AND size(paths) >= 2").count() == 2
+
+
 def test_mining_helpers():
     assert mining.split_before([0, 1, 2, 1, 2], lambda x: x == 1) == [[0], [1, 2], [1, 2]]
     assert mining.runs_of([2, 1, 2, 4], lambda x: x % 2 == 0) == [[2], [2, 4]]
