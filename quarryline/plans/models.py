@@ -149,6 +149,15 @@ def cdx_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.content_of(index, archive).select("url", F.octet_length("content").alias("size"))
 
 
+@query("SELECT url, strlen(html)::INT AS size FROM pages")
+def cdx_content_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lookup of ``cdx_content`` for every page."""
+    archive = _archive(spark, sf_dir)
+    wanted = table(spark, sf_dir, "pages").select(urls.url_key(F.col("url")).alias("url_key"), F.col("url").alias("wanted")).distinct()
+    index = warc.index_of(archive).join(wanted, "url_key").where("url = wanted")
+    return warc.content_of(index, archive).select("url", F.octet_length("content").alias("size"))
+
+
 @query(WITH + "SELECT page_id, url, patent_number_full AS number FROM mention")
 def streaming_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions of the corpus, found by a stream over files that were written before."""
