@@ -3,7 +3,7 @@ written to the shared folder."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record(u=nodes[off], v=nodes[root[off]])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, store: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
     """(node, root) for all nodes of ``edges`` (a, b: long) but the roots themselves; the root is the component's smallest node.
 
     Edges may repeat and run either way; loops and edges with a null are left out. Without edges the result is empty.
@@ -42,7 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
     state = lambda rows: rows.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     # Edges that meet in a batch are made stars there, which leaves the rounds little to do.
-    now = stored(now.mapInArrow(shortened, "u long, v long").distinct(), "stars")
+    now = store(now.mapInArrow(shortened, "u long, v long").distinct(), "stars")
     before = state(now)
     while before[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -50,7 +50,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = stored(small.distinct(), "stars")
+        now = store(small.distinct(), "stars")
         after = state(now)
         if after == before:
             break

@@ -1,43 +1,46 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The distinct n-grams of all documents have one global order: frequent ones (a bounded list of those that many documents share) last by
-frequency, all others before them by their hash. The order is cut into fragments, and a document's set into segments, one for each
-fragment. Overlaps are counted for each fragment on its own and summed for each pair of documents.
-
-Steps: (1) documents with equal sets form a class, and one of them stands for it; (2) two sets that are similar enough share an n-gram
-among the first ones of either in the global order (prefix filter), so those n-grams are dealt out with the classes that start with
-them, and classes that meet are candidates, unless a bound shows that they can't share enough; (3) partial overlaps are counted for candidates. As the result is the components of the
-links, a group of many classes that meet at one n-gram isn't expanded into all pairs at first: each class is compared with its
-neighbour by size and with the group's first one, and only where these leave more than one component in the group, pairs of different
-components are compared as well. So no link is lost, and a group of near copies costs as many comparisons as it has members.
+The distinct n-grams of all documents have one global order: those of a bounded list of the most frequent ones last, by the number of
+documents that have them, all others before them by their hash. The order is cut into fragments, and a document's set into segments,
+one for each fragment. Overlaps are counted for each fragment on its own and summed for each pair of documents.
+
+Steps: (1) documents with equal sets form a class, and one of them stands for it; document frequencies are counted over the whole table.
+(2) Two sets that are similar enough share an n-gram among the first ones of either, and at the first one that they share, their places
+in the global order bound what they can differ in: all that stands before is in one of them only. Classes that meet at an n-gram within
+these bounds are candidates. (3) Partial overlaps are counted for candidates.
+
+The result is the components of the links, so a group of classes that meet at one n-gram isn't expanded into pairs. Each class is first
+compared with the group's hubs: the class with the smallest place there, which differs least from what the group has in common, over
+all and among those of a similar size. Only where that leaves more than one component in a group, pairs of different components within
+the bounds are compared as well. So no link is lost, and a group of near copies costs as many comparisons as it has members.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .graph import components
-from .scan import Texts, U, blobs, documents, grams, map_slices, mix, read_table, record, slices, starts_within, stored
+from .scan import Scratch, Texts, U, blobs, documents, grams, map_slices, mix, read_table, record, slices, spread, starts_within
 
 #: Words of an n-gram.
 N = 5
 #: Fragments of the global order; the last one holds the frequent n-grams.
 FRAGMENTS = 4
-#: Most n-grams in the list of frequent ones (its order is all that depends on it), and how many documents of a slice of text must
-#: share one before it is counted.
+#: Most n-grams in the list of frequent ones, and how many documents must share one at least. The order is all that depends on it.
 FREQUENT, SHARED = 1 << 18, 3
-#: Bits of a set's parity bitmap. Two bitmaps differ in as many bits at most as the sets differ in n-grams, whatever the number of bits.
-BITS = 2048
-#: A group of up to so many classes is expanded into all pairs at once.
-SMALL_GROUP = 64
+#: Bits of the filter of n-grams that occur in several documents. Beyond about FILTER_BITS / 4 of those it lets most n-grams through,
+#: which costs time and a larger exchange; results don't change.
+FILTER_BITS = 1 << 27
+#: N-grams that a task gathers before it deals out their counts.
+GATHER = 1 << 21
 #: Most candidates that are broadcast to select their texts; beyond it they are joined.
 BROADCAST_IDS = 200_000
-ENTRY = np.dtype([("gram", "<u4"), ("set", "<i8"), ("n", "<u4")])
 
 
 def gram_sets(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -74,147 +77,211 @@ def digests(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return mix((sums[ptr[1:]] - sums[ptr[:-1]]) ^ (np.diff(ptr).astype(U) << U(40))).view(np.int64)
 
 
-def bitmaps(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-    """For each row BITS bits as 64-bit numbers: whether an odd number of its n-grams falls on a bit."""
-    n = len(ptr) - 1
-    out = np.zeros((n, BITS // 64), np.int64)
-    place = (mix(values ^ U(0x2545F491)) % U(BITS)).astype(np.int64)
-    for a in range(0, n, 256):
-        b = min(n, a + 256)
-        row = np.repeat(np.arange(b - a), np.diff(ptr[a : b + 1]))
-        odd = np.bincount(row * BITS + place[ptr[a] : ptr[b]], minlength=(b - a) * BITS) & 1
-        out[a:b] = np.packbits(odd.astype(np.uint8).reshape(b - a, BITS), axis=1).view(np.int64)
-    return out
+def cells(values: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """What n-grams are counted by: a part, and 32 bits within it. N-grams of one cell count as equally frequent."""
+    return ((values & U(0xFFFFFFFF)) % U(parts)).astype(np.int64), (values >> U(32)).astype(np.uint32)
 
 
-def ordered(x: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
-    """A row's n-grams in the global order, and how many of them aren't frequent. ``frequent`` is sorted."""
-    if not len(frequent):
-        return x, len(x)
-    at = np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)
-    hot = frequent[at] == x
-    if not hot.any():
-        return x, len(x)
-    late = x[hot][np.argsort(rank[at[hot]])]
-    return np.concatenate((x[~hot], late)), len(x) - len(late)
+def filter_places(cell: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    a = mix(cell.astype(U) ^ U(0x9E3779B9))
+    return ((a & U(0xFFFFFFFF)) % U(bits)).astype(np.int64), ((a >> U(32)) % U(bits)).astype(np.int64)
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """One row (doc_id, key = digest of the set, n, bits = its bitmap) for each document, and rows (key = n-gram, n = documents, frequent = true)."""
+class Order:
+    """The global order of n-grams: ``listed`` (sorted cells) are the frequent ones, ``rank`` their places; ``masks`` is the filter of
+    cells that occur in several documents, a row of bytes for each part."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared: dict[int, int] = {}
-        for batch in batches:
-            for part, texts in slices(batch):
-                values, ptr = gram_sets(texts)
-                keys = digests(values, ptr)
-                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * (BITS // 64)), pa.array(bitmaps(values, ptr).ravel()))
-                yield record(doc_id=part.column(0), key=keys, n=np.diff(ptr), bits=bits, frequent=np.zeros(len(keys), bool))
-                _, one = np.unique(keys, return_index=True)
-                some, count = np.unique(np.concatenate([values[ptr[i] : ptr[i + 1]] for i in one]), return_counts=True) if len(one) > 1 else ((), ())
-                if len(some):
-                    for g, c in zip(some[count >= SHARED].view(np.int64).tolist(), count[count >= SHARED].tolist(), strict=True):
-                        shared[g] = shared.get(g, 0) + c
-        if shared:
-            yield record(doc_id=pa.nulls(len(shared), pa.int64()), key=pa.array(list(shared), pa.int64()), n=pa.array(list(shared.values()), pa.int64()), bits=pa.nulls(len(shared), pa.list_(pa.int64())), frequent=np.ones(len(shared), bool))
+    def __init__(self, parts: int, listed: np.ndarray, rank: np.ndarray, masks: np.ndarray):
+        self.parts, self.listed, self.rank, self.masks = parts, listed, rank, masks
 
-    return docs.mapInArrow(run, "doc_id long, key long, n long, bits array<long>, frequent boolean")
+    def repeated(self, values: np.ndarray) -> np.ndarray:
+        """False for n-grams that only one document has."""
+        part, cell = cells(values, self.parts)
+        one, two = filter_places(cell, self.masks.shape[1] * 8)
+        return ((self.masks[part, one >> 3] >> (one & 7)) & (self.masks[part, two >> 3] >> (two & 7)) & 1).astype(bool)
 
+    def sort(self, values: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams of each row (sorted by hash) in the global order, and how many of each row aren't frequent."""
+        if not len(self.listed) or not len(values):
+            return values, np.diff(ptr)
+        part, cell = cells(values, self.parts)
+        name = part.astype(U) << U(32) | cell
+        at = np.minimum(np.searchsorted(self.listed, name), len(self.listed) - 1)
+        late = self.listed[at] == name
+        move = np.flatnonzero(late)
+        row = np.searchsorted(ptr, move, "right") - 1
+        many = np.bincount(row, minlength=len(ptr) - 1)
+        out = np.empty(len(values), U)
+        before = np.cumsum(many) - many
+        stay = np.flatnonzero(~late)
+        out[stay - (np.cumsum(late) - np.repeat(before, np.diff(ptr)))[stay]] = values[stay]
+        order = np.lexsort((self.rank[at[move]], row))
+        out[ptr[1:][row] - many[row] + spread(many)] = values[move[order]]
+        return out, np.diff(ptr) - many
 
-def prefix_groups(docs: DataFrame, frequent, parts: int) -> DataFrame:
-    """Pairs (a, b) of set digests that meet at prefix n-grams, with the number n of those (several rows for a pair, to be summed), and
-    members (grp, a, size n) of the groups that were not expanded."""
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, rank = frequent.value
-        seen, held, size = set(), [], 0
+def described(docs: DataFrame, parts: int) -> DataFrame:
+    """A row (doc_id, key = digest of the set, n) for each document, and rows (part, counted) with the cells of n-grams: sorted,
+    differences, their bytes by significance; once for each of some documents with different sets that has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, seen = [], 0, set()
 
         def flush() -> pa.RecordBatch:
-            gram, key, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            part = (gram % U(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            e = np.empty(len(gram), ENTRY)
-            e["gram"], e["set"], e["n"] = (gram >> U(24)).astype(np.uint32)[order], key[order], n[order]
-            cut = np.searchsorted(part[order], np.arange(parts + 1))
+            part, cell = cells(np.concatenate(held), parts)
+            name = np.sort(part.astype(U) << U(32) | cell)
+            cut = np.searchsorted(name, np.arange(parts + 1, dtype=U) << U(32))
             full = np.flatnonzero(np.diff(cut))
+            raw = [np.diff((name[cut[p] : cut[p + 1]] & U(0xFFFFFFFF)).astype("<u4"), prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes() for p in full]
+            none = pa.nulls(len(full), pa.int64())
             held.clear()
-            return record(part=pa.array(full, pa.int32()), entries=blobs([e[cut[p] : cut[p + 1]].tobytes() for p in full]))
+            seen.clear()
+            return record(doc_id=none, key=none, n=none, part=pa.array(full, pa.int32()), counted=blobs(raw))
 
         for batch in batches:
-            for _, texts in slices(batch):
+            for part, texts in slices(batch):
                 values, ptr = gram_sets(texts)
-                for key, a, b in zip(digests(values, ptr).tolist(), ptr[:-1].tolist(), ptr[1:].tolist(), strict=True):
-                    if a == b or key in seen:
-                        continue
-                    seen.add(key)
-                    n = b - a
-                    first = ordered(values[a:b], hot, rank)[0][: n - (4 * n + 4) // 5 + 1]
-                    held.append((first, np.full(len(first), key), np.full(len(first), n)))
-                    size += len(first)
-                if size > 1_000_000:
+                keys = digests(values, ptr)
+                yield record(doc_id=part.column(0), key=keys, n=np.diff(ptr), part=pa.nulls(len(keys), pa.int32()), counted=pa.nulls(len(keys), pa.binary()))
+                for key, a, b in zip(keys.tolist(), ptr[:-1].tolist(), ptr[1:].tolist(), strict=True):
+                    if a < b and key not in seen:
+                        seen.add(key)
+                        held.append(values[a:b])
+                        size += b - a
+                if size > GATHER:
                     yield flush()
                     size = 0
         if held:
             yield flush()
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, part = [], 0
+    return docs.mapInArrow(run, "doc_id long, key long, n long, part int, counted binary")
+
+
+def global_order(counted: DataFrame, parts: int) -> Order:
+    """From rows (part, counted). To the driver: FILTER_BITS bits, and FREQUENT cells with their counts at most."""
+    most, bits = -(-FREQUENT // parts), FILTER_BITS // parts // 8 * 8
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, part = [], None
         for batch in batches:
-            raw += batch.column(1).to_pylist()
+            for raw in batch.column(1).to_pylist():
+                steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+                found.append(np.cumsum(steps, dtype=np.uint32))
             part = batch.column(0)[0].as_py()
-        if not raw:
+        if part is None:
             return
-        e = np.frombuffer(b"".join(raw), ENTRY)
-        e = e[np.lexsort((e["set"], e["n"], e["gram"]))]
-        new = np.ones(len(e), bool)
-        new[1:] = (e["gram"][1:] != e["gram"][:-1]) | (e["set"][1:] != e["set"][:-1])
-        e = e[new]
-        heads = np.flatnonzero(np.concatenate(([True], e["gram"][1:] != e["gram"][:-1])))
-        sizes = np.diff(np.append(heads, len(e)))
-        left, right, groups, members, shared = [], [], [], [], []
-        for size in range(2, SMALL_GROUP + 1):
-            at = heads[sizes == size]
-            if len(at):
-                i, j = np.triu_indices(size, 1)
-                left.append((at[:, None] + i).ravel())
-                right.append((at[:, None] + j).ravel())
-                shared.append(np.ones(len(left[-1]), np.int64))
-        for head, size in zip(heads[sizes > SMALL_GROUP].tolist(), sizes[sizes > SMALL_GROUP].tolist(), strict=True):
-            own = np.arange(head, head + size)
-            left += [own[:-1], np.full(size - 2, head)]
-            right += [own[1:], own[2:]]
-            shared.append(np.zeros(2 * size - 3, np.int64))  # these are counted as members
-            groups.append(np.full(size, (part << 32) | int(e["gram"][head])))
-            members.append(own)
-        if left:
-            a, b = np.concatenate(left), np.concatenate(right)
-            near = 5 * e["n"][a].astype(np.int64) >= 4 * e["n"][b].astype(np.int64)  # sorted by size, so b has at least as many
-            sets, number = np.unique(e["set"], return_inverse=True)
-            a, b, shared = number[a[near]], number[b[near]], np.concatenate(shared)[near]
-            pairs, which = np.unique(np.minimum(a, b) * len(sets) + np.maximum(a, b), return_inverse=True)
-            if len(pairs):
-                yield record(grp=pa.nulls(len(pairs), pa.int64()), a=sets[pairs // len(sets)], b=sets[pairs % len(sets)], n=np.bincount(which, shared).astype(np.int64))
-        if members:
-            own = e[np.concatenate(members)]
-            yield record(grp=np.concatenate(groups), a=own["set"].copy(), b=pa.nulls(len(own), pa.int64()), n=own["n"].astype(np.int64))
-
-    dealt = docs.mapInArrow(entries, "part int, entries binary").repartitionById(parts, F.col("part"))
-    return dealt.mapInArrow(meet, "grp long, a long, b long, n long")
-
-
-def linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, frequent) -> DataFrame:
+        cell = np.concatenate(found)
+        found.clear()
+        cell.sort()
+        head = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+        count = np.diff(np.append(head, len(cell)))
+        cell, count = cell[head[count > 1]], count[count > 1]
+        mask = np.zeros(bits, bool)
+        for place in filter_places(cell, bits):
+            mask[place] = True
+        cell, count = cell[count >= SHARED], count[count >= SHARED]
+        top = np.lexsort((cell, -count))[:most]
+        yield record(part=pa.array([part], pa.int32()), bits=blobs([np.packbits(mask, bitorder="little").tobytes()]), listed=blobs([(cell[top].astype(U) | U(part << 32)).tobytes()]), counts=blobs([count[top].astype(np.int64).tobytes()]))
+
+    masks, listed, counts = np.zeros((parts, bits // 8), np.uint8), [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    for r in counted.repartitionById(parts, F.col("part")).mapInArrow(judge, "part int, bits binary, listed binary, counts binary").collect():
+        masks[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+        listed.append(np.frombuffer(r["listed"], U))
+        counts.append(np.frombuffer(r["counts"], np.int64))
+    listed, counts = np.concatenate(listed), np.concatenate(counts)
+    rank = np.empty(len(listed), np.int64)
+    rank[np.lexsort((listed, counts))] = np.arange(len(listed))
+    order = np.argsort(listed)
+    return Order(parts, listed[order], rank[order], masks)
+
+
+def prefix_entries(docs: DataFrame, order) -> DataFrame:
+    """Rows (gram, key, n, place): the first n-grams of each set that others may have, and their places in it. A pair that is similar
+    enough shares at least 0.8 of the larger set, so it meets among them. Rows may repeat."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = order.value
+        for batch in batches:
+            for _, texts in slices(batch):
+                values, ptr = gram_sets(texts)
+                keys = digests(values, ptr)
+                values, _ = known.sort(values, ptr)
+                n = np.diff(ptr)
+                first = np.zeros(len(n), bool)
+                first[np.unique(keys, return_index=True)[1]] = True
+                many = np.where(first & (n > 0), n - (4 * n + 4) // 5 + 1, 0)
+                row, place = np.repeat(np.arange(len(n)), many), spread(many)
+                gram = values[ptr[row] + place]
+                hit = known.repeated(gram)
+                row = row[hit]
+                yield record(gram=gram[hit].view(np.int64), key=keys[row], n=n[row].astype(np.int32), place=place[hit].astype(np.int32))
+
+    return docs.mapInArrow(run, "gram long, key long, n int, place int")
+
+
+def meetings(entries: DataFrame) -> DataFrame:
+    """The entries of n-grams that several classes have, with the hubs of their n-gram: ``top``, the entry of the smallest place over all,
+    and ``own``, that among the classes of a similar size. Entries are dealt out once."""
+    entry = F.struct("place", "n", "key")
+    rows = entries.repartition("gram").withColumn("size", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
+    rows = rows.withColumn("own", F.min(entry).over(Window.partitionBy("gram", "size")))
+    group = Window.partitionBy("gram")
+    rows = rows.withColumns({"top": F.min("own").over(group), "least": F.min("key").over(group), "most": F.max("key").over(group)})
+    return rows.where("least <> most").select("gram", "key", "n", "place", "own", "top")
+
+
+def needed(na: str, nb: str) -> Column:
+    """N-grams that two sets must share."""
+    return F.expr(f"(4 * ({na} + {nb}) + 8) div 9")
+
+
+def may_link(one: str, two: str) -> Column:
+    """Whether the sets of two entries of an n-gram may be similar enough if it is the first one that they share."""
+    na, nb, i, j = f"{one}.n", f"{two}.n", f"{one}.place", f"{two}.place"
+    need = needed(na, nb)
+    sizes = F.expr(f"5 * {na} >= 4 * {nb} AND 5 * {nb} >= 4 * {na}")
+    return sizes & (F.expr(f"{i} + {j} - {na} - {nb}") <= -2 * need) & (F.expr(f"{i} - {na}") <= -need) & (F.expr(f"{j} - {nb}") <= -need)
+
+
+def hub_pairs(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys: each entry with the hubs of its n-gram."""
+    both = met.select(F.struct("place", "n", "key").alias("x"), F.explode(F.array_distinct(F.array("own", "top"))).alias("y"))
+    both = both.where((F.col("x.key") != F.col("y.key")) & may_link("x", "y"))
+    return both.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+
+
+def mixed_pairs(met: DataFrame, roots: DataFrame, store: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Pairs (a, b) of keys that meet at an n-gram within the bounds and are in different components. ``roots``: key, root.
+
+    In each group, all classes but those of its largest component meet the others, so a group that is linked but for a few classes
+    costs as many pairs as these have partners."""
+    # A class whose place is too far for the smallest one of its group meets nobody (sets differ in a quarter of the smaller one at most).
+    near = met.where("4 * (place + top.place) <= n").select("gram", F.struct("place", "n", "key").alias("x"))
+    members = near.join(roots, F.col("x.key") == roots["key"]).drop("key")
+    sizes = members.groupBy("gram", "root").agg(F.count("*").alias("size"))
+    groups = sizes.groupBy("gram").agg(F.max(F.struct("size", "root")).alias("main"), F.sum("size").alias("size"), F.count("*").alias("roots"))
+    # Two classes have met as one of them is the hub.
+    groups = groups.where("roots > 1 AND size > 2").select("gram", F.col("main.root").alias("main"))
+    rest = store(members.join(groups, "gram"), "mixed")
+    one = rest.where("root <> main")
+    two = rest.select(F.col("gram").alias("gram2"), F.col("root").alias("root2"), F.col("x").alias("y"))
+    both = one.join(two, (F.col("gram") == F.col("gram2")) & F.expr("root <> root2 AND (root2 = main OR root < root2)") & may_link("x", "y"))
+    return both.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+
+
+def linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order) -> DataFrame:
     """Those of some pairs (a, b: documents) whose sets are similar enough: partial overlaps for each fragment, summed for each pair."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     def cut(part: pa.RecordBatch, texts: Texts) -> pa.RecordBatch:
-        hot, rank = frequent.value
         values, ptr = gram_sets(texts)
+        values, plain = order.value.sort(values, ptr)
         bounds = [U((i << 64) // (FRAGMENTS - 1)) for i in range(1, FRAGMENTS - 1)]
         doc, fragment, lists = [], [], []
-        for d, a, b in zip(part.column(0).to_pylist(), ptr[:-1].tolist(), ptr[1:].tolist(), strict=True):
-            x, plain = ordered(values[a:b], hot, rank)
-            edges = [0, *np.searchsorted(x[:plain], bounds).tolist(), plain, len(x)]
+        for d, a, b, rare in zip(part.column(0).to_pylist(), ptr[:-1].tolist(), ptr[1:].tolist(), plain.tolist(), strict=True):
+            x = values[a:b]
+            edges = [0, *np.searchsorted(x[:rare], bounds).tolist(), rare, len(x)]
             for f in range(FRAGMENTS):
                 if edges[f] < edges[f + 1]:
                     doc.append(d)
@@ -247,76 +314,32 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = documents(docs)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    known = stored(described(docs), "described")
-    sets = known.where("NOT frequent").select("doc_id", "key", "n")
-    top = known.where("frequent").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas()
-    hot = top["key"].to_numpy(np.int64).view(U)
-    order = np.argsort(hot)
-    frequent = spark.sparkContext.broadcast((hot[order], np.arange(len(hot), 0, -1)[order]))  # the most frequent one comes last
-    sized = known.where("NOT frequent AND n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bits").alias("bits"))
-    classes = stored(sized, "classes")
-    met = stored(prefix_groups(docs, frequent, parts), "met")
-    counted = met.where("grp IS NULL").groupBy("a", "b").agg(F.sum("n").alias("shared"))
-    grouped = met.where("grp IS NOT NULL")
-    # Of each class: document, size, and its prefix n-grams in groups that were not expanded.
-    infos = stored(classes.join(grouped.groupBy(F.col("a").alias("key")).agg(F.count("*").alias("more")), "key", "left").na.fill(0, ["more"]), "infos")
-
-    need = lambda na, nb: F.floor((4 * (F.col(na) + F.col(nb)) + 8) / 9)
-
-    def differ(a: str, b: str) -> Column:
-        """In how many bits two bitmaps differ: in that many n-grams at least the sets do."""
-        return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-
-    def possible(pairs: DataFrame) -> DataFrame:
-        """Pairs of documents that may be similar enough: what they share at most is what their prefixes share and the longer rest, and
-        what they differ in at least is what their bitmaps differ in."""
-        both = pairs
-        for side in ("a", "b"):
-            both = both.join(infos.select(F.col("key").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "more", "bits"))), side)
-        rest = F.floor((4 * F.greatest("n_a", "n_b") + 4) / 5) - 1
-        both = both.where((F.col("shared") + F.least("more_a", "more_b") + rest >= need("n_a", "n_b")) & F.col("rep_a").isNotNull() & F.col("rep_b").isNotNull())
-        both = both.where(differ("bits_a", "bits_b") <= F.col("n_a") + F.col("n_b") - 2 * need("n_a", "n_b"))
-        shared = F.col("shared") + F.least("more_a", "more_b")
-        return both.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), shared.alias("shared"))
-
-    def apart(pairs: DataFrame, stars: DataFrame) -> DataFrame:
-        """Pairs of different components."""
+    scratch = Scratch(spark)
+    store = scratch.store
+    known = store(described(docs, parts), "described")
+    order = spark.sparkContext.broadcast(global_order(known.where("part IS NOT NULL").select("part", "counted"), parts))
+    sets = store(known.where("part IS NULL").select("doc_id", "key", "n"), "sets")
+    scratch.clear("sets")  # the counts are as large as half of the texts
+    classes = store(sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")).where("rep IS NOT NULL"), "classes")
+    met = store(meetings(prefix_entries(docs, order)), "met")
+
+    def reps(pairs: DataFrame) -> DataFrame:
+        """The documents that stand for the classes of some pairs."""
         for side in ("a", "b"):
-            pairs = pairs.join(stars.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-        return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-
-    pairs = stored(possible(counted), "pairs")
-    # At first each document with the one that shares most with it and with the smallest one that it meets: that links most groups.
-    ends = pairs.union(pairs.select("b", "a", "shared"))
-    best = ends.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("most"), F.min("b").alias("least"))
-    chosen = best.select("a", F.explode(F.array("most.b", "least")).alias("b"))
-    chosen = stored(chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "chosen")
-    links = stored(linked(docs, chosen, classes, frequent), "links")
-    stars = components(links)
-    # Groups that were not expanded and still fall into several components.
-    members = grouped.select("grp", F.col("a").alias("key"), "n").join(classes.select("key", "rep"), "key").where("rep IS NOT NULL")
-    members = members.join(stars, members["rep"] == stars["node"], "left").select("grp", "key", "n", F.coalesce("root", "rep").alias("root"))
-    members = stored(members, "members")
-    # In each, all classes but those of its largest component meet the group's other components; so a group that is linked but for a
-    # few classes costs as many pairs as these have partners.
-    sizes = members.groupBy("grp", "root").agg(F.count("*").alias("size")).groupBy("grp").agg(F.max(F.struct("size", "root")).alias("top"), F.count("*").alias("roots"))
-    mixed = stored(sizes.where("roots > 1").select("grp", F.col("top.root").alias("main")), "mixed")
-    mixed = F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed
-    rest = stored(members.join(mixed, "grp").join(infos.select("key", "bits"), "key"), "rest")
-    one, two = (rest.select("grp", "main", *(F.col(c).alias(f"{c}{i}") for c in ("key", "n", "root", "bits"))) for i in (1, 2))
-    # The bitmaps are compared in the join's condition, so only pairs that may be similar come out of it.
-    other = F.expr("root1 <> root2 AND (root2 = main OR root1 < root2) AND 5 * n1 >= 4 * n2 AND 5 * n2 >= 4 * n1")
-    close = differ("bits1", "bits2") <= F.col("n1") + F.col("n2") - 2 * need("n1", "n2")
-    one, two = one.where("root1 <> main"), two.drop("main").withColumnRenamed("grp", "grp2")
-    more = one.join(two, (F.col("grp") == F.col("grp2")) & other & close)
-    more = more.select(F.least("key1", "key2").alias("a"), F.greatest("key1", "key2").alias("b")).distinct().join(counted, ["a", "b"], "left").na.fill(0, ["shared"])
-    # Then all others that are still in different components.
-    more = apart(pairs.select("a", "b"), stars).union(possible(more).select("a", "b")).distinct().join(chosen, ["a", "b"], "left_anti")
-    more = stored(more, "more")
+            pairs = pairs.join(classes.select(F.col("key").alias(side), F.col("rep").alias(f"rep_{side}")), side)
+        return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).where("a <> b")
+
+    def rooted(stars: DataFrame) -> DataFrame:
+        return classes.join(stars, classes["rep"] == stars["node"], "left").select("key", F.coalesce("root", "rep").alias("root"))
+
+    first = store(reps(hub_pairs(met)), "first")
+    links = store(linked(docs, first, classes, order), "links")
+    stars = components(links, store)
+    more = store(reps(mixed_pairs(met, store(rooted(stars), "roots"), store)).join(first, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        stars = components(links.union(linked(docs, more, classes, frequent)))
-    roots = classes.join(stars, classes["rep"] == stars["node"], "left").select("key", F.coalesce("root", "rep").alias("component"))
-    out = sets.join(stored(roots, "roots"), "key", "left")
+        stars = components(links.union(linked(docs, more, classes, order)), store)
+    out = sets.join(store(rooted(stars), "components").withColumnRenamed("root", "component"), "key", "left")
+    scratch.clear("sets", "components")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 

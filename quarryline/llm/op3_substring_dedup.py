@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .scan import Texts, U, blobs, documents, grams, mix, powers, ranges, read_table, record, slices, spread, starts_within
+from .scan import Texts, U, blobs, documents, grams, mix, moved, prefix_sums, ranges, read_table, record, slices, spread, starts_within
 
 WINDOW, GRAM = 20, 5
 #: Bits of the filter of repeated anchors.
@@ -123,9 +123,8 @@ def repeated_anchors(docs: DataFrame, parts: int, hot: int) -> tuple[np.ndarray,
 
 def digests(words: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Hash of the ``count`` words from place ``first`` on, in their order and wherever they stand."""
-    up, down = powers(len(words))
-    upto = np.concatenate((np.zeros(1, U), np.cumsum(mix(words) * up[: len(words)], dtype=U)))
-    return mix((upto[first + count] - upto[first]) * down[first] ^ count.astype(U) << U(56))
+    upto = prefix_sums(mix(words))
+    return mix(moved(upto[first + count] - upto[first], first) ^ count.astype(U) << U(56))
 
 
 def copies(keys: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -85,7 +85,7 @@ class WordEncoder:
     """Token ids of texts, for tokenizers that drop white space and never join over it: the ids of a text are those of its words, one
     after the other. Each distinct word is encoded once and kept, up to a number of bytes."""
 
-    MOST = 64 << 20
+    MOST = 24 << 20
 
     def __init__(self, tokenizer: str):
         self.encode = encoder(tokenizer)

@@ -22,6 +22,8 @@ BASE = 0x9E3779B97F4A7C15
 STEP = 0xD1342543DE82EF95
 #: Bytes of text that are taken through numpy at once (a longer text is taken alone).
 SLICE_BYTES = 2 << 20
+#: Length of the table of powers.
+BLOCK = 1 << 16
 
 
 def cache() -> dict:
@@ -34,6 +36,7 @@ def lean() -> None:
     kept = cache()
     if not kept.get("lean"):
         kept["lean"] = True
+        pa.set_memory_pool(pa.system_memory_pool())
         libc = ctypes.CDLL(None)
         if hasattr(libc, "mallopt"):
             libc.mallopt(-3, 1 << 20)  # arrays from 1 MB on are mapped on their own
@@ -51,22 +54,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the base and of its inverse modulo 2**64, kept for the worker's life."""
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 .. BLOCK - 1 of the base and of its inverse modulo 2**64, kept for the worker's life."""
     kept = cache()
-    if len(kept.get("powers", ((),))[0]) <= n:
-        size = max(n + n // 4, 1 << 16)
-        both = []
-        for b in (BASE, pow(BASE, -1, 1 << 64)):
-            p = np.full(size, b, U)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        if size > 4 * SLICE_BYTES:  # for one very long text; not worth keeping
-            return both[0], both[1]
-        kept["powers"] = (both[0], both[1])
+    if "powers" not in kept:
+        kept["powers"] = tuple(runs_of(b, BLOCK) for b in (BASE, pow(BASE, -1, 1 << 64)))
     return kept["powers"]
 
 
+def runs_of(base: int, n: int) -> np.ndarray:
+    p = np.full(n, base, U)
+    p[:1] = 1
+    return np.multiply.accumulate(p)
+
+
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Sums of the first 0 .. n values, each times the base to the power of its place."""
+    out = np.zeros(len(values) + 1, U)
+    out[1:] = values
+    up, scale = powers()[0], 1
+    for at in range(1, len(out), BLOCK):  # powers are those within a block times that of its start
+        part = out[at : at + BLOCK]
+        part *= up[: len(part)]
+        part *= U(scale)
+        scale = scale * pow(BASE, BLOCK, 1 << 64) % (1 << 64)
+    return np.cumsum(out, out=out)
+
+
+def moved(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Differences of prefix sums, divided by the base to the power of where they start."""
+    down = powers()[1]
+    far = runs_of(pow(BASE, -BLOCK, 1 << 64), int(starts.max(initial=0)) // BLOCK + 1)
+    return values * down[starts % BLOCK] * far[starts // BLOCK]
+
+
 def spread(counts: np.ndarray) -> np.ndarray:
     """0..c-1 for each count c, one after the other."""
     ends = np.cumsum(counts)
@@ -122,12 +143,9 @@ class Texts:
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A 64-bit hash of each byte range."""
-        up, down = powers(len(self.data))
         if self._sums is None:
-            s = np.zeros(len(self.data) + 1, U)
-            np.cumsum((self.data.astype(U) + U(1)) * up[: len(self.data)], out=s[1:])
-            self._sums = s
-        h = (self._sums[ends] - self._sums[starts]) * down[starts]
+            self._sums = prefix_sums(self.data.astype(U) + U(1))
+        h = moved(self._sums[ends] - self._sums[starts], starts)
         return mix(h ^ ((ends - starts).astype(U) << U(48)))
 
     def word_hashes(self) -> np.ndarray:
@@ -226,5 +244,24 @@ def stored(df: DataFrame, what: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that a job writes in the shared folder and removes when it is through, but for those that its result reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def store(self, df: DataFrame, what: str = "part") -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{what}"
+        df.write.parquet(path)
+        self.paths[path] = what
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self, *keep: str) -> None:
+        for path in [p for p, what in self.paths.items() if what not in keep]:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+            del self.paths[path]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

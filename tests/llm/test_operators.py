@@ -93,9 +93,9 @@ def jaccard_brute(rows):
     return sorted(((r[0], len(sets[r[0]]), find(r[0])) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("group", [64, 2])
-def test_jaccard(spark, monkeypatch, group):
-    monkeypatch.setattr(op2, "SMALL_GROUP", group)
+@pytest.mark.parametrize("most", [1 << 18, 0])
+def test_jaccard(spark, monkeypatch, most):
+    monkeypatch.setattr(op2, "FREQUENT", most)
     assert got(op2.jaccard_components(edge.table(spark))) == jaccard_brute(edge.rows())
 
 
@@ -113,6 +113,31 @@ def test_jaccard_of_many_near_copies(spark):
     assert got(out) == jaccard_brute(rows)
 
 
+def test_jaccard_of_a_mixed_group(spark):
+    """Several families of edited copies that share most of their n-grams, at sizes about the threshold."""
+    base, rows = edge.prose(30, 90).split(), []
+    for i in range(260):
+        words = list(base)
+        for k in range(i % 7):
+            words[(11 * (i % 5) + 17 * k) % 90] = f"f{i % 5}k{k}" if i % 3 else f"w{i}x{k}"
+        rows.append((i, " ".join(words[: 90 - i % 9])))
+    out = op2.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert got(out) == jaccard_brute(rows)
+
+
+def test_candidates_grow_with_the_members(spark):
+    """Comparisons of near copies of one text: five times the copies, about five times the pairs."""
+    made = []
+    for copies in (60, 300):
+        base = edge.prose(31, 100).split()
+        rows = [(i, " ".join(w if j != i % 100 and j != (7 * i) % 100 else f"e{i}" for j, w in enumerate(base))) for i in range(copies)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        known = op2.described(docs, 4)
+        order = spark.sparkContext.broadcast(op2.global_order(known.where("part IS NOT NULL").select("part", "counted"), 4))
+        made.append(op2.hub_pairs(op2.meetings(op2.prefix_entries(docs, order))).count())
+    assert made[1] <= 7 * made[0] <= 7 * 600
+
+
 def test_jaccard_of_little(spark):
     assert op2.jaccard_components(edge.empty(spark)).count() == 0
     assert got(op2.jaccard_components(edge.all_null(spark))) == [(None, 0, None)] * 3
