@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import MARKER, NUMBER, WHITE_SPACE
+from .patterns import BARE_STEPS, LABEL_WORDS, MARKER, NUMBER, WHITE_SPACE
 
 BLOCK_TAGS = "address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 head header hr html body li main nav ol p pre section table tbody td th thead title tr ul"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
@@ -43,7 +43,7 @@ def numbers(text: Column, number: str = NUMBER) -> Column:
 
 def bare_number(number: Column) -> Column:
     """A number without separators and labels, as registers write it; an office prefix stays."""
-    for pattern in ("[ .,'#]", "(?i)(Patents?|Pat)", "(?i)(Numbers?|Nos?)"):
+    for pattern in BARE_STEPS:
         number = F.regexp_replace(number, pattern, "")
     return number
 
@@ -70,7 +70,7 @@ def shorter_context(context: Column, old: int, new: int) -> Column:
 def marked_tokens(text: Column, number: str = NUMBER) -> Column:
     """Tokens of a text in which each number is one marker; the words of the label don't count."""
     t = F.regexp_replace(text, number, f" {MARKER} ")
-    t = F.regexp_replace(t, r"(?i)\b(patents?|US|U.?S.?)\b", " ")
+    t = F.regexp_replace(t, LABEL_WORDS, " ")
     t = F.regexp_replace(F.regexp_replace(t, r"[^\p{IsAlphabetic}0-9]", " "), " +", " ")
     return F.when(t == " ", F.array().cast("array<string>")).otherwise(F.split(F.rtrim(t), " "))
 

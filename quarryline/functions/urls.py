@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,37 +63,18 @@ def url_of_filename(name: Column) -> Column:
     return F.when(F.regexp_like(name, F.lit(r"\.(pdf|html)$")), plain)
 
 
-def public_suffixes(spark: SparkSession) -> tuple[set[str], set[str], set[str]]:
-    """Exact, wildcard and excluded public suffixes of the list that ships with Spark's libraries; its size is fixed."""
-    jvm = spark.sparkContext._jvm
-    found = []
-    for kind in ("EXACT", "UNDER", "EXCLUDED"):
-        table = getattr(jvm.com.google.thirdparty.publicsuffix.PublicSuffixPatterns, kind)
-        found.append(set(jvm.com.google.common.base.Joiner.on(" ").join(table.keySet()).split(" ")))
-    return tuple(found)
-
-
 def top_private_domain(spark: SparkSession, host_column: Column) -> Column:
-    """The public suffix of a host and one label more; empty for addresses, bare suffixes, unlisted top domains and null."""
-    exact, under, excluded = public_suffixes(spark)
-    lists = spark.sparkContext.broadcast((exact, under, excluded))
-
-    @F.pandas_udf("string")
-    def top(hosts: pd.Series) -> pd.Series:
-        exact, under, excluded = lists.value
-
-        def one(h: str | None) -> str:
-            labels = (h or "").lower().strip(".").split(".")
-            for i in range(len(labels)):
-                tail = ".".join(labels[i:])
-                rest = ".".join(labels[i + 1 :])
-                if tail in excluded:
-                    return tail
-                if tail in exact or rest in under:
-                    return ".".join(labels[i - 1 :]) if i else ""
-            return ""
-
-        known = {h: one(h) for h in hosts.unique()}
-        return hosts.map(known)
-
-    return top(host_column)
+    """The public suffix of a host and one label more; empty for addresses, bare suffixes, unlisted top domains and null.
+
+    The suffixes are those of the list that ships with Spark's libraries. Its parts become hash sets in the expression, so neither
+    Python nor a join runs for the rows.
+    """
+    lists = spark.sparkContext._jvm.com.google.thirdparty.publicsuffix.PublicSuffixPatterns
+    among = lambda c, kind: type(c)(c._jc.isInCollection(getattr(lists, kind).keySet()))
+    labels = F.split(F.regexp_replace(F.lower(host_column), r"^\.+|\.+$", ""), r"\.")
+    tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # How many labels more than the tail the domain has, where a rule fits the tail: what is excluded is a domain itself.
+    fits = F.transform(tails, lambda t: F.when(among(t, "EXCLUDED"), 0).when(among(t, "EXACT") | among(F.regexp_extract(t, r"^[^.]*\.(.*)$", 1), "UNDER"), 1))
+    found = F.filter(F.transform(fits, lambda more, i: F.when(more.isNotNull(), i + 1 - more)), lambda at: at.isNotNull())
+    start = F.get(found, F.lit(0))  # the longest tail counts
+    return F.when(start >= 1, F.array_join(F.slice(labels, F.greatest(start, F.lit(1)), F.size(labels)), ".")).otherwise("")

@@ -37,7 +37,7 @@ class Feature:
             return f"{self.sql} = {'false' if at_most else 'true'}"
         if self.kind == "ratio" and not 0.0 <= threshold <= 1.0:
             raise ValueError(f"{self.name}: {threshold}")
-        return f"{self.sql} {'<=' if at_most else '>'} {threshold!r}D"
+        return f"{self.sql} {'<=' if at_most else '>'} CAST({threshold!r} AS DOUBLE)"
 
 
 def features(words: tuple[str, ...] = FEATURE_WORDS) -> list[Feature]:
@@ -75,6 +75,10 @@ def regression(training: DataFrame, iterations: int = 100) -> LinearRegressionMo
     return LinearRegression(maxIter=iterations, fitIntercept=False, regParam=1e-3, solver="auto").fit(training)
 
 
+def predicted(model, rows: DataFrame, found: list[Feature]) -> DataFrame:
+    return model.transform(assembled(rows, found))
+
+
 def binary(value: Column) -> Column:
     return F.when(value < 0.5, 0.0).otherwise(1.0)
 
@@ -104,7 +108,7 @@ def tree_sql(model: DecisionTreeClassificationModel, found: list[Feature], view:
 def regression_sql(model: LinearRegressionModel, found: list[Feature], view: str = "ClassifierDataset") -> str:
     """A query for the weighted sum, largest weights first."""
     terms = sorted(((w, f) for w, f in zip(model.coefficients.toArray().tolist(), found, strict=True) if w), key=lambda t: -abs(t[0]))
-    total = "\n + ".join(f"CAST({f.sql} AS DOUBLE) * {w!r}D" for w, f in terms) or "0D"
+    total = "\n + ".join(f"CAST({f.sql} AS DOUBLE) * CAST({w!r} AS DOUBLE)" for w, f in terms) or "CAST(0 AS DOUBLE)"
     return f"SELECT ({total}) AS score, url FROM {view} ORDER BY score DESC, url"
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import urls
 from ..functions.patterns import MARKING_TYPES, PAGE_TYPES
+from .pages import numbered
 
 
 def parse_labels(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -60,6 +60,5 @@ def by_domain(proposed: DataFrame, known: DataFrame, domain: Column) -> DataFram
 
 def balanced(rows: DataFrame, label_column: str, *order: str) -> DataFrame:
     """As many rows of each label as the rarest has, the first in the given order."""
-    least = rows.groupBy(label_column).count().agg(F.min("count")).scalar()
-    nth = F.row_number().over(Window.partitionBy(label_column).orderBy(*order))
-    return rows.withColumn("_nth", nth).where(F.col("_nth") <= least).drop("_nth")
+    counts = rows.groupBy(label_column).count().agg(F.min("count").alias("_least"))
+    return numbered(rows, "_nth", *order, by=(label_column,)).join(F.broadcast(counts), F.col("_nth") <= F.col("_least")).select(*rows.columns)

@@ -10,8 +10,10 @@ A page is handled as a whole in one Arrow batch function; finding candidate root
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import re
+import sys
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -99,8 +101,42 @@ def parse(html: str) -> Node:
     return b.top
 
 
+def numbered(top: Node) -> dict[str, Node]:
+    """All elements by their path, in document order; each level is numbered once."""
+    found: dict[str, Node] = {}
+    stack = [(top, "")]
+    while stack:
+        node, path = stack.pop()
+        if path:
+            found.setdefault(path, node)
+        total, seen, inner = Counter(k.tag for k in node.kids), Counter(), []
+        for k in node.kids:
+            seen[k.tag] += 1
+            inner.append((k, f"{path}/{k.tag}" + (f"[{seen[k.tag]}]" if total[k.tag] > 1 else "")))
+        stack.extend(reversed(inner))
+    return found
+
+
 def by_path(top: Node, path: str) -> Node | None:
-    return next((n for n in top.walk() if n.up is not None and n.path() == path), None)
+    return numbered(top).get(path)
+
+
+def depth(top: Node) -> int:
+    most, level = 0, [top]
+    while level:
+        most, level = most + 1, [k for n in level for k in n.kids]
+    return most
+
+
+@contextlib.contextmanager
+def deep(top: Node) -> Iterator[None]:
+    """Room for trees as deep as this one: matching and alignment go down level by level."""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, 1000 + 10 * depth(top)))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)
 
 
 def simplified(path: str) -> str:
@@ -129,12 +165,13 @@ def runs_of(items: list, wanted: Callable) -> list[list]:
 def candidate_roots(top: Node, of: Callable[[str], bool] = lambda text: True) -> list[Node]:
     """Roots with two children at least, those above most kinds of text paths first (then by path)."""
     kinds: dict[str, list[list[str]]] = {}
-    for node in top.walk():
+    places = numbered(top)
+    for path, node in places.items():
         if node.tag == "text" and of(node.text):
-            path = node.up.path()
+            path = path.rpartition("/")[0]
             kinds.setdefault(simplified(path), []).append(path.split("/"))
     votes = Counter("/".join(common_prefix(paths)) for paths in kinds.values())
-    found = (by_path(top, path) for path, _ in sorted(votes.items(), key=lambda v: (-v[1], v[0])))
+    found = (places.get(path) for path, _ in sorted(votes.items(), key=lambda v: (-v[1], v[0])))
     return [node for node in found if node is not None and len(node.kids) >= 2]
 
 
@@ -179,12 +216,12 @@ def clustered_match(a: Node, b: Node, wide: int = 1) -> float:
 def shapes(nodes: list[Node]) -> list[int]:
     """The shape of each node (its tags, without texts and marks), numbered by first occurrence among the nodes."""
     known: dict[tuple, int] = {}
-
-    def of(node: Node) -> int:
-        return known.setdefault((node.tag, *map(of, node.kids)), len(known))
-
+    own: dict[int, int] = {}  # shape of each element below, by identity
+    for top in nodes:
+        for node in reversed(list(top.walk())):  # children come before their parents
+            own[id(node)] = known.setdefault((node.tag, *(own[id(k)] for k in node.kids)), len(known))
     number: dict[int, int] = {}
-    return [number.setdefault(of(n), len(number)) for n in nodes]
+    return [number.setdefault(own[id(n)], len(number)) for n in nodes]
 
 
 def similarities(nodes: list[Node]) -> tuple[np.ndarray, list[int]]:
@@ -265,9 +302,11 @@ class Column:
         return Column(node.tag, node.marks, {record: node}, [Column.of(k, record) for k in node.kids])
 
     def walk(self) -> Iterator[Column]:
-        yield self
-        for k in self.kids:
-            yield from k.walk()
+        stack = [self]
+        while stack:
+            column = stack.pop()
+            yield column
+            stack.extend(reversed(column.kids))
 
 
 def fit(c: Column, n: Node) -> int:
@@ -309,9 +348,11 @@ def place(columns: list[Column], nodes: list[Node], record: int, grow: bool) ->
     return grown, missed
 
 
-def aligned(records: list[list[Node]]) -> list[Column]:
-    """The template of all records: the largest one first; records that didn't fit whole are tried again once it has grown."""
-    seed = max(range(len(records)), key=lambda r: (sum(n.size() for n in records[r]), -r))
+def aligned(records: list[list[Node]], seed: int | None = None) -> list[Column]:
+    """The template of all records: that of ``seed`` first, by default the largest one; records that didn't fit whole are tried again
+    once it has grown."""
+    if seed is None:
+        seed = max(range(len(records)), key=lambda r: (sum(n.size() for n in records[r]), -r))
     template = [Column.of(n, seed) for n in records[seed]]
     queue, waiting = [r for r in range(len(records)) if r != seed], []
     while queue:
@@ -345,14 +386,75 @@ def texts(template: list[Column], n: int) -> list[dict[str, str]]:
     return out
 
 
-def mine(root: Node, seed: list[Node] | None = None) -> list[dict[str, str]]:
-    """The records below a root, each a map from path to text."""
+def mapping(template: list[Column], top: Node) -> list[dict[str, str]]:
+    """For each column the path of the element that fills it, by the number of the record."""
+    places = {id(node): path for path, node in numbered(top).items()}
+    return [{r: places[id(node)] for r, node in sorted(c.cells.items())} for column in template for c in column.walk()]
+
+
+def template_of(root: Node, seed: list[Node] | None = None) -> tuple[list[Column], int]:
+    """The template of the records below a root and their number. ``seed`` is a known record, of this root or of another page: records
+    are cut where they are like its first element, and aligned to it first."""
     if seed is None:
         sims, kinds = similarities(root.kids)
         cut = best_division(sims, kinds, clusters(sims, kinds))
     else:
         cut = division_by_seed(root, seed)
-    return texts(aligned([[root.kids[i] for i in r] for r in cut]), len(cut)) if cut else []
+    records = [[root.kids[i] for i in r] for r in cut]
+    if not records:
+        return [], 0
+    if seed is None:
+        return aligned(records), len(records)
+    at = next((i for i, r in enumerate(records) if r == seed), None)
+    if at is not None:
+        return aligned(records, at), len(records)
+    template = aligned([*records, seed], len(records))  # a record of elsewhere: its columns stay, its cells go
+    for c in (c for top in template for c in top.walk()):
+        c.cells.pop(len(records), None)
+    return template, len(records)
+
+
+def mine(root: Node, seed: list[Node] | None = None) -> list[dict[str, str]]:
+    """The records below a root, each a map from path to text."""
+    return texts(*template_of(root, seed))
+
+
+def parse_strict(xml: str) -> Node:
+    """A tree from XML that must be well-formed (ValueError if it isn't); marks and texts as in ``parse``."""
+    from xml.parsers import expat
+
+    top = at = Node("#")
+    parser = expat.ParserCreate()
+    parser.buffer_text = True
+
+    def start(tag: str, attrs: dict) -> None:
+        nonlocal at
+        at = at.add(Node(tag, {k: v for k, v in attrs.items() if k in ("class", "itemprop") and v}))
+
+    def end(_: str) -> None:
+        nonlocal at
+        at = at.up
+
+    def data(text: str) -> None:
+        if text.strip():
+            at.add(Node("text", text=" ".join(text.split())))
+
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, data
+    try:
+        parser.Parse(xml, True)
+    except expat.ExpatError as e:
+        raise ValueError(str(e)) from e
+    return top
+
+
+def printed(node: Node) -> str:
+    """The tree as lines, indented by depth."""
+    out, stack = [], [(node, 0)]
+    while stack:
+        n, level = stack.pop()
+        out.append("  " * level + (n.text if n.tag == "text" else n.tag))
+        stack.extend((k, level + 1) for k in reversed(n.kids))
+    return "\n".join(out)
 
 
 def nested(flat: dict[str, str]) -> dict:
@@ -392,13 +494,15 @@ def mine_pages(pages: DataFrame, wanted: str | None = None, roots: int = 3) -> D
             rows = []
             for page, html in zip(batch["page_id"], batch["html"], strict=True):
                 try:
-                    found = candidate_roots(parse(html), (lambda t: bool(hit.search(t))) if hit else lambda t: True)[:roots]
+                    top = parse(html)
+                    found = candidate_roots(top, (lambda t: bool(hit.search(t))) if hit else lambda t: True)[:roots]
                 except Exception as e:  # one page must not end the job; the row says what happened
                     rows.append((page, None, 0, 0, 0, [], repr(e)))
                     continue
                 for rank, root in enumerate(found):
                     try:
-                        records = mine(root)
+                        with deep(top):
+                            records = mine(root)
                         n = sum(1 for r in records if hit is None or any(hit.search(t) for t in r.values()))
                         rows.append((page, root.path(), rank, len(records), n, records, None))
                     except Exception as e:
@@ -414,7 +518,7 @@ def text_nodes(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(page, n.up.path(), n.text) for page, html in zip(batch["page_id"], batch["html"], strict=True) for n in parse(html).walk() if n.tag == "text"]
+            rows = [(page, path.rpartition("/")[0], n.text) for page, html in zip(batch["page_id"], batch["html"], strict=True) for path, n in numbered(parse(html)).items() if n.tag == "text"]
             if rows:
                 yield pd.DataFrame(rows, columns=["page_id", "path", "text"])
 

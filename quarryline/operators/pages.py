@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import urls
 from ..functions.patterns import Patterns
+from ..sources.files import stored
 
 
 def valid_pages(records: DataFrame) -> DataFrame:
@@ -64,10 +64,15 @@ def match_map(column: Column, regexes: tuple[str, ...], context: int) -> Column:
     return F.map_from_arrays(F.array(*(F.lit(r) for r in regexes)), F.array(*(T.matches(column, _uncaptured(r), context) for r in regexes)))
 
 
+def domain_of(spark: SparkSession, url: Column) -> Column:
+    """The top private domain of a url's host, empty without one."""
+    return urls.top_private_domain(spark, urls.host(url))
+
+
 def build(pages: DataFrame, patterns: Patterns | None = None, domain: Column | None = None) -> DataFrame:
     """The page table from (url, text): numbers and further matches with contexts, words, runs. Pages without numbers are left out.
 
-    Other columns of ``pages`` stay. ``domain`` defaults to the host.
+    Other columns of ``pages`` stay. ``domain`` defaults to the top private domain.
     """
     p = patterns or Patterns()
     url = F.coalesce(urls.normalized(F.col("url")), F.col("url"))
@@ -75,7 +80,7 @@ def build(pages: DataFrame, patterns: Patterns | None = None, domain: Column | N
     hits = extract(base, p).drop("numbers")
     w, tokens = T.words(F.col("text")), T.marked_tokens(F.col("text"), p.number)
     return hits.withColumns({
-        "domain": domain if domain is not None else F.coalesce(urls.host(F.col("url")), F.lit("")),
+        "domain": domain if domain is not None else domain_of(pages.sparkSession, F.col("url")),
         "patent_numbers": T.matches(F.col("text"), p.number, p.context),
         "text_matches": match_map(F.col("text"), p.text_regexes, p.context),
         "url_matches": match_map(F.col("url"), p.url_regexes, p.context),
@@ -121,20 +126,23 @@ def first_of_url(pages: DataFrame) -> DataFrame:
 
 
 def every_nth(pages: DataFrame, n: int, *order: str) -> DataFrame:
-    """The first row and every n-th one after it in the given order.
+    """The first row and every n-th one after it in the given order."""
+    return numbered(pages, "_row", *order).where(F.col("_row") % n == 1 % n).drop("_row")
+
+
+def numbered(rows: DataFrame, name: str, *order: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with their number from 1 on in the given order, within each value of ``by`` if that is given.
 
-    Rows are numbered without bringing them to one task: the ranges of a sort are counted, then numbered with their offsets.
+    No value is brought to one task: rows are dealt out by ranges of the order and written to shared storage, as a sampled range may
+    differ when it is computed again; each range is numbered by itself and begins after the rows of those before it.
     """
-    spark = pages.sparkSession
-    ranged = pages.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
-    # Kept, as the bounds of ranges come from a sample and both uses must see the same ones.
-    ranged = ranged.persist(StorageLevel.DISK_ONLY)
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("n"))
-    # One number for each partition.
-    at, starts = 0, []
-    for part, count in sorted(counts.collect()):
-        starts.append((part, at))
-        at += count
-    offset = F.broadcast(spark.createDataFrame(starts or [(0, 0)], "_part long, _start long"))
-    numbered = ranged.join(offset, "_part").withColumn("_row", F.col("_start") + F.col("_id").bitwiseAND((1 << 33) - 1))
-    return numbered.where(F.col("_row") % n == 0).drop("_id", "_part", "_start", "_row")
+    ranged = stored(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("_part", *by).agg(F.count("*").alias("_n"))
+    # As many rows as there are ranges and values.
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", *(F.col(c).alias(f"_{c}") for c in by), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = ranged.withColumn(name, F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order)))
+    same = own["_part"] == starts["_part"]
+    for c in by:
+        same &= own[c].eqNullSafe(starts[f"_{c}"])
+    return own.join(starts, same).select(*rows.columns, (F.col(name) + F.col("_start")).alias(name))

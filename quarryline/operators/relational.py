@@ -20,8 +20,11 @@ def register(publications: DataFrame, applicants: DataFrame, persons: DataFrame,
 
 
 def domains(mentions: DataFrame) -> DataFrame:
-    """Pages, mentions and distinct numbers of each domain."""
-    return mentions.groupBy("domain").agg(F.count_distinct("url").alias("num_pages"), F.count("*").alias("num_patents_with_duplicates"), F.count_distinct("patent_number").alias("num_distinct_patents"))
+    """Pages, mentions and distinct numbers of each domain. Equal values are summed up first, so no mention is written more than once
+    for a count."""
+    count = lambda by, name: mentions.groupBy("domain", by).agg(F.count("*").alias("_n")).groupBy("domain").agg(F.count(by).alias(name), F.sum("_n").alias("_n"))
+    pages = count("url", "num_pages").withColumnRenamed("_n", "num_patents_with_duplicates")
+    return pages.join(count("patent_number", "num_distinct_patents").drop("_n"), "domain")
 
 
 def domain_names(mentions: DataFrame, registered: DataFrame) -> DataFrame:
@@ -84,8 +87,16 @@ def count_of_counts(rows: DataFrame, by: str) -> DataFrame:
     return counts.select("n", "values", F.floor(100 * F.col("n") * F.col("values") / total).cast("long").alias("percent"))
 
 
-def patterns_summary(rows: DataFrame, pattern: str, item: str, show: int = 10) -> DataFrame:
-    """Each pattern with the number of its items and the first few of them."""
-    ranked = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(pattern).orderBy(item)))
-    shown = F.array_sort(F.collect_list(F.when(F.col("_nth") <= show, F.concat(F.lit("["), F.col(item), F.lit("]")))))
-    return ranked.groupBy(F.col(pattern).alias("pattern")).agg(F.count("*").alias("n"), F.array_join(shown, "\t").alias("items"))
+def patterns_summary(rows: DataFrame, pattern: str, item: str, show: int = 10, salts: int = 64) -> DataFrame:
+    """Each pattern with the number of its items and the first few of them.
+
+    Equal items are counted first, and of each part of a pattern's items only the first few go on, so a pattern may have any number.
+    """
+    counted = rows.groupBy(pattern, item).agg(F.count("*").alias("_n"))
+    salted = counted.withColumn("_salt", F.pmod(F.xxhash64(item), F.lit(salts)))
+    first = Window.partitionBy(pattern, "_salt").orderBy(item)
+    few = salted.withColumn("_nth", F.row_number().over(first)).groupBy(pattern, "_salt").agg(
+        F.sum("_n").alias("_n"), F.flatten(F.collect_list(F.when(F.col("_nth") <= show, F.array_repeat(item, F.least("_n", F.lit(show)).cast("int"))))).alias("_few"))
+    shown = F.slice(F.array_sort(F.flatten(F.collect_list("_few"))), 1, show)
+    text = F.array_join(F.array_sort(F.transform(shown, lambda x: F.concat(F.lit("["), x, F.lit("]")))), "\t")
+    return few.groupBy(F.col(pattern).alias("pattern")).agg(F.sum("_n").alias("n"), text.alias("items"))

@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions import urls
-from ..functions.patterns import KEYWORD, NUMBER_DOUBLED
+from ..functions.patterns import KEYWORD
 from ..operators import pages as P
 from ..operators import relational as R
 
+# The number regex for the SQL engine of the check, which has no lookarounds: for text with doubled spaces, so that a bound that takes
+# one space leaves one for the next number.
+SQL_NUMBER = (
+    r"(?:(?:(?:U\.?S\.?|EP|GB|JP)(?:  )?)?(?:(?i:Patents?|Pat(?:  |.)?)  )?(?:(?i:Numbers?|Nos?\.?)(?:  )?)?(?:D(?:  )?(?:#(?:  )?)?|(?:#(?:  )?)?\d[,.']?)"
+    r"\d\d\d[,.']?\d\d\d(?:(?:[,.']|  )?[A-Z]\d?)?|(?:U\.?S\.?(?:  )?)?(?:(?i:Patents?|Pat(?:  |.)?)  )?(?:(?i:Numbers?|Nos?\.?)(?:  )?)?RE(?:  )?\d\d[,.']?"
+    r"\d\d\d(?:(?:[,.']|  )?[A-Z]\d?)?|(?:JP(?:  )?)?(?:(?i:Patents?|Pat(?:  |.)?)  )?(?:(?i:Numbers?|Nos?\.?)(?:  )?)?(?:[HS](?:  )?)?(?:\d{7,8}|\d{10})(?:("
+    r"?:  )?[A-Z]\d?)?)"
+)
+#: Group 1 is the number.
+SQL_BOUNDED_NUMBER = f"(?:^|[ :])({SQL_NUMBER})(?:[,.';:()]?(?: |$))"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,9 +52,10 @@ def corpus(spark: SparkSession, sf_dir: str, with_html: bool = False) -> DataFra
     return out.select("page_id", "url", text.alias("text"))
 
 
-def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each mention: page_id, url, domain, patent_number, patent_number_full."""
-    hits = P.extract(corpus(spark, sf_dir)).select("page_id", "url", urls.host(F.col("url")).alias("domain"), F.explode("numbers").alias("patent_number_full"))
+def mentions(spark: SparkSession, sf_dir: str, domain: Column | None = None) -> DataFrame:
+    """One row for each mention: page_id, url, domain (the top private one by default), patent_number, patent_number_full."""
+    domain = P.domain_of(spark, F.col("url")) if domain is None else domain
+    hits = P.extract(corpus(spark, sf_dir)).select("page_id", "url", domain.alias("domain"), F.explode("numbers").alias("patent_number_full"))
     return hits.withColumn("patent_number", T.bare_number(F.col("patent_number_full")))
 
 
@@ -85,6 +96,9 @@ def sql_words(text: str) -> str:
 
 SQL_HOST = r"regexp_replace(regexp_replace(regexp_extract(url, '(?i)^\w+://([^/?#]*)', 1), '^.*@', ''), ':\d*$', '')"
 
+#: Of the test pages' hosts, the top private domain is the last two labels.
+SQL_DOMAIN = rf"lower(regexp_extract({SQL_HOST}, '([^.]+\.[^.]+)$', 1))"
+
 #: Common table expressions for the oracles: corpus, kept (pages with keyword and number), mention, reg.
 SQL = rf"""
 nn AS (SELECT count(*) AS n FROM pages),
@@ -99,13 +113,13 @@ frag AS (
   FROM orders, nn WHERE o_custkey % (3 * n) < n AND (o_custkey % (3 * n)) % 5 <> 0),
 corpus AS (SELECT page_id, url, html, 'intro ' || string_agg(f, ' ' ORDER BY o_orderkey) AS text FROM pages JOIN frag ON pid = page_id GROUP BY page_id, url, html),
 found AS (
-  SELECT page_id, url, text, list_transform(regexp_extract_all(replace(text, ' ', '  '), {quoted(NUMBER_DOUBLED)}, 1), lambda x: replace(x, '  ', ' ')) AS numbers
+  SELECT page_id, url, text, list_transform(regexp_extract_all(replace(text, ' ', '  '), {quoted(SQL_BOUNDED_NUMBER)}, 1), lambda x: replace(x, '  ', ' ')) AS numbers
   FROM corpus WHERE regexp_matches(text, {quoted(KEYWORD)})),
-kept AS (SELECT *, {SQL_HOST} AS domain FROM found WHERE len(numbers) > 0),
+kept AS (SELECT *, {SQL_HOST} AS host, {SQL_DOMAIN} AS domain FROM found WHERE len(numbers) > 0),
 mention AS (
-  SELECT page_id, url, domain, position, patent_number_full,
+  SELECT page_id, url, host, domain, position, patent_number_full,
     regexp_replace(regexp_replace(regexp_replace(patent_number_full, '[ .,''#]', '', 'g'), '(?i)(Patents?|Pat)', '', 'g'), '(?i)(Numbers?|Nos?)', '', 'g') AS patent_number
-  FROM (SELECT page_id, url, domain, unnest(numbers) AS patent_number_full, unnest(range(len(numbers))) AS position FROM kept)),
+  FROM (SELECT page_id, url, host, domain, unnest(numbers) AS patent_number_full, unnest(range(len(numbers))) AS position FROM kept)),
 reg AS (
   SELECT (o_orderkey + 1000000)::VARCHAR AS publn_nr, s_suppkey AS person_id, s_name AS han_name
   FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +13,7 @@ from ..operators import mining
 from ..operators import pages as P
 from ..operators import relational as R
 from ..sources import warc
+from ..sources.files import shared_folder, stored
 from ..streaming import extract as S
 from .corpus import corpus, mentions, registered, sql_words, table
 from .queries import STATS, WITH, WITH_MORE, _built, _sql_count
@@ -24,16 +21,18 @@ from .registry import query
 
 
 def _dataset(spark: SparkSession, sf_dir: str, how: str = "left") -> DataFrame:
-    built = _built(spark, sf_dir)
-    rows, domains = P.patent_rows(built), R.domains(P.patent_rows(built))
+    """The dataset of the classifier; the page table is written once, as all parts of it are read from there."""
+    built = stored(_built(spark, sf_dir), "pages")
+    rows = P.patent_rows(built)
+    domains = R.domains(rows)
     return M.dataset(built, P.regex_columns(P.regex_rows(built)), domains, R.domain_stats(R.domain_names(rows, registered(spark, sf_dir)), domains), how)
 
 
-def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training rows: pages with the label of the document of the same id."""
+def _with_labels(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """Pages with the label of the document of the same id."""
     kind = F.when(F.col("quality") == 1, "svpm").otherwise("other")
     labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id")).agg(F.max("quality").alias("quality")).select("page_id", kind.alias("page_type"))
-    return _dataset(spark, sf_dir, "inner").join(labels, "page_id").withColumn("label", K.label(F.col("page_type")))
+    return rows.join(labels, "page_id").withColumn("label", K.label(F.col("page_type")))
 
 
 SQL_DATA = f"""{STATS.replace("count(DISTINCT url)", "count(DISTINCT regexp_replace(url, '#.*$', ''))")}, words AS (SELECT page_id, url, domain, {sql_words('text')} AS w FROM kept),
@@ -44,7 +43,7 @@ lab AS (SELECT doc_id AS page_id, max(quality) AS q FROM labels GROUP BY 1)"""
   share_top1, han_names_herfindahl_index, CASE WHEN q = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS label FROM words JOIN lab USING (page_id) JOIN dm USING (domain) JOIN st USING (domain)""")
 def training_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     nine = [F.round(c, 9).alias(c) for c in ("share_top1", "han_names_herfindahl_index")]
-    return _labelled(spark, sf_dir).select("page_id", "domain", "num_words", "num_distinct_words", "num_pages", "num_distinct_matched_patents", "num_distinct_han_names", *nine, "label")
+    return _with_labels(spark, sf_dir, _dataset(spark, sf_dir, "inner")).select("page_id", "domain", "num_words", "num_distinct_words", "num_pages", "num_distinct_matched_patents", "num_distinct_han_names", *nine, "label")
 
 
 @query("""WITH l AS (SELECT doc_id, quality, toxic FROM labels), m AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM l GROUP BY quality))
@@ -64,24 +63,27 @@ def prediction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dataset(spark, sf_dir).select("page_id", "domain", "num_pages", "num_distinct_matched_patents", F.round("share_top1", 9).alias("share_top1"), "text_vpm_r1")
 
 
-def _training(spark: SparkSession, sf_dir: str, found: list[M.Feature]) -> DataFrame:
-    """Labelled vectors; at small scales one kind of label may be missing, so pages with phrases count as marking pages."""
-    rows = _labelled(spark, sf_dir).withColumn("label", F.when(F.col("text_vpm_r1") > 0, 1.0).otherwise(F.col("label") * 0))
-    return M.assembled(rows, found).select("features", "label").cache()
+def _labelled(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """Balanced training rows of a dataset: pages with a label whose domain has statistics."""
+    return K.balanced(_with_labels(spark, sf_dir, rows.where("num_distinct_han_names > 0")), "label", "page_id")
+
+
+def _models(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[M.Feature]]:
+    """The dataset, the training rows with their vectors, and the features. The dataset is written once for training and prediction."""
+    found, rows = M.features(), stored(_dataset(spark, sf_dir), "dataset")
+    return rows, M.assembled(_labelled(spark, sf_dir, rows), found).select("features", "label"), found
 
 
 @query()
 def predict_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = M.features()
-    model = M.tree(_training(spark, sf_dir, found))
-    return model.transform(M.assembled(_dataset(spark, sf_dir), found)).select("page_id", "url", "prediction")
+    rows, training, found = _models(spark, sf_dir)
+    return M.predicted(M.tree(training), rows, found).select("page_id", "url", "prediction")
 
 
 @query()
 def predict_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = M.features()
-    model = M.regression(_training(spark, sf_dir, found))
-    return model.transform(M.assembled(_dataset(spark, sf_dir), found)).select("page_id", "domain", "url", "prediction")
+    rows, training, found = _models(spark, sf_dir)
+    return M.predicted(M.regression(training), rows, found).select("page_id", "domain", "url", "prediction")
 
 
 @query()
@@ -92,18 +94,16 @@ def prediction_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tree_rules_as_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Urls that the tree's emitted SQL finds."""
-    found = M.features()
-    model = M.tree(_training(spark, sf_dir, found))
-    _dataset(spark, sf_dir).createOrReplaceTempView("ClassifierDataset")
-    return spark.sql(M.tree_sql(model, found))
+    rows, training, found = _models(spark, sf_dir)
+    rows.createOrReplaceTempView("ClassifierDataset")
+    return spark.sql(M.tree_sql(M.tree(training), found))
 
 
 @query()
 def regression_as_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = M.features()
-    model = M.regression(_training(spark, sf_dir, found))
-    _dataset(spark, sf_dir).createOrReplaceTempView("ClassifierDataset")
-    return spark.sql(M.regression_sql(model, found))
+    rows, training, found = _models(spark, sf_dir)
+    rows.createOrReplaceTempView("ClassifierDataset")
+    return spark.sql(M.regression_sql(M.regression(training), found))
 
 
 @query()
@@ -124,8 +124,7 @@ def mdr_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages written as an archive and read again."""
     warc.register(spark)
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarryline-")
-    path = os.path.join(top.removeprefix("file://"), f"archive-{dt.datetime.now().timestamp()}")
+    path = f"{shared_folder(spark).removeprefix('file://')}/archive"
     pages = table(spark, sf_dir, "pages").select("url", F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8").alias("http_header"), F.col("html").cast("binary").alias("content"))
     pages.write.format("warc").mode("append").save(path)
     return spark.read.format("warc").load(path)
@@ -146,7 +145,7 @@ def cdx_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = _archive(spark, sf_dir)
     wanted = table(spark, sf_dir, "pages").where("page_id < 20").select(urls.url_key(F.col("url")).alias("url_key"), F.col("url").alias("wanted"))
     index = warc.index_of(archive).join(wanted, "url_key").where("url = wanted")
-    return warc.content_of(index, archive).select("url", F.octet_length("content").alias("size"))
+    return warc.content_of(index).select("url", F.octet_length("content").alias("size"))
 
 
 @query("SELECT url, strlen(html)::INT AS size FROM pages")
@@ -155,14 +154,13 @@ def cdx_content_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = _archive(spark, sf_dir)
     wanted = table(spark, sf_dir, "pages").select(urls.url_key(F.col("url")).alias("url_key"), F.col("url").alias("wanted")).distinct()
     index = warc.index_of(archive).join(wanted, "url_key").where("url = wanted")
-    return warc.content_of(index, archive).select("url", F.octet_length("content").alias("size"))
+    return warc.content_of(index).select("url", F.octet_length("content").alias("size"))
 
 
 @query(WITH + "SELECT page_id, url, patent_number_full AS number FROM mention")
 def streaming_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions of the corpus, found by a stream over files that were written before."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarryline-")
-    base = f"{top}/stream-{dt.datetime.now().timestamp()}"
+    base = shared_folder(spark)
     corpus(spark, sf_dir).write.parquet(f"{base}/in")
     S.run(S.mentions(S.pages(spark, f"{base}/in")), f"{base}/out", f"{base}/state").awaitTermination()
     return spark.read.schema("page_id long, url string, number string").parquet(f"{base}/out")

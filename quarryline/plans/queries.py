@@ -11,13 +11,15 @@ from ..functions import urls
 from ..operators import curation as K
 from ..operators import pages as P
 from ..operators import relational as R
-from .corpus import SQL, SQL_HOST, corpus, mentions, quoted, register_tables, registered, sql_html_text, sql_words, table
+from .corpus import SQL, SQL_DOMAIN, SQL_HOST, SQL_NUMBER, corpus, mentions, quoted, register_tables, registered, sql_html_text, sql_words, table
 from .registry import query
 
 WITH = "WITH " + SQL
-#: Hosts for the queries that need a list (the default lists name no host of the test pages).
-HOSTS = ("m.ththth.example.net", "WWW.ththan.example.com", "blog.ththon.example.net", "blog.tionsh.example.net", "therea.example.net", "therbe.example.com")
-SQL_HOSTS = "(" + ", ".join(quoted(h.lower()) for h in HOSTS) + ")"
+#: The SQL of a corpus whose texts begin with what the pages show.
+WITH_HTML = WITH.replace("'intro ' || string_agg", f"{sql_html_text('html')} || ' intro ' || string_agg")
+#: Domains for the queries that need a list.
+LISTED = ("Example.net", "EXAMPLE.COM", "example.edu")
+SQL_LISTED = "(" + ", ".join(quoted(h.lower()) for h in LISTED) + ")"
 SOME_HOSTS = C.Patterns(discarded_hosts=(*C.DISCARDED_HOSTS, r"(.+\.)?example\.org", r"blog\..+"))
 SQL_SOME_HOSTS = quoted("^(?:" + "|".join(f"(?:{p})" for p in SOME_HOSTS.discarded_hosts) + ")$")
 SQL_URL = r"regexp_matches(url, '(?i)^(https?|ftp|file)://')"
@@ -28,12 +30,23 @@ def extract_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.extract(corpus(spark, sf_dir)).select("page_id", "url", F.explode("numbers").alias("number"))
 
 
+@query(WITH_HTML + "SELECT page_id, url, patent_number_full AS number FROM mention")
+def extract_numbers_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers in what the pages show, before the text of the corpus."""
+    return P.extract(corpus(spark, sf_dir, with_html=True)).select("page_id", "url", F.explode("numbers").alias("number"))
+
+
+@query(WITH_HTML + f"SELECT page_id, domain, len(numbers)::INT AS num_patents, len({sql_words('text')})::INT AS num_words FROM kept")
+def pages_table_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.page_rows(P.build(corpus(spark, sf_dir, with_html=True))).select("page_id", "domain", "num_patents", "num_words")
+
+
 @query(WITH + "SELECT url || chr(9) || array_to_string(numbers, chr(9)) AS value FROM kept")
 def extract_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.lines(corpus(spark, sf_dir))
 
 
-@query(WITH + f"SELECT page_id, url FROM kept WHERE NOT regexp_matches(domain, {SQL_SOME_HOSTS})")
+@query(WITH + f"SELECT page_id, url FROM kept WHERE NOT regexp_matches(host, {SQL_SOME_HOSTS})")
 def archive_filter_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.filtered(corpus(spark, sf_dir), SOME_HOSTS).select("page_id", "url")
 
@@ -60,7 +73,7 @@ def discard_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "url", urls.discarded(F.col("url"), SOME_HOSTS.discarded_hosts).alias("discarded"))
 
 
-@query(rf"SELECT page_id, regexp_extract({SQL_HOST}, '([^.]+\.[^.]+)$', 1) AS domain FROM pages")
+@query(f"SELECT page_id, {SQL_DOMAIN} AS domain FROM pages")
 def top_private_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", urls.top_private_domain(spark, urls.host(F.col("url"))).alias("domain"))
 
@@ -83,7 +96,7 @@ def page_matches_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(WITH + rf""", t AS (
   SELECT page_id, regexp_replace(regexp_replace(regexp_replace(
-    replace(regexp_replace(replace(text, ' ', '  '), {quoted('(^|[ :])' + C.number_core('  ', '(?:  |.)') + "([,.';:()]?(?: |$))")}, '\1 {C.MARKER} \2', 'g'), '  ', ' '),
+    replace(regexp_replace(replace(text, ' ', '  '), {quoted('(^|[ :])' + SQL_NUMBER + "([,.';:()]?(?: |$))")}, '\1 {C.MARKER} \2', 'g'), '  ', ' '),
     '(?i)\b(patents?|US|U.?S.?)\b', ' ', 'g'), '[^\p{{L}}\p{{M}}\p{{Nl}}0-9]', ' ', 'g'), ' +', ' ', 'g') AS s FROM kept),
   f AS (SELECT page_id, array_to_string(list_transform(string_split(rtrim(s), ' '), lambda x: CASE WHEN x = '{C.MARKER}' THEN '1' ELSE '0' END), '') AS f FROM t)
 SELECT page_id, coalesce(list_max(list_transform(regexp_extract_all(f, '1+'), lambda x: length(x))), 0)::INT AS longest, len(regexp_extract_all(f, '1+'))::INT AS n_runs FROM f""")
@@ -95,7 +108,7 @@ def page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(WITH + "SELECT page_id, url, domain, position::INT AS position, false AS explicit_us, patent_number, patent_number_full FROM mention")
 def page_patents(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The corpus has no urls with fragments that matter here: mentions keep the url as it is given.
-    hits = P.extract(corpus(spark, sf_dir)).select("page_id", "url", urls.host(F.col("url")).alias("domain"), F.transform("numbers", lambda n: F.struct(n.alias("text"))).alias("patent_numbers"))
+    hits = P.extract(corpus(spark, sf_dir)).select("page_id", "url", P.domain_of(spark, F.col("url")).alias("domain"), F.transform("numbers", lambda n: F.struct(n.alias("text"))).alias("patent_numbers"))
     return P.patent_rows(hits)
 
 
@@ -135,6 +148,12 @@ def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.domains(mentions(spark, sf_dir))
 
 
+@query(WITH + "SELECT host AS domain, count(DISTINCT url) AS num_pages, count(*) AS num_patents_with_duplicates, count(DISTINCT patent_number) AS num_distinct_patents FROM mention GROUP BY host")
+def domains_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for hosts: the domain is a parameter."""
+    return R.domains(mentions(spark, sf_dir, urls.host(F.col("url"))))
+
+
 NAMES = ", names AS (SELECT domain, han_name, count(DISTINCT patent_number) AS n FROM mention JOIN reg ON patent_number = publn_nr GROUP BY ALL)"
 
 
@@ -157,7 +176,16 @@ def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(WITH + STATS + " SELECT st.*, num_distinct_patents, round(num_distinct_matched_patents / num_distinct_patents, 9) AS distinct_matched_patents_ratio FROM st LEFT JOIN dm USING (domain)")
 def domain_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _stats(spark, sf_dir)
+    return _rounded(_stats(spark, sf_dir))
+
+
+@query(WITH + STATS.replace("domain", "host") + " SELECT st.* RENAME (host AS domain) FROM st")
+def domain_stats_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mentions(spark, sf_dir, urls.host(F.col("url")))
+    return _rounded(R.domain_stats(R.domain_names(m, registered(spark, sf_dir))))
+
+
+def _rounded(out: DataFrame) -> DataFrame:
     return out.select(*(F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
 
 
@@ -166,24 +194,24 @@ def dedup_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.first_of_url(table(spark, sf_dir, "pages").select("page_id", urls.normalized(F.col("url")).alias("url")))
 
 
-def _hosts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(h,) for h in HOSTS], "domain string")
+def _listed(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(h,) for h in LISTED], "domain string")
 
 
-@query(WITH + STATS + f" SELECT domain, num_pages, num_distinct_patents FROM dm WHERE lower(domain) IN {SQL_HOSTS}")
+@query(WITH + STATS + f" SELECT domain, num_pages, num_distinct_patents FROM dm WHERE lower(domain) IN {SQL_LISTED}")
 def domains_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.in_list(R.domains(mentions(spark, sf_dir)), "domain", _hosts(spark)).select("domain", "num_pages", "num_distinct_patents")
+    return R.in_list(R.domains(mentions(spark, sf_dir)), "domain", _listed(spark)).select("domain", "num_pages", "num_distinct_patents")
 
 
-@query(WITH + f" SELECT page_id, url FROM kept WHERE lower(domain) IN {SQL_HOSTS} AND url ILIKE '%EN%'")
+@query(WITH + f" SELECT page_id, url FROM kept WHERE lower(domain) IN {SQL_LISTED} AND url ILIKE '%EN%'")
 def pages_semi_like(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = P.extract(corpus(spark, sf_dir)).withColumn("domain", urls.host(F.col("url")))
-    return R.in_list(hits, "domain", _hosts(spark)).where(R.like("url", "%EN%")).select("page_id", "url")
+    hits = P.extract(corpus(spark, sf_dir)).withColumn("domain", P.domain_of(spark, F.col("url")))
+    return R.in_list(hits, "domain", _listed(spark)).where(R.like("url", "%EN%")).select("page_id", "url")
 
 
-@query(WITH + f" SELECT han_name, domain, count(*) AS n FROM mention JOIN reg ON patent_number = publn_nr WHERE lower(domain) IN {SQL_HOSTS} GROUP BY ALL")
+@query(WITH + f" SELECT han_name, domain, count(*) AS n FROM mention JOIN reg ON patent_number = publn_nr WHERE lower(domain) IN {SQL_LISTED} GROUP BY ALL")
 def names_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.names_by_domain(mentions(spark, sf_dir), registered(spark, sf_dir), _hosts(spark))
+    return R.names_by_domain(mentions(spark, sf_dir), registered(spark, sf_dir), _listed(spark))
 
 
 @query(WITH + " SELECT patent_number, count(*) AS instances FROM mention GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
@@ -285,10 +313,10 @@ def curation_existing_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(SETS + f""", f AS (SELECT coalesce(p.url, k.url) AS url, p.url IS NOT NULL AS a, k.url IS NOT NULL AS b FROM p FULL JOIN k ON p.url = k.url),
-g AS (SELECT {SQL_HOST} AS domain, sum((a AND b)::INT)::BIGINT AS in_both, sum((NOT a)::INT)::BIGINT AS only_known, sum((NOT b)::INT)::BIGINT AS only_proposed FROM f GROUP BY 1)
+g AS (SELECT {SQL_DOMAIN} AS domain, sum((a AND b)::INT)::BIGINT AS in_both, sum((NOT a)::INT)::BIGINT AS only_known, sum((NOT b)::INT)::BIGINT AS only_proposed FROM f GROUP BY 1)
 SELECT *, in_both = 0 AND only_known = 0 AS is_new FROM g""")
 def curation_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.by_domain(*_url_sets(spark, sf_dir), urls.host(F.col("url")))
+    return K.by_domain(*_url_sets(spark, sf_dir), P.domain_of(spark, F.col("url")))
 
 
 @query(r"SELECT regexp_replace(url, '\d+', '') AS url, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) > 1")
@@ -296,10 +324,11 @@ def curation_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.duplicates(table(spark, sf_dir, "pages").select(F.regexp_replace("url", r"^(\D*)\d+", "$1").alias("url")), "url")
 
 
-@query(SETS + f" SELECT {SQL_HOST} AS domain, array_to_string(list_sort(list(DISTINCT url)), ' ') AS urls FROM p GROUP BY 1")
+@query(SETS + f" SELECT {SQL_DOMAIN} AS domain, url FROM p ORDER BY 1, 2")
 def curation_urls_of_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The urls of each domain, a row each, as a domain may have any number."""
     p = _url_sets(spark, sf_dir)[0]
-    return p.groupBy(urls.host(F.col("url")).alias("domain")).agg(F.array_join(F.array_sort(F.collect_set("url")), " ").alias("urls"))
+    return p.select(P.domain_of(spark, F.col("url")).alias("domain"), "url").orderBy("domain", "url")
 
 
 def _label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +51,19 @@ def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame], again:
     return spark.read.parquet(path)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; where that is unset, as in tests, a folder of the machine."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarryline-")
+    return f"{top.rstrip('/')}/quarryline-{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame, name: str = "table") -> DataFrame:
+    """Rows written to the shared folder and read again, so that several steps use them and each is computed once."""
+    path = f"{shared_folder(rows.sparkSession)}/{name}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def write_lines(rows: DataFrame, path: str) -> None:
     """One text column as lines; what was there is replaced."""
     rows.write.mode("overwrite").text(path)

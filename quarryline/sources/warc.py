@@ -1,8 +1,11 @@
 """WARC archives as a Python data source (read and write), and CDX lookups.
 
-A compressed archive is a row of gzip members, one for each record; the reader goes through a file member by member, so its memory is
-bounded by the largest record, and each file is a partition. Paths are local or on a mounted store; ``records`` reads through Spark's
-binaryFile instead, for stores that only Spark can open.
+A compressed archive is a row of gzip members, mostly one for each record; the reader streams through a file record by record, so its
+memory is bounded by the largest record, and each file is a partition. Paths are local or on a mounted store; ``records`` reads through
+Spark's binaryFile instead, for stores that only Spark can open.
+
+A record's place is (offset, within): the byte at which its gzip member starts (in an archive that isn't compressed, the record itself)
+and its place in the unpacked member, 0 for the first one. What breaks off is a row of type ``torn`` without content.
 """
 
 from __future__ import annotations
@@ -21,34 +24,79 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 from ..functions import urls
 
-SCHEMA = "file string, offset long, url string, warc_type string, crawl_date timestamp, http_status int, mime string, http_header string, content binary"
+SCHEMA = "file string, offset long, within long, url string, warc_type string, crawl_date timestamp, http_status int, mime string, http_header string, content binary"
 BLOCK = 1 << 20
 
 
-def members(read) -> Iterator[tuple[int, bytes]]:
-    """(offset, bytes) of each gzip member; ``read(n)`` gives the next bytes. A file that isn't compressed is one member."""
-    buffer, offset = read(BLOCK), 0
-    if buffer and buffer[:2] != b"\x1f\x8b":
-        rest = [buffer]
-        while more := read(BLOCK):
-            rest.append(more)
-        yield 0, b"".join(rest)
-        return
-    while buffer:
-        gz, out, used = zlib.decompressobj(31), [], 0
-        while True:
-            out.append(gz.decompress(buffer))
-            used += len(buffer) - len(gz.unused_data)
-            buffer = gz.unused_data
-            if gz.eof:
+class Stream:
+    """Unpacked bytes of an archive with the place where they start; ``read(n)`` gives the next stored bytes."""
+
+    def __init__(self, read):
+        self.read = read
+        self.stored = read(BLOCK)
+        self.packed = self.stored[:2] == b"\x1f\x8b"
+        self.gz = None
+        self.offset = self.within = 0  # of the first byte held
+        self.next = 0  # stored bytes used
+        self.held = b""
+        self.torn = False
+
+    def more(self) -> bool:
+        """Holds more bytes of the same member, if there are any."""
+        if not self.packed:
+            self.held += self.stored
+            got, self.stored = bool(self.stored), self.read(BLOCK)
+            return got
+        while self.gz is not None:
+            if not self.stored:
+                self.stored = self.read(BLOCK)
+                if not self.stored:
+                    self.gz, self.torn = None, True
+                    return False
+            out = self.gz.decompress(self.stored)
+            self.next += len(self.stored) - len(self.gz.unused_data)
+            self.stored = self.gz.unused_data
+            if self.gz.eof:
+                self.gz = None
+            if out:
+                self.held += out
+                return True
+        return False
+
+    def member(self) -> bool:
+        """Goes on to the next member."""
+        if not self.packed:
+            return False
+        self.held, self.within = b"", 0
+        self.stored = self.stored or self.read(BLOCK)
+        if self.stored[:2] != b"\x1f\x8b" and len(self.stored) > 1:
+            self.stored = b""  # no member: padding or what broke off
+        self.offset, self.gz = self.next, zlib.decompressobj(31) if self.stored else None
+        return self.gz is not None
+
+    def take(self, n: int) -> bytes:
+        """Up to n bytes of the member, which are gone then."""
+        parts, size = [self.held], len(self.held)
+        while size < n:
+            self.held = b""
+            if not self.more():
                 break
-            buffer = read(BLOCK)
-            if not buffer:
-                return  # a torn last member
-        yield offset, b"".join(out)
-        offset += used
-        if not buffer:
-            buffer = read(BLOCK)
+            parts.append(self.held)
+            size += len(self.held)
+        whole = b"".join(parts)
+        self.held = whole[n:]
+        if self.packed:
+            self.within += min(n, size)
+        else:
+            self.offset += min(n, size)
+        return whole[:n]
+
+    def until(self, mark: bytes) -> bytes | None:
+        """What stands before a mark, which is gone with it; None without one."""
+        while (at := self.held.find(mark)) < 0:
+            if not self.more():
+                return None
+        return self.take(at + len(mark))[:at]
 
 
 def headers(block: bytes) -> dict[str, str]:
@@ -56,7 +104,7 @@ def headers(block: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, v in pairs}
 
 
-def record(file: str, offset: int, head: dict[str, str], body: bytes) -> tuple:
+def record(file: str, offset: int, within: int, head: dict[str, str], body: bytes) -> tuple:
     """The row of one record; the HTTP framing of a response is taken off."""
     status = mime = http = None
     content = body
@@ -73,7 +121,7 @@ def record(file: str, offset: int, head: dict[str, str], body: bytes) -> tuple:
         date = dt.datetime.fromisoformat(head.get("warc-date", "").replace("Z", "+00:00")).astimezone(dt.UTC)
     except ValueError:
         date = None
-    return file, offset, head.get("warc-target-uri"), head.get("warc-type"), date, status, mime, http, content
+    return file, offset, within, head.get("warc-target-uri"), head.get("warc-type"), date, status, mime, http, content
 
 
 def unchunked(data: bytes) -> bytes:
@@ -91,14 +139,47 @@ def unchunked(data: bytes) -> bytes:
 
 
 def records_of(file: str, read) -> Iterator[tuple]:
-    """Rows of an archive; a member may hold several records (an archive that isn't compressed is one member)."""
-    for offset, block in members(read):
-        at = 0
-        while (start := block.find(b"WARC/", at)) >= 0 and (stop := block.find(b"\r\n\r\n", start)) >= 0:
-            head = headers(block[start:stop])
-            length = int(head.get("content-length", "0") or 0)
-            yield record(file, offset + (start if offset == 0 and block[:2] != b"\x1f\x8b" and at else 0), head, block[stop + 4 : stop + 4 + length])
-            at = stop + 4 + length
+    """Rows of an archive; a member may hold several records."""
+    stream = Stream(read)
+    while stream.member() or not stream.packed:
+        yield from records_in(file, stream)
+        if stream.torn or not stream.packed:
+            break
+
+
+def records_in(file: str, stream: Stream) -> Iterator[tuple]:
+    """The records of the stream's member, from where it stands."""
+    torn = (None, "torn", None, None, None, None, None)
+    while True:
+        while stream.held[:1] in (b"\r", b"\n") or not stream.held and stream.more():
+            if stream.held[:1] in (b"\r", b"\n"):
+                stream.take(1)
+        if not stream.held:
+            if stream.torn:
+                yield (file, stream.offset, stream.within, *torn)
+            return
+        at = stream.offset, stream.within
+        block = stream.until(b"\r\n\r\n")
+        if block is None or not block.startswith(b"WARC/"):
+            yield (file, *at, *torn)
+            return
+        head = headers(block)
+        length = int(head.get("content-length", "0") or 0)
+        body = stream.take(length)
+        if len(body) < length:
+            yield (file, *at, *torn)
+            return
+        yield record(file, *at, head, body)
+
+
+def record_at(file: str, read, offset: int, within: int) -> tuple | None:
+    """The record at a place; ``read`` gives bytes from ``offset`` on."""
+    for row in records_of(file, read):
+        if row[2] == within:
+            return (file, offset, *row[2:])
+        if row[2] > within or row[1]:
+            return None
+    return None
 
 
 def framed(url: str, date: dt.datetime, payload: bytes) -> bytes:
@@ -227,12 +308,12 @@ def cdx(spark: SparkSession, path: str) -> DataFrame:
     c = F.split("value", " ")
     rows = spark.read.text(path).where("value NOT LIKE ' CDX%'").where(F.size(c) >= 11)
     text = {"url_key": 0, "timestamp": 1, "url": 2, "mime": 3, "file": 10}
-    return rows.select(*(F.get(c, F.lit(i)).alias(n) for n, i in text.items()), F.get(c, F.lit(4)).try_cast("int").alias("http_status"), F.get(c, F.lit(9)).try_cast("long").alias("offset"))
+    return rows.select(*(F.get(c, F.lit(i)).alias(n) for n, i in text.items()), F.get(c, F.lit(4)).try_cast("int").alias("http_status"), F.get(c, F.lit(9)).try_cast("long").alias("offset"), F.lit(0).cast("long").alias("within"))
 
 
 def index_of(archive: DataFrame) -> DataFrame:
     """A CDX index of the records of an archive."""
-    return responses(archive).select(urls.url_key(F.col("url")).alias("url_key"), F.date_format("crawl_date", "yyyyMMddHHmmss").alias("timestamp"), "url", "mime", "file", "http_status", "offset")
+    return responses(archive).select(urls.url_key(F.col("url")).alias("url_key"), F.date_format("crawl_date", "yyyyMMddHHmmss").alias("timestamp"), "url", "mime", "file", "http_status", "offset", "within")
 
 
 def by_prefix(index: DataFrame, url: str) -> DataFrame:
@@ -247,6 +328,30 @@ def first_by_url(index: DataFrame, url: str) -> DataFrame:
     return by_url(index, url).where(good()).orderBy("timestamp", "file", "offset").limit(1)
 
 
-def content_of(index: DataFrame, archive: DataFrame) -> DataFrame:
-    """Captures of an index with their content."""
-    return index.join(archive.select("file", "offset", "content"), ["file", "offset"])
+def content_of(index: DataFrame) -> DataFrame:
+    """Captures of an index with their content (null if nothing is there): each is read at its place, not by a scan of the archives.
+    Files are on a mounted store; else join the index with ``records`` on (file, offset, within)."""
+
+    def run(batches):
+        for pdf in batches:
+            content, last, source = [], None, None
+            order = pdf.sort_values(["file", "offset"]).reset_index(drop=True)
+            for file, offset, within in zip(order["file"], order["offset"], order["within"], strict=True):
+                if file != last:
+                    if source is not None:
+                        source.close()
+                    last, source = file, open(file.removeprefix("file://"), "rb")  # noqa: SIM115
+                source.seek(offset)
+                found = record_at(file, source.read, offset, within)
+                content.append(found[-1] if found is not None else None)
+            if source is not None:
+                source.close()
+            yield order.assign(content=content)
+
+    return index.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in index.schema.fields) + ", content binary")
+
+
+def load_page(index: DataFrame, url: str) -> str | None:
+    """The text of the first successful capture of a url, None without one: one row of the index, one read of an archive."""
+    row = content_of(first_by_url(index, url)).select(F.col("content").cast("string")).first()
+    return row[0] if row else None
