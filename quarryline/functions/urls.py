@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEME = r"(?i)^(https?|ftp|file)://"
@@ -63,18 +63,34 @@ def url_of_filename(name: Column) -> Column:
     return F.when(F.regexp_like(name, F.lit(r"\.(pdf|html)$")), plain)
 
 
-def top_private_domain(spark: SparkSession, host_column: Column) -> Column:
-    """The public suffix of a host and one label more; empty for addresses, bare suffixes, unlisted top domains and null.
+def suffix_rules(spark: SparkSession) -> tuple[DataFrame, int]:
+    """Rows (suffix, exact, under, excluded) of the public suffixes that ship with Spark's libraries, and the most labels of one. The
+    list is as long as the library has it, about 10,000 rows."""
+    jvm = spark.sparkContext._jvm
+    kinds = ("EXACT", "UNDER", "EXCLUDED")
+    names = [set(jvm.com.google.common.base.Joiner.on(" ").join(getattr(jvm.com.google.thirdparty.publicsuffix.PublicSuffixPatterns, k).keySet()).split()) for k in kinds]
+    every = sorted(set().union(*names))
+    rows = spark.createDataFrame([(x, *(x in n for n in names)) for x in every], "suffix string, exact boolean, under boolean, excluded boolean")
+    return rows, max(x.count(".") + 1 for x in every)
 
-    The suffixes are those of the list that ships with Spark's libraries. Its parts become hash sets in the expression, so neither
-    Python nor a join runs for the rows.
+
+def with_top_private_domain(rows: DataFrame, host_column: Column, name: str = "domain") -> DataFrame:
+    """Rows with the public suffix of a host and one label more; empty for addresses, bare suffixes, unlisted top domains and null.
+
+    The ends of a host are looked up in the list of suffixes by broadcast joins, one for each number of labels.
     """
-    lists = spark.sparkContext._jvm.com.google.thirdparty.publicsuffix.PublicSuffixPatterns
-    among = lambda c, kind: type(c)(c._jc.isInCollection(getattr(lists, kind).keySet()))
+    rules, most = suffix_rules(rows.sparkSession)
     labels = F.split(F.regexp_replace(F.lower(host_column), r"^\.+|\.+$", ""), r"\.")
-    tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    # How many labels more than the tail the domain has, where a rule fits the tail: what is excluded is a domain itself.
-    fits = F.transform(tails, lambda t: F.when(among(t, "EXCLUDED"), 0).when(among(t, "EXACT") | among(F.regexp_extract(t, r"^[^.]*\.(.*)$", 1), "UNDER"), 1))
-    found = F.filter(F.transform(fits, lambda more, i: F.when(more.isNotNull(), i + 1 - more)), lambda at: at.isNotNull())
-    start = F.get(found, F.lit(0))  # the longest tail counts
-    return F.when(start >= 1, F.array_join(F.slice(labels, F.greatest(start, F.lit(1)), F.size(labels)), ".")).otherwise("")
+    out = rows.withColumn("_labels", F.coalesce(labels, F.array().cast("array<string>")))
+    for k in range(1, most + 1):
+        rule = F.broadcast(rules.select(F.col("suffix").alias(f"_s{k}"), *(F.col(c).alias(f"_{c}{k}") for c in ("exact", "under", "excluded"))))
+        tail = F.when(F.size("_labels") >= k, F.array_join(F.slice("_labels", -k, k), "."))
+        out = out.join(rule, tail == F.col(f"_s{k}"), "left")
+    # The longest end that a rule fits: a wildcard fits one label more than it has, what is excluded is a domain itself.
+    size = F.lit(None)
+    for k in range(1, most + 2):
+        fits = (F.col(f"_exact{k}") if k <= most else F.lit(False)) | (F.col(f"_under{k - 1}") if k > 1 else F.lit(False))
+        here = F.when(F.coalesce(fits, F.col(f"_under{k - 1}") if k > 1 else F.lit(False)) & (F.size("_labels") >= k), k + 1)
+        size = F.coalesce(F.when(F.col(f"_excluded{k}"), k) if k <= most else F.lit(None), here, size)
+    domain = F.when(size <= F.size("_labels"), F.array_join(F.slice("_labels", -size, size), ".")).otherwise("")
+    return out.select(*rows.columns, domain.alias(name))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -125,14 +127,12 @@ def dictionary_words(words: DataFrame, dictionary: DataFrame, column: str = "wor
 
 def with_timeout(job: Callable, seconds: float, spark: SparkSession):
     """Runs a job and cancels its Spark jobs when it takes too long."""
-    import threading
-
-    tag = f"limit-{id(job)}"
-    spark.addTag(tag)
-    timer = threading.Timer(seconds, lambda: spark.interruptTag(tag))
+    sc, group = spark.sparkContext, f"limit-{uuid.uuid4().hex}"
+    sc.setJobGroup(group, f"at most {seconds} s", interruptOnCancel=True)
+    timer = threading.Timer(seconds, lambda: sc.cancelJobGroup(group))
     timer.start()
     try:
         return job()
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        sc._jsc.sc().clearJobGroup()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.patterns import MARKING_TYPES, PAGE_TYPES
-from .pages import numbered
+from .pages import numbered, with_domain
 
 
 def parse_labels(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -46,11 +46,11 @@ def existing_urls(proposed: DataFrame, known: DataFrame) -> DataFrame:
     return proposed.select("url").intersect(known.select("url"))
 
 
-def by_domain(proposed: DataFrame, known: DataFrame, domain: Column) -> DataFrame:
+def by_domain(proposed: DataFrame, known: DataFrame, domain: Column | None = None) -> DataFrame:
     """For each domain of either set: how many urls are in both, only known, only proposed."""
     p = proposed.select("url").distinct().withColumn("p", F.lit(1))
     k = known.select("url").distinct().withColumn("k", F.lit(1))
-    both = p.join(k, "url", "full").withColumn("domain", domain)
+    both = with_domain(p.join(k, "url", "full"), domain)
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     out = both.groupBy("domain").agg(
         count(F.col("p").isNotNull() & F.col("k").isNotNull()).alias("in_both"), count(F.col("p").isNull()).alias("only_known"), count(F.col("k").isNull()).alias("only_proposed")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -64,9 +64,9 @@ def match_map(column: Column, regexes: tuple[str, ...], context: int) -> Column:
     return F.map_from_arrays(F.array(*(F.lit(r) for r in regexes)), F.array(*(T.matches(column, _uncaptured(r), context) for r in regexes)))
 
 
-def domain_of(spark: SparkSession, url: Column) -> Column:
-    """The top private domain of a url's host, empty without one."""
-    return urls.top_private_domain(spark, urls.host(url))
+def with_domain(pages: DataFrame, domain: Column | None = None) -> DataFrame:
+    """Pages (url) with their domain: by default the top private one of the host, empty without one."""
+    return urls.with_top_private_domain(pages, urls.host(F.col("url"))) if domain is None else pages.withColumn("domain", domain)
 
 
 def build(pages: DataFrame, patterns: Patterns | None = None, domain: Column | None = None) -> DataFrame:
@@ -77,10 +77,9 @@ def build(pages: DataFrame, patterns: Patterns | None = None, domain: Column | N
     p = patterns or Patterns()
     url = F.coalesce(urls.normalized(F.col("url")), F.col("url"))
     base = pages.where(~urls.discarded(F.col("url"), p.discarded_hosts)).withColumns({"url": url, "text": T.clean_spaces(F.col("text"))})
-    hits = extract(base, p).drop("numbers")
+    hits = with_domain(extract(base, p).drop("numbers"), domain)
     w, tokens = T.words(F.col("text")), T.marked_tokens(F.col("text"), p.number)
     return hits.withColumns({
-        "domain": domain if domain is not None else domain_of(pages.sparkSession, F.col("url")),
         "patent_numbers": T.matches(F.col("text"), p.number, p.context),
         "text_matches": match_map(F.col("text"), p.text_regexes, p.context),
         "url_matches": match_map(F.col("url"), p.url_regexes, p.context),

@@ -54,8 +54,7 @@ def corpus(spark: SparkSession, sf_dir: str, with_html: bool = False) -> DataFra
 
 def mentions(spark: SparkSession, sf_dir: str, domain: Column | None = None) -> DataFrame:
     """One row for each mention: page_id, url, domain (the top private one by default), patent_number, patent_number_full."""
-    domain = P.domain_of(spark, F.col("url")) if domain is None else domain
-    hits = P.extract(corpus(spark, sf_dir)).select("page_id", "url", domain.alias("domain"), F.explode("numbers").alias("patent_number_full"))
+    hits = P.with_domain(P.extract(corpus(spark, sf_dir)), domain).select("page_id", "url", "domain", F.explode("numbers").alias("patent_number_full"))
     return hits.withColumn("patent_number", T.bare_number(F.col("patent_number_full")))
 
 

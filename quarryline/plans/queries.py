@@ -75,7 +75,7 @@ def discard_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT page_id, {SQL_DOMAIN} AS domain FROM pages")
 def top_private_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", urls.top_private_domain(spark, urls.host(F.col("url"))).alias("domain"))
+    return P.with_domain(table(spark, sf_dir, "pages")).select("page_id", "domain")
 
 
 def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ def page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(WITH + "SELECT page_id, url, domain, position::INT AS position, false AS explicit_us, patent_number, patent_number_full FROM mention")
 def page_patents(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The corpus has no urls with fragments that matter here: mentions keep the url as it is given.
-    hits = P.extract(corpus(spark, sf_dir)).select("page_id", "url", P.domain_of(spark, F.col("url")).alias("domain"), F.transform("numbers", lambda n: F.struct(n.alias("text"))).alias("patent_numbers"))
+    hits = P.with_domain(P.extract(corpus(spark, sf_dir))).select("page_id", "url", "domain", F.transform("numbers", lambda n: F.struct(n.alias("text"))).alias("patent_numbers"))
     return P.patent_rows(hits)
 
 
@@ -205,7 +205,7 @@ def domains_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(WITH + f" SELECT page_id, url FROM kept WHERE lower(domain) IN {SQL_LISTED} AND url ILIKE '%EN%'")
 def pages_semi_like(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = P.extract(corpus(spark, sf_dir)).withColumn("domain", P.domain_of(spark, F.col("url")))
+    hits = P.with_domain(P.extract(corpus(spark, sf_dir)))
     return R.in_list(hits, "domain", _listed(spark)).where(R.like("url", "%EN%")).select("page_id", "url")
 
 
@@ -316,7 +316,7 @@ def curation_existing_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 g AS (SELECT {SQL_DOMAIN} AS domain, sum((a AND b)::INT)::BIGINT AS in_both, sum((NOT a)::INT)::BIGINT AS only_known, sum((NOT b)::INT)::BIGINT AS only_proposed FROM f GROUP BY 1)
 SELECT *, in_both = 0 AND only_known = 0 AS is_new FROM g""")
 def curation_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.by_domain(*_url_sets(spark, sf_dir), P.domain_of(spark, F.col("url")))
+    return K.by_domain(*_url_sets(spark, sf_dir))
 
 
 @query(r"SELECT regexp_replace(url, '\d+', '') AS url, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) > 1")
@@ -328,7 +328,7 @@ def curation_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def curation_urls_of_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The urls of each domain, a row each, as a domain may have any number."""
     p = _url_sets(spark, sf_dir)[0]
-    return p.select(P.domain_of(spark, F.col("url")).alias("domain"), "url").orderBy("domain", "url")
+    return P.with_domain(p).select("domain", "url").orderBy("domain", "url")
 
 
 def _label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

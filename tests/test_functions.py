@@ -65,9 +65,9 @@ def test_urls(spark):
 
 
 def test_top_private_domain(spark):
-    hosts = ["www.a.example.co.uk", "foo.blogspot.com", "localhost", "127.0.0.1", "co.uk", None, "x.y.example.com"]
-    rows = spark.createDataFrame([(h,) for h in hosts], "h string").select(urls.top_private_domain(spark, F.col("h")).alias("d")).collect()
-    assert [r.d for r in rows] == ["example.co.uk", "foo.blogspot.com", "", "", "", "", "example.com"]
+    hosts = ["www.a.example.co.uk", "foo.blogspot.com", "localhost", "127.0.0.1", "co.uk", None, "x.y.example.com", "a.b.ck", "b.ck", "x.www.ck", "ck", "", "Example.ORG.", "com.example"]
+    rows = urls.with_top_private_domain(spark.createDataFrame([(h,) for h in hosts], "h string"), F.col("h")).collect()
+    assert [r.domain for r in rows] == ["example.co.uk", "foo.blogspot.com", "", "", "", "", "example.com", "a.b.ck", "", "www.ck", "", "", "example.org", ""]
 
 
 @hypothesis_settings(max_examples=5, deadline=None)
