@@ -4,7 +4,7 @@ A text is cut into paragraphs: its lines, and long lines once more after words w
 changes only the paragraphs that it touches. The digest of a paragraph holds 48 bits of its hash (with the number of equal paragraphs
 before it, so repeats count) and 16 bits of its length. Each digest is added to three cells of a sketch: count, sum of digests, sum of
 check hashes. Subtracting the sketches of two versions cancels what they share; peeling the rest recovers the digests that differ.
-When peeling fails, both sketches are made again, four times as large.
+When peeling fails, both sketches are made again, four times as large; where that can't help, the digests themselves are compared.
 
 The likeness of two texts is the shared weight over the weight of either (weighted Jaccard; the weight of a paragraph is its length).
 """
@@ -23,8 +23,12 @@ from .scan import Texts, U, documents, mix, read_table, record, spread
 
 #: Cells of the fingerprint that is returned, a multiple of three; larger sketches are made where they are needed.
 CELLS = 24
+#: Most bytes of a paragraph.
+LONGEST = (1 << 16) - 1
 #: A word ends a paragraph if its hash is 0 modulo this.
 CUT = 4
+#: Sketches of more cells than this for each digest aren't tried.
+MOST_CELLS = 16
 #: Bytes of text gathered before a batch is worked through.
 GATHER = 1 << 20
 
@@ -42,6 +46,11 @@ def paragraphs(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     first = np.concatenate(([0], close[:-1] + 1))
     a, b = starts[first], ends[close]
     row = np.searchsorted(ptr, first, "right") - 1
+    if (b - a > LONGEST).any():  # longer ones are cut, so that 16 bits tell a length
+        parts = -(-(b - a) // LONGEST)
+        row, a, b = np.repeat(row, parts), np.repeat(a, parts) + spread(parts) * LONGEST, np.repeat(b, parts)
+        b = np.minimum(a + LONGEST, b)
+    first = np.arange(len(a))
     h = t.hashes(a, b)
     # How many equal paragraphs of the same row come before.
     order = np.lexsort((first, h, row))
@@ -50,7 +59,7 @@ def paragraphs(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     head = np.flatnonzero(~same)
     nth = np.empty(len(h), np.int64)
     nth[order] = spread(np.diff(np.append(head, len(h))))
-    digest = (mix(h + nth.astype(U) * U(0x9E3779B97F4A7C15)) & U(0xFFFFFFFFFFFF0000)) | np.minimum(b - a, 65535).astype(U)
+    digest = (mix(h + nth.astype(U) * U(0x9E3779B97F4A7C15)) & U(0xFFFFFFFFFFFF0000)) | (b - a).astype(U)
     return digest, np.searchsorted(row, np.arange(t.n + 1))
 
 
@@ -122,6 +131,15 @@ def likeness(da: np.ndarray, pa_: np.ndarray, db: np.ndarray, pb: np.ndarray) ->
     out = np.zeros(n)
     todo, cells = np.arange(n), CELLS
     while len(todo):
+        if cells > MOST_CELLS * max(int((na + nb)[todo].max()), CELLS):
+            # Larger sketches don't help where digests of one text are equal by chance: those are compared themselves.
+            for i in todo.tolist():
+                one, two = da[pa_[i] : pa_[i + 1]], db[pb[i] : pb[i + 1]]
+                found, which = np.unique(np.concatenate((one, two)), return_inverse=True)
+                left = np.bincount(which, np.concatenate((np.ones(len(one)), -np.ones(len(two)))), len(found)) * weights(found)
+                both = (wa[i] + wb[i] - np.abs(left).sum()) / 2
+                out[i] = both / max(wa[i] + wb[i] - both, 1)
+            break
         place = np.full(n, -1)
         place[todo] = np.arange(len(todo))
         ka, kb = place[ra] >= 0, place[rb] >= 0
@@ -139,11 +157,11 @@ def likeness(da: np.ndarray, pa_: np.ndarray, db: np.ndarray, pb: np.ndarray) ->
 
 
 def written(t: Texts, digests: np.ndarray, ptr: np.ndarray) -> list[str]:
-    """The fingerprint as text: paragraphs, total weight, then count (2 bytes), digest sum (8) and check sum (4) of each cell, in hex."""
+    """The fingerprint as text: paragraphs, total weight, then count (4 bytes), digest sum (8) and check sum (4) of each cell, in hex."""
     row = np.repeat(np.arange(t.n), np.diff(ptr))
     count, total, proof = (x.reshape(t.n, CELLS) for x in sketches(digests, row, t.n, CELLS))
     weight = np.bincount(row, weights(digests), t.n).astype(np.int64)
-    raw = np.concatenate([count.astype(np.int16).view(np.uint8).reshape(t.n, -1), total.view(np.uint8).reshape(t.n, -1), proof.astype(np.uint32).view(np.uint8).reshape(t.n, -1)], axis=1)
+    raw = np.concatenate([count.astype(np.int32).view(np.uint8).reshape(t.n, -1), total.view(np.uint8).reshape(t.n, -1), proof.astype(np.uint32).view(np.uint8).reshape(t.n, -1)], axis=1)
     return [f"{n}.{w}.{raw[i].tobytes().hex()}" for i, (n, w) in enumerate(zip(np.diff(ptr), weight, strict=True))]
 
 
