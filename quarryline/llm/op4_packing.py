@@ -135,9 +135,11 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
     through; an empty table gives an empty result. ``words`` says that the tokenizer treats words apart (see ``WordEncoder``).
     """
 
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        packer, held = Packer(length, open_bins), []
+        packer = Packer(length, open_bins)
         whole = encoder(tokenizer)
 
         def encode(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -156,20 +158,20 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
                     own = np.append(ids[a:b], end_id).astype("<u4")
                     pieces += [(doc, k // length, k, len(own[k : k + length]), zlib.crc32(own[k : k + length].tobytes())) for k in range(0, len(own), length)]
                 pieces.sort(key=lambda p: -p[3])
-                held.append([(*p, *packer.put(p[3])) for p in pieces])
-        # Only numbers are held until the end, when it is known which bins are still open.
+                columns = list(zip(*((*p, *packer.put(p[3])) for p in pieces), strict=True))
+                arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), *(pa.int64(),) * 5), strict=True)]
+                arrays[5] = pa.array(np.array(columns[5], np.int64) + (task << 32))
+                yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(pieces), pa.int32()), pa.nulls(len(pieces), pa.int32())], names=names)
+        # At last, the bins that are still open; a row without a piece for each.
         left = packer.left()
-        for rows in held:
-            columns = list(zip(*rows, strict=True))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]
-            bins = np.array(columns[5], np.int64)
-            free = pa.array([left.get(b, 0) for b in columns[5]], pa.int32())
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(bins + (task << 32)), pa.array(columns[6], pa.int64()), pa.array(np.full(len(bins), task, np.int32)), free], names=[x.split()[0] for x in SCHEMA.split(", ")])
-
-    pieces = stored(documents(docs).mapInArrow(run, SCHEMA), "pieces")
-    bins = pieces.where("free > 0").groupBy("sequence_id").agg(F.first("free").alias("free"), F.first("task").alias("task"))
-    bins = bins.select("sequence_id", "free", F.floor(F.col("task") / GROUP).alias("grp"))
+        if left:
+            none = [pa.nulls(len(left), k) for k in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())]
+            bins = pa.array(np.array(list(left), np.int64) + (task << 32))
+            yield pa.RecordBatch.from_arrays([*none, bins, pa.nulls(len(left), pa.int64()), pa.array(np.full(len(left), task, np.int32)), pa.array(list(left.values()), pa.int32())], names=names)
+
+    written = stored(documents(docs).mapInArrow(run, SCHEMA), "pieces")
+    pieces = written.where("piece IS NOT NULL")
+    bins = written.where("free > 0").select("sequence_id", "free", F.floor(F.col("task") / GROUP).alias("grp"))
 
     def again(table: pa.Table) -> pa.Table:
         """Bins as items, largest first; a group has at most GROUP * open_bins of them."""
