@@ -6,7 +6,8 @@ whose cosine is below what labelled texts of that language show is marked as not
 calibrated by cross-fitting: centroids of one half of the labelled rows, cosines of the other half and of short pieces of it. Cosines
 grow with the number of distinct n-grams, so each size of a text has its own floor.
 
-The model is fitted on a bounded sample of labelled rows: about ``PER_LANGUAGE`` for each language, chosen by a hash of doc_id.
+The model is fitted on a bounded sample of labelled rows: about ``PER_LANGUAGE`` for each language, chosen by a hash of doc_id. Every
+language that has a row is learned, each in a task of its own; the driver gets the centroids and floors, about 65 KB for a language.
 """
 
 from __future__ import annotations
@@ -19,11 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scan import Texts, blobs, documents, map_slices, read_table, record
+from .scan import Scratch, Texts, blobs, documents, map_slices, read_table, record
 
-#: Labelled rows of each language that the model is fitted on, and the most languages (those with most rows).
+#: Labelled rows of each language that the model is fitted on, about.
 PER_LANGUAGE = 250
-LANGUAGES = 200
 CENTROIDS = 4
 #: Length of the hashed vectors.
 SIZE = 4096
@@ -87,22 +87,16 @@ def sizes_of(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum((counts > 0).sum(axis=1), 1)).astype(int), SIZES - 1)
 
 
-def centroids(lang: list[str], counts: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Spherical k-means for each language; deterministic, as the rows come in a fixed order."""
-    idf = np.log((1 + len(lang)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 0.1
-    x, names = weighted(counts, idf), np.array(lang)
-    centres, owners = [], []
-    for one in sorted(set(lang)):
-        own = x[names == one]
-        k = min(CENTROIDS, len(own))
-        c = own[np.linspace(0, len(own) - 1, k).astype(int)]
-        for _ in range(10):
-            near = (own @ c.T).argmax(axis=1)
-            c = np.stack([own[near == j].mean(axis=0) if (near == j).any() else c[j] for j in range(k)])
-            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        centres.append(c)
-        owners += [one] * k
-    return owners, idf, np.concatenate(centres).T.copy()
+def centroids(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Spherical k-means of one language's rows; deterministic, as the rows come in a fixed order."""
+    own = weighted(counts, idf)
+    k = min(CENTROIDS, len(own))
+    c = own[np.linspace(0, len(own) - 1, k).astype(int)]
+    for _ in range(10):
+        near = (own @ c.T).argmax(axis=1)
+        c = np.stack([own[near == j].mean(axis=0) if (near == j).any() else c[j] for j in range(k)])
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+    return c
 
 
 def floor(cos: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -118,29 +112,33 @@ def floor(cos: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def learned(lang: list[str], counts: np.ndarray, pieces: np.ndarray | None = None) -> Model | None:
-    """Centroids of all rows, and floors from rows (and ``pieces``, one of each row) that the centroids weren't fitted on."""
-    if not lang:
-        return None
-    names = np.array(lang)
-    # Every second row of a language, as the rows come sorted by it.
-    half = (np.arange(len(lang)) - np.searchsorted(names, names)) % 2
-    seen: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+def learned(counts: np.ndarray, pieces: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of all rows of a language, and its floors, from rows and ``pieces`` (one of each row) that centroids of the other half
+    of the rows weren't fitted on."""
+    half, seen = np.arange(len(counts)) % 2, []
     for h in (0, 1):
         fitted, rest = half != h, half == h
-        if not fitted.any() or not rest.any():
-            continue
-        owners, idf, centres = centroids(names[fitted].tolist(), counts[fitted])
-        for one in set(owners) & set(names[rest]):
-            own = np.flatnonzero(np.array(owners) == one)
-            for c in (counts, pieces) if pieces is not None else (counts,):
-                c = c[rest & (names == one)]
+        if fitted.any() and rest.any():
+            centres = centroids(counts[fitted], idf)
+            for c in (counts[rest], pieces[rest]):
                 c = c[c.any(axis=1)]
                 if len(c):
-                    seen.setdefault(one, []).append(((weighted(c, idf) @ centres[:, own]).max(axis=1), sizes_of(c)))
-    owners, idf, centres = centroids(lang, counts)
-    floors = {one: floor(*(np.concatenate(x) for x in zip(*seen[one], strict=True))) if one in seen else np.zeros(SIZES) for one in set(owners)}
-    return Model(owners, idf, centres, np.stack([floors[one] for one in owners]))
+                    seen.append(((weighted(c, idf) @ centres.T).max(axis=1), sizes_of(c)))
+    return centroids(counts, idf), floor(*(np.concatenate(x) for x in zip(*seen, strict=True))) if seen else np.zeros(SIZES)
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Slots that aren't 0 and their counts."""
+    at = np.flatnonzero(counts)
+    return np.stack((at.astype(np.float32), counts[at])).tobytes()
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(rows), SIZE), np.float32)
+    for row, raw in zip(out, rows, strict=True):
+        at, n = np.frombuffer(raw, np.float32).reshape(2, -1)
+        row[at.astype(np.int64)] = n
+    return out
 
 
 def piece(t: Texts, doc: np.ndarray) -> Texts:
@@ -157,23 +155,34 @@ def piece(t: Texts, doc: np.ndarray) -> Texts:
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """Learns from rows (doc_id, text, lang); rows with a null in any of them are left out. None without rows."""
     rows = labelled.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL AND text <> ''")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
-        return None
-    share = F.lit(0)
-    for x in sizes:
-        share = F.when(F.col("lang") == x["lang"], int(min(1.0, per_language / x["count"]) * 1_000_000) + 1).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+    shares = rows.groupBy("lang").count().select("lang", (F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count")) * 1_000_000 + 1).cast("long").alias("share"))
+    # As many rows as there are languages.
+    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share")).select("doc_id", "text", "lang")
 
     def counted(part: pa.RecordBatch, texts: Texts) -> pa.RecordBatch:
-        short = vectors(piece(texts, part.column(0).to_numpy()))
-        return record(doc_id=part.column(0), lang=part.column(2), counts=blobs([v.tobytes() for v in vectors(texts)]), piece=blobs([v.tobytes() for v in short]))
-
-    got = map_slices(documents(chosen, "lang"), counted, "doc_id long, lang string, counts binary, piece binary").collect()
-    got.sort(key=lambda r: (r["lang"], r["doc_id"], bytes(r["counts"])))
-    if not got:
+        whole, short = vectors(texts), vectors(piece(texts, part.column(0).to_numpy()))
+        return record(doc_id=part.column(0), lang=part.column(2), counts=blobs([packed(v) for v in whole]), piece=blobs([packed(v) for v in short]), slots=pa.array([np.flatnonzero(v) for v in whole], pa.list_(pa.int32())))
+
+    scratch = Scratch(labelled.sparkSession)
+    sample = scratch.store(map_slices(documents(chosen, "lang"), counted, "doc_id long, lang string, counts binary, piece binary, slots array<int>"), "sample")
+    n = sample.count()
+    frequency = np.zeros(SIZE)
+    for slot, df in sample.select(F.explode("slots").alias("slot")).groupBy("slot").count().collect():
+        frequency[slot] = df
+    idf = (np.log((1 + n) / (1 + frequency)) + 0.1).astype(np.float32)
+
+    def learn(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table["doc_id"].to_pylist(), table["counts"].to_pylist(), table["piece"].to_pylist(), strict=True))
+        centres, floors = learned(unpacked([r[1] for r in rows]), unpacked([r[2] for r in rows]), idf)
+        return pa.table({"lang": [table["lang"][0].as_py()], "centres": blobs([centres.astype(np.float32).tobytes()]), "floors": blobs([floors.tobytes()])})
+
+    found = sorted(sample.drop("slots").groupBy("lang").applyInArrow(learn, "lang string, centres binary, floors binary").collect(), key=lambda r: r["lang"])
+    scratch.clear()
+    if not found:
         return None
-    return learned([r["lang"] for r in got], *(np.stack([np.frombuffer(r[c], np.float32) for r in got]) for c in ("counts", "piece")))
+    centres = [np.frombuffer(r["centres"], np.float32).reshape(-1, SIZE) for r in found]
+    floors = [np.broadcast_to(np.frombuffer(r["floors"]), (len(c), SIZES)) for r, c in zip(found, centres, strict=True)]
+    return Model([r["lang"] for r, c in zip(found, centres, strict=True) for _ in c], idf, np.concatenate(centres).T.copy(), np.concatenate(floors))
 
 
 def has_letter(texts: Texts) -> np.ndarray:
