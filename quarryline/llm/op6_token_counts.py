@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scan import cache, documents, read_table, record, shared_dir, slices
+from .scan import cache, documents, read_table, record, shared_dir, slices, stored
 
 #: More tokens than this are over the limit.
 LIMIT = 4096
+#: A text is dealt out by salt if more rows than this and more than this share of all have it.
+SALTED, HOT_SHARE, SALT = 256, 2_000, 64
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 
 
@@ -61,6 +63,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache_path: str, limit: int =
     ours = version(tokenizer)
     text = F.coalesce("text", F.lit(""))
     rows = documents(docs).select("doc_id", F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
+    rows = stored(rows, "digests")  # texts are read once for this and once for what is encoded
     try:
         known = spark.read.schema(CACHE_SCHEMA).parquet(cache_path)
     except Exception as e:
@@ -69,7 +72,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache_path: str, limit: int =
         known = spark.createDataFrame([], CACHE_SCHEMA)
     known = known.where(F.col("version") == ours)
     # One document of each text that the cache lacks; counts are summed up in each task before they are dealt out.
-    misses = rows.groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("doc")).join(known, "digest", "left_anti")
+    seen = stored(rows.groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("doc"), F.count("*").alias("n")), "seen")
+    misses = seen.drop("n").join(known, "digest", "left_anti")
     texts = documents(docs).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), text.alias("text"))
     # A doc_id may stand for several texts, so the digest is compared too.
     texts = texts.withColumn("digest", F.unhex(F.sha2("text", 256))).join(misses, ["doc", "digest"]).select("digest", "text")
@@ -86,7 +90,12 @@ def token_counts(docs: DataFrame, tokenizer: str, cache_path: str, limit: int =
 
     texts.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("version") == ours).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # Texts that many rows have, fewer than HOT_SHARE: their rows are dealt out by salt.
+    least = max(SALTED, rows.count() // HOT_SHARE)
+    hot = F.broadcast(seen.where(F.col("n") > least).select("digest", F.lit(True).alias("hot")))
+    salted = rows.join(hot, "digest", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALT))).otherwise(0).cast("int"))
+    counts = counts.join(hot, "digest", "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
+    return salted.join(counts, ["digest", "salt"]).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
