@@ -93,6 +93,11 @@ def log_ratios(labelled: DataFrame) -> DataFrame:
     return stored(groups.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("g", "part"))), lambda x: x["part"])).alias("ratios")))
 
 
+def held_back(url: Column) -> Column:
+    """A fifth of the urls with a rule: the models don't learn from these, the threshold is set on them."""
+    return F.pmod(F.xxhash64(F.coalesce(url, F.lit(""))), F.lit(5)) == 0
+
+
 def url_filter(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
     """One row for each row of ``pages`` (page_id, url): host, path, rule, verdict, and the length-normalised ``score``.
 
@@ -104,14 +109,16 @@ def url_filter(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     host, path = parts(F.coalesce("url", F.lit("")))
     u = u.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    u = u.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), codes(F.coalesce("url", F.lit(""))).alias("codes"))
+    u = u.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), held_back(F.col("url")).alias("held"), codes(F.coalesce("url", F.lit(""))).alias("codes"))
     # Referred to once, so the projections collapse and the array stays one constant instead of a column of each row.
-    scored = u.withColumn("ratios", log_ratios(u.where("verdict IS NOT NULL")).scalar())
+    scored = u.withColumn("ratios", log_ratios(u.where("verdict IS NOT NULL AND NOT held")).scalar())
     total = F.aggregate("codes", F.lit(0.0), lambda acc, c: acc + F.get("ratios", c))
     scored = scored.withColumn("total", total).drop("ratios")
     scored = scored.withColumn("score", F.when(F.size("codes") > 0, F.col("total") / F.size("codes")).otherwise(F.lit(0.0)))
     by = {v: F.col("verdict") == v for v in ("allow", "block")}
-    stats = scored.where("verdict IS NOT NULL").agg(*(e for v, is_v in by.items() for e in (F.avg(F.when(is_v, F.col("score"))).alias(f"{v}_m"), F.stddev_pop(F.when(is_v, F.col("score"))).alias(f"{v}_s"))))
+    # Of the urls that are held back; of all if there are none of a class.
+    of = lambda fn, is_v: F.coalesce(fn(F.when(is_v & F.col("held"), F.col("score"))), fn(F.when(is_v, F.col("score"))))
+    stats = scored.where("verdict IS NOT NULL").agg(*(e for v, is_v in by.items() for e in (of(F.avg, is_v).alias(f"{v}_m"), of(F.stddev_pop, is_v).alias(f"{v}_s"))))
     spread = F.col("allow_s") + F.col("block_s")
     threshold = stats.select(F.coalesce(F.when(spread > 0, (F.col("allow_m") * F.col("block_s") + F.col("block_m") * F.col("allow_s")) / spread).otherwise((F.col("allow_m") + F.col("block_m")) / 2), F.lit(float("-inf")))).scalar()
     own = F.when(F.col("score") < threshold, "block").otherwise("allow")
