@@ -215,7 +215,7 @@ def sample(texts: Texts, keys: np.ndarray, v: Vocabulary, alpha: float, seed: in
     out = np.full(len(t.data), -1, np.int64)
     while len(node):
         u = (mix(salt ^ ((node + inside).astype(U) * U(0x9E3779B97F4A7C15))) >> U(11)).astype(np.float64) * 2.0**-53
-        e = np.searchsorted(cumulated, node + np.minimum(u, 1 - 2.0**-20), "right")
+        e = np.searchsorted(cumulated, np.minimum(node + u, np.nextafter(node + 1.0, 0.0)), "right")
         node = back[e]
         out[node + shift] = piece[e]
         go = node > origin
