@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scan import Texts, documents, grams, map_slices, mix, per_doc, read_table, record, starts_within
+from .scan import Texts, documents, grams, map_slices, mix, per_doc, ranges, read_table, record, starts_within
 
 #: Documents in the sample on which the rules' cost and selectivity are estimated.
 SAMPLE = 2000
@@ -117,22 +117,40 @@ def n_bare_words(t: Texts) -> np.ndarray:
 
 @dataclass
 class Measures:
-    """Measures of some texts, each computed when a rule first asks for it."""
+    """Measures of some texts, or of some rows of them, each computed when a rule first asks for it; only then are texts copied."""
 
-    texts: Texts
+    whole: Texts
     known: dict = field(default_factory=dict)
+    rows: np.ndarray | None = None
 
     def __getitem__(self, fn: Callable[[Texts], np.ndarray]) -> np.ndarray:
         if fn.__name__ not in self.known:
             self.known[fn.__name__] = fn(self.texts)
         return self.known[fn.__name__]
 
+    @property
+    def n(self) -> int:
+        return self.whole.n if self.rows is None else len(self.rows)
+
+    @property
+    def texts(self) -> Texts:
+        if self.rows is not None and len(self.rows) < self.whole.n:
+            o = self.whole.offsets
+            sizes = (o[1:] - o[:-1])[self.rows]
+            self.whole = Texts(self.whole.data[ranges(o[:-1][self.rows], sizes)], np.concatenate(([0], np.cumsum(sizes))))
+        self.rows = None
+        return self.whole
+
     def only(self, keep: np.ndarray) -> Measures:
         """The measures of the kept rows; what is known stays known."""
-        t = self.texts
-        pieces = [t.data[t.offsets[i] : t.offsets[i + 1]] for i in keep]
-        offsets = np.concatenate(([0], np.cumsum([len(p) for p in pieces], dtype=np.int64)))
-        return Measures(Texts(np.concatenate(pieces) if pieces else t.data[:0], offsets), {k: v[keep] for k, v in self.known.items()})
+        return Measures(self.whole, {k: v[keep] for k, v in self.known.items()}, keep if self.rows is None else self.rows[keep])
+
+    def based(self) -> np.ndarray:
+        """Whether the base rule rejects; the base measures are known then, whatever the rules ask for."""
+        words, repeat = self[n_words], self[n_repeat_words]
+        for f in (word_chars, n_symbols, n_dup_lines):
+            self[f]
+        return (words < 20) | (100 * repeat > 30 * words)
 
 
 #: Rules of the cascade: name -> rejected rows. They are mild on purpose: each names a kind of text that no prose has.
@@ -147,7 +165,7 @@ RULES: dict[str, Callable[[Measures], np.ndarray]] = {
 
 def cascade(measures: Measures, order: list[str]) -> np.ndarray:
     """The rows that every rule keeps, in ascending order."""
-    left = np.arange(measures.texts.n)
+    left = np.arange(measures.n)
     for name in order:
         if not len(left):
             break
@@ -169,9 +187,13 @@ def plan(docs: DataFrame, sample: int = SAMPLE) -> list[str]:
 
     def measure(part: pa.RecordBatch, texts: Texts) -> pa.RecordBatch:
         names, rejected, seconds = [], [], []
+        m = Measures(texts)
+        rest = np.flatnonzero(~m.based())
         for name, rule in RULES.items():
+            # From what the cascade has when it begins: the base measures of the documents that pass the base rule.
+            start = m.only(rest)
             began = time.perf_counter()
-            no = rule(Measures(Texts(texts.data, texts.offsets)))
+            no = rule(start)
             names.append(name)
             rejected.append(int(no.sum()))
             seconds.append(time.perf_counter() - began)
@@ -192,9 +214,8 @@ def quality_rules(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
 
     def judge(part: pa.RecordBatch, texts: Texts) -> pa.RecordBatch:
         m = Measures(texts)
-        words, repeat = m[n_words], m[n_repeat_words]
-        base = {f.__name__: m[f] for f in (word_chars, n_symbols, n_dup_lines)}
-        failed = (words < 20) | (100 * repeat > 30 * words)
+        failed = m.based()
+        words, repeat, base = m[n_words], m[n_repeat_words], {f.__name__: m[f] for f in (word_chars, n_symbols, n_dup_lines)}
         rest = np.flatnonzero(~failed)
         kept = np.zeros(texts.n, bool)
         kept[rest[cascade(m.only(rest), order)]] = True
