@@ -163,14 +163,16 @@ def kept_documents(docs: DataFrame, weights: np.ndarray | None, keep: float = KE
         return record(host=part.column(2), path=part.column(3), p=1 / (1 + np.exp(-of(texts))))
 
     scored = stored(map_slices(documents(docs, host, path), judge, "host string, path string, p double"), "scored")
-    names = docs.columns
-    rows = with_sites(docs.select("*", host, path), site_offsets(scored)).select(*names, "shift")
+    # The rows are one column, so names of theirs clash with nothing.
+    rows = with_sites(docs.select(F.struct("*").alias("row"), "doc_id", host, path), site_offsets(scored)).select("row", "shift")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch):
-                score = 1 / (1 + np.exp(-(of(texts) + part.column(part.num_columns - 1).to_numpy())))
-                yield part.select(names).filter(pa.array(score >= keep))
+            shift, at = batch.column(1).to_numpy(), 0
+            for part, texts in slices(pa.RecordBatch.from_struct_array(batch.column(0))):
+                score = 1 / (1 + np.exp(-(of(texts) + shift[at : at + texts.n])))
+                at += texts.n
+                yield part.filter(pa.array(score >= keep))
 
     return rows.mapInArrow(choose, docs.schema)
 
