@@ -37,10 +37,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id."""
+    """Of each group of near duplicates the document with the smallest doc_id; of rows that repeat a doc_id the least by text, lang,
+    source and n_chars. Rows without doc_id stay."""
     docs = docs.select(*COLUMNS)
     gone = near.jaccard_components(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    left = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    again = stored(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if again.isEmpty():
+        return left
+    one = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("r")).select("doc_id", "r.*")
+    return left.join(again, "doc_id", "left_anti").select(*COLUMNS).union(one.select(*COLUMNS))
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
