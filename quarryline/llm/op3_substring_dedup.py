@@ -2,10 +2,11 @@
 
 A window is 20 consecutive words. Each window has an anchor, its smallest 5-gram by hash, so equal windows have equal anchors; the
 windows of a text that share one place of an anchor form a segment (at most 16 windows, 35 words). Anchors that occur once in the whole
-table can't be in a repeated window. The other segments go to the shard of their anchor, where an FM-index over all segments of the
-shard is built. Each segment is streamed through it from its last word to its first by backward search over the wavelet matrix; the
-search keeps the statistics of the match at the window's length (an interval of rows, widened to that depth after each step), and a
-window is reported if the first occurrence in its interval is an earlier one.
+table can't be in a repeated window. The other segments go to the shard of their anchor. There the earliest segment of each anchor is
+held in an FM-index, and the later ones are streamed through it from the last word to the first: backward search over the wavelet
+matrix extends the match, and where a word doesn't fit, the interval is widened to what its last words leave. That gives the matching
+statistics, the longest earlier match from each word on; intervals of a window's length or more are reported, and what is new in a
+segment is searched in, and added to, the next index.
 
 Scale: every window is in one shard. Anchors are counted from one number for each anchor and task; those that repeat are told to the
 second scan by a filter of a fixed number of bits (what it lets through wrongly only costs time). Equal segments of a task are
@@ -16,6 +17,7 @@ goes to the shard of its own content.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 from itertools import compress
 
@@ -30,8 +32,11 @@ from .scan import Texts, U, blobs, documents, grams, mix, moved, prefix_sums, ra
 WINDOW, GRAM = 20, 5
 #: Bits of the filter of repeated anchors.
 FILTER_BITS = 1 << 27
-#: An anchor with more segments than this and than this share of all rows is cut into windows; the share bounds the list of them.
-HOT, HOT_SHARE = 256, 20_000
+#: An anchor with more segments than this and than this share of all rows is cut into windows before it is dealt out; the most frequent
+#: ones of these, as many as the list may have (others are searched as they are).
+HOT, HOT_SHARE, HOT_LIST = 256, 20_000, 1 << 20
+#: After so many rounds, what is left of segments is cut into windows.
+ROUNDS = 12
 #: Text that a task gathers before it deals out its segments, and words of an index.
 GATHER_BYTES = 12 << 20
 INDEX_WORDS = 1 << 19
@@ -109,12 +114,14 @@ def repeated_anchors(docs: DataFrame, parts: int, hot: int) -> tuple[np.ndarray,
         mask = np.zeros(bits, bool)
         for place in anchor_place(again, parts, bits)[1:]:
             mask[place] = True
-        yield record(part=pa.array([part], pa.int32()), bits=blobs([np.packbits(mask, bitorder="little").tobytes()]), hot=blobs([a[total >= hot].tobytes()]))
+        many = np.flatnonzero(total >= hot)
+        many = many[np.argsort(-total[many], kind="stable")[: max(1, HOT_LIST // parts)]]
+        yield record(part=pa.array([part], pa.int32()), bits=blobs([np.packbits(mask, bitorder="little").tobytes()]), hot=blobs([a[many].tobytes()]))
 
     dealt = docs.mapInArrow(count, "part int, entries binary").repartitionById(parts, F.col("part"))
     out = np.zeros((parts, bits // 8), np.uint8)
     often = [np.zeros(0, U)]
-    # FILTER_BITS in all, and at most as many hot anchors as HOT_SHARE allows.
+    # FILTER_BITS in all, and about HOT_LIST anchors.
     for r in dealt.mapInArrow(judge, "part int, bits binary, hot binary").collect():
         out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
         often.append(np.frombuffer(r["hot"], U))
@@ -152,49 +159,67 @@ def spans(doc: np.ndarray, start: np.ndarray, windows: np.ndarray) -> tuple[list
     return doc[head].tolist(), [pair[a:b].tobytes() for a, b in zip(head.tolist(), ends.tolist(), strict=True)]
 
 
+def runs(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and length of each run of consecutive places (ascending)."""
+    head = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1] + 1))) if len(place) else np.zeros(0, np.int64)
+    return place[head], np.diff(np.append(head, len(place)))
+
+
+def streamed(words: np.ndarray, index_at: tuple[np.ndarray, np.ndarray], text_at: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Matching statistics of some texts (first place and length in ``words``) in an index of others, one after the other."""
+    (first, size), (begin, count) = index_at, text_at
+    names, ids = np.unique(words[ranges(first, size)], return_inverse=True)
+    ends = np.cumsum(size + 1)
+    held = np.ones(ends[-1], np.int64)  # each text's words, numbered from 2, then a separator
+    held[ranges(ends - size - 1, size)] = ids + 2
+    index = FMIndex(held, len(names) + 2, int(max(size.max(), count.max())) + 1)
+    other = words[ranges(begin, count)]
+    at = np.minimum(np.searchsorted(names, other), len(names) - 1)
+    return index.statistics(np.where(names[at] == other, at + 2, 0), np.cumsum(count) - count, count)
+
+
 def searched(seg: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans (document, first word, windows) of the windows of some segments that also start earlier in one of them."""
+    """Spans (document, first word, windows) of the windows of some segments that also start earlier in one of them.
+
+    Segments of one anchor have one route. In each round the earliest of every route that has several goes into an index, and the
+    others are streamed through it: what matches WINDOW words or more is an earlier occurrence, as windows that are equal have one
+    anchor. What is left of them waits for the next round, and what is left of many is cut into windows, each a route by its content.
+    """
     begin = np.concatenate(([0], np.cumsum(seg["words"], dtype=np.int64)))
     keep, later = copies(digests(words, begin[:-1], np.diff(begin)), seg["doc"], seg["start"])
     out = [(seg["doc"][later], seg["start"][later].astype(np.int64), seg["words"][later].astype(np.int64) - WINDOW + 1)]
-    begin, seg = begin[:-1][keep], seg[keep]
-    size = seg["words"].astype(np.int64)
-    order = np.argsort(-size, kind="stable")
-    seg, begin, size = seg[order], begin[order], size[order]
-    _, ids = np.unique(words[ranges(begin, size)], return_inverse=True)
-    # The text: each segment's words (numbers from 2), then a separator.
-    first = np.concatenate(([0], np.cumsum(size + 1)))
-    text = np.ones(first[-1], np.int64)
-    text[ranges(first[:-1], size)] = ids + 2
-    index = FMIndex(text, int(text.max()) + 1, WINDOW + 1)
-    group = index.groups([(16, 0), (16, WINDOW - 16)])
-    heads = np.flatnonzero(np.diff(group, prepend=-1))
-    tails = np.append(heads[1:], index.n)
-    # Where each row's suffix stands among all words of all documents, and the first one of each group.
-    _, doc = np.unique(seg["doc"], return_inverse=True)
-    owner = np.repeat(np.arange(len(seg)), size + 1)
-    here = (doc[owner] << 32) + seg["start"][owner].astype(np.int64) + spread(size + 1)
-    earliest = np.minimum.reduceat(here[index.rows], heads)
-    lo, hi = np.zeros(len(seg), np.int64), np.full(len(seg), index.n)
-    found_at, found = [], []
-    for step in range(1, int(size.max()) + 1):  # all segments that are long enough, one word further to the left
-        live = int(np.searchsorted(-size, -step, "right"))
-        lo, hi = lo[:live], hi[:live]
-        place = first[:live] + size[:live] - step
-        lo, hi = index.extend(text[place], lo, hi)
-        if step >= WINDOW:
-            g = group[lo]
-            lo, hi = heads[g], tails[g]
-            repeat = np.flatnonzero(earliest[g] < here[place])
-            found_at.append(place[repeat])
-            found.append(repeat)
-    place = np.concatenate(found_at)
-    which = np.concatenate(found)
-    order = np.argsort(place)
-    place, which = place[order], which[order]
-    new = np.concatenate(([True], (place[1:] != place[:-1] + 1) | (which[1:] != which[:-1]))) if len(place) else np.zeros(0, bool)
-    head = np.flatnonzero(new)
-    out.append((seg["doc"][which[head]], seg["start"][which[head]].astype(np.int64) + place[head] - first[which[head]], np.diff(np.append(head, len(place)))))
+    order = np.lexsort((seg["start"][keep], seg["doc"][keep]))
+    seg, at = seg[keep][order], begin[:-1][keep][order]
+    # What is left: document, first word in it, first word here, number of words, route; by document and first word.
+    doc, start, size, route = seg["doc"].astype(np.int64), seg["start"].astype(np.int64), seg["words"].astype(np.int64), seg["route"].astype(np.uint64)
+    for rounds in itertools.count(1):
+        _, head, which, often = np.unique(route, return_index=True, return_inverse=True, return_counts=True)
+        several = often[which] > 1
+        if not several.any():
+            break
+        first = np.zeros(len(doc), bool)
+        first[head] = True
+        one, rest = np.flatnonzero(first & several), np.flatnonzero(~first)
+        doc, start, place, size, route, at = doc[rest], start[rest], at[rest], size[rest], route[rest], (at[one], size[one])
+        length = streamed(words, at, (place, size))
+        # Windows, by their first words.
+        row = np.repeat(np.arange(len(doc)), size - WINDOW + 1)
+        shift = spread(size - WINDOW + 1)
+        known = length[(np.cumsum(size) - size)[row] + shift] >= WINDOW
+        line = np.cumsum(size + 1)[row] + shift  # places with a gap after each text
+        for hit in (True, False):
+            part = np.flatnonzero(known == hit)
+            begun, many = runs(line[part])
+            part = part[np.searchsorted(line[part], begun)]
+            if hit:
+                out.append((doc[row[part]], start[row[part]] + shift[part], many))
+        owner = row[part]
+        doc, start, at, size, route = doc[owner], start[owner] + shift[part], place[owner] + shift[part], many + WINDOW - 1, route[owner]
+        if rounds == ROUNDS:
+            many = size - WINDOW + 1
+            inner = spread(many)
+            doc, start, at = np.repeat(doc, many), np.repeat(start, many) + inner, np.repeat(at, many) + inner
+            size, route = np.full(len(doc), WINDOW), grams(words, WINDOW)[at]
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -295,10 +320,11 @@ def kept_words(text: bytes, removed: bytes | None) -> tuple[int, int, list[bytes
     words = text.split()
     if not removed:
         return len(words), 0, words
+    # A row that repeats a doc_id with a shorter text may lack some places.
     pairs = np.frombuffer(removed, "<u4").reshape(-1, 2).astype(np.int64)
     step = np.zeros(len(words) + 1, np.int64)
-    np.add.at(step, pairs[:, 0], 1)
-    np.add.at(step, pairs[:, 0] + pairs[:, 1] + WINDOW - 1, -1)
+    np.add.at(step, np.minimum(pairs[:, 0], len(words)), 1)
+    np.add.at(step, np.minimum(pairs[:, 0] + pairs[:, 1] + WINDOW - 1, len(words)), -1)
     stay = np.cumsum(step[:-1]) <= 0
     return len(words), int(len(words) - stay.sum()), list(compress(words, stay.tolist()))
 
@@ -314,7 +340,8 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256.
 
     A null or empty text has no words and the digest of an empty text; one with fewer than 20 words loses nothing. doc_id names a
-    document: rows that repeat one with the same text get the same result and don't count as earlier occurrences of each other. A
+    document: rows that repeat one with the same text get the same result and don't count as earlier occurrences of each other; of rows
+    that repeat one with different texts, each loses the words at the places that are found in any of them. A
     row without doc_id keeps all words and removes none elsewhere. An empty table gives an empty result. Words are compared by 40 bits
     of a hash, windows so by 20 times 40, and whole segments that are copies by 64 bits that tell the order of their words.
     """

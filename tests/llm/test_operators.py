@@ -254,7 +254,7 @@ def test_digests_tell_the_order_of_words():
 def test_index_counts_patterns():
     r = np.random.default_rng(1)
     text = np.append(r.integers(2, 6, 400), 1)  # a text ends with a separator, which no pattern has
-    index = FMIndex(text, 6, 8)
+    index = FMIndex(text, 6, 9, locate=True)
     for n in range(1, 9):
         for start in r.integers(0, 392, 20):
             pattern = text[start : start + n]
@@ -265,6 +265,31 @@ def test_index_counts_patterns():
             assert sorted(index.rows[lo[0] : hi[0]].tolist()) == want
 
 
+def test_matching_statistics_of_other_texts():
+    """Texts that the index doesn't hold are streamed through it; the length of the longest match from each place on."""
+    r = np.random.default_rng(4)
+    held = [r.integers(2, 5, n) for n in (40, 25, 30)]
+    text = np.concatenate([np.append(h, 1) for h in held])
+    index = FMIndex(text, 6, 36)
+    others = [r.integers(2, 6, int(n)) for n in r.integers(1, 36, 40)] + [held[0][3:30], held[1], np.concatenate((held[2][5:20], held[0][:15]))]
+    size = np.array([len(o) for o in others])
+    got_lengths = index.statistics(np.concatenate(others), np.cumsum(size) - size, size)
+    patterns = {tuple(h[i:j].tolist()) for h in held for i in range(len(h)) for j in range(i + 1, len(h) + 1)}
+    want = [max((k for k in range(1, len(o) - i + 1) if tuple(o[i : i + k].tolist()) in patterns), default=0) for o in others for i in range(len(o))]
+    assert got_lengths.tolist() == want
+
+
+def test_substring_dedup_of_many_variants(spark, monkeypatch):
+    """More variants about one anchor than rounds, and rows that repeat a doc_id with other texts."""
+    monkeypatch.setattr(op3, "ROUNDS", 2)
+    common = edge.prose(50, 22)
+    rows = [(i, f"{edge.prose(60 + i % 9, 15)} {common} {edge.prose(80 + i % 4, 15)} {edge.prose(90 + i % 2, 25)}") for i in range(60)]
+    assert got(op3.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == dedup_brute(rows)
+    odd = [(1, edge.prose(1, 60)), (2, edge.prose(1, 60)), (2, edge.prose(3, 25)), (2, None)]
+    out = op3.substring_dedup(spark.createDataFrame(odd, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in out) == [(1, 60, 0), (2, 0, 0), (2, 25, 25), (2, 60, 60)]
+
+
 @pytest.mark.parametrize("words", [True, False])
 def test_packing(spark, words):
     from tokenizers import Tokenizer
