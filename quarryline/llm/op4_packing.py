@@ -10,6 +10,7 @@ packed once more, as items, in groups of tasks, so what is left over doesn't gro
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -85,14 +86,14 @@ class WordEncoder:
     """Token ids of texts, for tokenizers that drop white space and never join over it: the ids of a text are those of its words, one
     after the other. Each distinct word is encoded once and kept, up to a number of bytes."""
 
-    MOST = 24 << 20
+    MOST = 40 << 20
 
     def __init__(self, tokenizer: str):
         self.encode = encoder(tokenizer)
         self.forget()
 
     def forget(self) -> None:
-        self.hashes, self.starts, self.counts, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        self.hashes, self.starts, self.counts, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint16)
 
     def __call__(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids, and the number of ids before each row."""
@@ -108,21 +109,21 @@ class WordEncoder:
         if len(new):
             raw = t.data.tobytes()
             got = self.encode([raw[a:b].decode(errors="replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-            counts = np.array([len(x) for x in got], np.int64)
-            flat = np.fromiter((i for x in got for i in x), np.uint32, counts.sum())
-            if len(self.hashes) * 24 + self.ids.nbytes > self.MOST:
+            counts = np.array([len(x) for x in got], np.uint32)
+            flat = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(counts.sum()))
+            if len(self.hashes) * 16 + self.ids.nbytes > self.MOST and len(self.hashes):
                 self.forget()
                 return self(t)
-            begin = len(self.ids) + np.cumsum(counts) - counts
+            begin = (len(self.ids) + np.cumsum(counts) - counts).astype(np.uint32)
             order = np.argsort(np.concatenate((self.hashes, values[new])), kind="stable")
             self.hashes = np.concatenate((self.hashes, values[new]))[order]
             self.starts = np.concatenate((self.starts, begin))[order]
             self.counts = np.concatenate((self.counts, counts))[order]
-            self.ids = np.concatenate((self.ids, flat)).astype(np.uint32)
+            self.ids = np.concatenate((self.ids, flat.astype(self.ids.dtype) if flat.max(initial=0) <= np.iinfo(self.ids.dtype).max else flat))
             at = np.searchsorted(self.hashes, values)
-        counts = self.counts[at][inverse]
+        counts = self.counts[at][inverse].astype(np.int64)
         upto = np.concatenate(([0], np.cumsum(counts)))
-        return self.ids[ranges(self.starts[at][inverse], counts)], upto[ptr]
+        return self.ids[ranges(self.starts[at][inverse].astype(np.int64), counts)].astype(np.uint32), upto[ptr]
 
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, task int, free int"
