@@ -21,7 +21,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .scan import Texts, U, cache, documents, mix, ranges, read_table, record, slices
+from .scan import Texts, U, cache, documents, mix, powers, ranges, read_table, record, slices
 
 #: Sharpness of the sampling distribution: 0 is uniform over segmentations, larger values come closer to the best one.
 ALPHA = 1.0
@@ -135,13 +135,16 @@ def edges(t: Texts, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     after[begin] = begin + width
     starts, ends, pieces = [], [], []
     alone = np.zeros(n, bool)  # characters that are pieces themselves
-    at = begin
+    at, code, bytes_, up = begin, np.zeros(len(begin), U), t.data.astype(U) + U(1), powers()[0]
     for size in range(1, v.longest + 1):  # only places where some piece may still go on
-        at = at[at + size <= stop[at]]
+        inside = at + size <= stop[at]
+        at, code = at[inside], code[inside]
         if not len(at):
             break
-        found = lookup(v, t.hashes(at, at + size))
-        at, found = at[found >= 0], v.ids[found[found >= 0]]
+        code = code + bytes_[at + size - 1] * up[size - 1]  # the hash of a byte range, one byte longer each time
+        found = lookup(v, mix(code ^ (U(size) << U(48))))
+        go = found >= 0
+        at, code, found = at[go], code[go], v.ids[found[go]]
         ok = found >= 0
         starts.append(at[ok])
         ends.append(at[ok] + size)

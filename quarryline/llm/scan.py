@@ -114,6 +114,7 @@ class Texts:
         self.n = len(offsets) - 1
         self._words = None
         self._sums = None
+        self._down = None
 
     @staticmethod
     def of(values: list[bytes]) -> Texts:
@@ -145,7 +146,11 @@ class Texts:
         """A 64-bit hash of each byte range."""
         if self._sums is None:
             self._sums = prefix_sums(self.data.astype(U) + U(1))
-        h = moved(self._sums[ends] - self._sums[starts], starts)
+            if len(self.data) <= 2 * SLICE_BYTES:  # else only those that are asked for
+                far = runs_of(pow(BASE, -BLOCK, 1 << 64), len(self.data) // BLOCK + 1)
+                self._down = np.multiply.outer(far, powers()[1][: len(self.data) + 1]).ravel()
+        h = self._sums[ends] - self._sums[starts]
+        h = moved(h, starts) if self._down is None else h * self._down[starts]
         return mix(h ^ ((ends - starts).astype(U) << U(48)))
 
     def word_hashes(self) -> np.ndarray:
