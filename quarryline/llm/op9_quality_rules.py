@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scan import Texts, documents, grams, map_slices, mix, per_doc, ranges, read_table, record, starts_within
+from .scan import Texts, documents, grams, map_slices, mix, per_doc, read_table, record, starts_within
 
 #: Documents in the sample on which the rules' cost and selectivity are estimated.
 SAMPLE = 2000
@@ -117,7 +117,7 @@ def n_bare_words(t: Texts) -> np.ndarray:
 
 @dataclass
 class Measures:
-    """Measures of some texts, or of some rows of them, each computed when a rule first asks for it; only then are texts copied."""
+    """Measures of some texts, or of some rows of them in ascending order, each computed when a rule first asks for it; only then are texts copied."""
 
     whole: Texts
     known: dict = field(default_factory=dict)
@@ -135,9 +135,9 @@ class Measures:
     @property
     def texts(self) -> Texts:
         if self.rows is not None and len(self.rows) < self.whole.n:
-            o = self.whole.offsets
-            sizes = (o[1:] - o[:-1])[self.rows]
-            self.whole = Texts(self.whole.data[ranges(o[:-1][self.rows], sizes)], np.concatenate(([0], np.cumsum(sizes))))
+            sizes, stay = np.diff(self.whole.offsets), np.zeros(self.whole.n, bool)
+            stay[self.rows] = True
+            self.whole = Texts(self.whole.data[np.repeat(stay, sizes)], np.concatenate(([0], np.cumsum(sizes[stay]))))
         self.rows = None
         return self.whole
 
