@@ -28,7 +28,7 @@ ALPHA = 1.0
 SEED = 17
 SPACE = 32
 #: Bytes of text whose distinct words are filtered together.
-SLICE = 3 << 19
+SLICE = 3 << 20
 #: Size of the lookup tables, as a power of two.
 BITS = 21
 
@@ -135,16 +135,17 @@ def edges(t: Texts, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     after[begin] = begin + width
     starts, ends, pieces = [], [], []
     alone = np.zeros(n, bool)  # characters that are pieces themselves
-    at, code, bytes_, up = begin, np.zeros(len(begin), U), t.data.astype(U) + U(1), powers()[0]
+    at, code, room, bytes_, up = begin, np.zeros(len(begin), U), (stop - np.arange(n))[begin], t.data.astype(U) + U(1), powers()[0]
     for size in range(1, v.longest + 1):  # only places where some piece may still go on
-        inside = at + size <= stop[at]
-        at, code = at[inside], code[inside]
+        inside = room >= size
+        if not inside.all():
+            at, code, room = at[inside], code[inside], room[inside]
         if not len(at):
             break
         code = code + bytes_[at + size - 1] * up[size - 1]  # the hash of a byte range, one byte longer each time
         found = lookup(v, mix(code ^ (U(size) << U(48))))
-        go = found >= 0
-        at, code, found = at[go], code[go], v.ids[found[go]]
+        go = np.flatnonzero(found >= 0)
+        at, code, room, found = at[go], code[go], room[go], v.ids[found[go]]
         ok = found >= 0
         starts.append(at[ok])
         ends.append(at[ok] + size)
