@@ -28,7 +28,7 @@ ALPHA = 1.0
 SEED = 17
 SPACE = 32
 #: Bytes of text whose distinct words are filtered together.
-SLICE = 3 << 20
+SLICE = 3 << 16
 #: Size of the lookup tables, as a power of two.
 BITS = 21
 
