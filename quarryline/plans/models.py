@@ -140,17 +140,9 @@ def cdx_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.by_prefix(warc.index_of(_archive(spark, sf_dir)), "http://m.").select("url")
 
 
-@query("SELECT url, strlen(html)::INT AS size FROM pages WHERE page_id < 20")
-def cdx_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archive = _archive(spark, sf_dir)
-    wanted = table(spark, sf_dir, "pages").where("page_id < 20").select(urls.url_key(F.col("url")).alias("url_key"), F.col("url").alias("wanted"))
-    index = warc.index_of(archive).join(wanted, "url_key").where("url = wanted")
-    return warc.content_of(index).select("url", F.octet_length("content").alias("size"))
-
-
 @query("SELECT url, strlen(html)::INT AS size FROM pages")
-def cdx_content_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lookup of ``cdx_content`` for every page."""
+def cdx_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url looked up in the index, and the capture read at its place."""
     archive = _archive(spark, sf_dir)
     wanted = table(spark, sf_dir, "pages").select(urls.url_key(F.col("url")).alias("url_key"), F.col("url").alias("wanted")).distinct()
     index = warc.index_of(archive).join(wanted, "url_key").where("url = wanted")
