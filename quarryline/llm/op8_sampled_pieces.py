@@ -7,7 +7,8 @@ and so on. The random number at a node is a hash of the row's key, the seed and
 segmentation wherever and whenever it is encoded.
 
 No piece reaches over the start of a run of spaces or over a line end, so the lattice falls apart into words there: each distinct word
-of a slice is filtered once, and all of its occurrences are sampled from that, in steps for all words at the same time.
+of a slice is filtered once (or was before: a worker keeps the lattices of words that come again), and all of its occurrences are
+sampled from that, in steps for all words at the same time. Probabilities are multiples of 2**-32.
 """
 
 from __future__ import annotations
@@ -160,19 +161,19 @@ def edges(t: Texts, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(starts), np.concatenate(ends), np.concatenate(pieces)
 
 
-def filtered(t: Texts, v: Vocabulary, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward filtering. For the edges in the order of their ends: cumulated probability given the end (plus the end's number, so one
-    sorted array serves all nodes), start, and piece."""
+def filtered(t: Texts, v: Vocabulary, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Forward filtering. For the edges in the order of their ends: end, last random number (of 2**32) that draws the edge given its end,
+    start, and piece. Every edge has one random number at least. Weights are summed as whole numbers, so an edge's numbers don't hang on
+    what else is in the slice."""
     starts, ends, pieces = edges(t, v)
     base = np.repeat(t.offsets[:-1], np.diff(t.offsets))
     depth = ends - base[ends - 1]
-    # Each edge has a number of its own, so the order doesn't hang on what else is in the slice.
     order = np.argsort((depth << 38) | (ends << 6) | (ends - starts))
     s, e, p = starts[order], ends[order], pieces[order]
     layer = np.searchsorted(depth[order], np.arange(1, (depth.max() if len(depth) else 0) + 2))
     first = s == base[s]
     score = np.full(len(t.data) + 1, 0.0)
-    cumulated = np.empty(len(s))
+    last = np.empty(len(s), np.uint32)
     w = alpha * v.log_p[p]
     for a, b in zip(layer[:-1].tolist(), layer[1:].tolist(), strict=True):
         if a == b:
@@ -180,46 +181,120 @@ def filtered(t: Texts, v: Vocabulary, alpha: float) -> tuple[np.ndarray, np.ndar
         value = w[a:b] + np.where(first[a:b], 0.0, score[s[a:b]])
         node = e[a:b]
         heads = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-        sizes = np.diff(np.append(heads, b - a))
-        top = np.repeat(np.maximum.reduceat(value, heads), sizes)
-        weight = np.exp(value - top)
-        total = np.add.reduceat(weight, heads)
-        run = np.cumsum(weight)
-        run -= np.repeat(run[heads] - weight[heads], sizes)
-        share = run / np.repeat(total, sizes)
-        share[np.append(heads[1:], b - a) - 1] = 1.0
-        cumulated[a:b] = share
-        score[node[heads]] = top[heads] + np.log(total)
+        tails = np.append(heads[1:], b - a) - 1
+        sizes = tails - heads + 1
+        top = np.maximum.reduceat(value, heads)
+        run = np.cumsum((np.exp(value - np.repeat(top, sizes)) * 2.0**52).astype(np.int64))  # differences are right even if it wraps
+        before = np.concatenate(([0], run[tails[:-1]]))
+        total = (run[tails] - before).astype(np.float64)
+        share = (run - np.repeat(before, sizes)) / np.repeat(total, sizes)
+        last[a:b] = (share * np.repeat(2.0**32 - sizes, sizes)).astype(np.int64) + (np.arange(b - a) - np.repeat(heads, sizes))
+        score[node[heads]] = top + np.log(total * 2.0**-52)
     # From the order of layers to the order of ends: the edges of a node stay together.
     heads = np.flatnonzero(np.diff(e, prepend=-1))
     sizes = np.diff(np.append(heads, len(e)))
     by_end = ranges(heads[rank := np.argsort(e[heads])], sizes[rank])
-    return e[by_end] + np.minimum(cumulated[by_end], 1.0), s[by_end], p[by_end]
+    return e[by_end], last[by_end], s[by_end], p[by_end]
+
+
+class Lattices:
+    """Filtered lattices of units, kept by the units' hashes for the worker's life, up to a number of edges. When there is no more room,
+    those go that weren't asked for again since the last time. What is kept changes no result."""
+
+    MOST = 4 << 20
+
+    def __init__(self, v: Vocabulary, alpha: float):
+        self.v, self.alpha = v, alpha
+        self.hashes, self.begin, self.count, self.used = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.n = 0
+        # By edge: end and start in the unit, last random number, piece.
+        self.edges = tuple(np.zeros(self.MOST, kind) for kind in (np.uint16, np.uint32, np.uint16, np.uint32))
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of sorted hashes among those that are kept, and which of them are there."""
+        at = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == hashes[inside]
+        return at, known
+
+    def sweep(self) -> None:
+        """Keeps what was used again since the last time, or nothing if that is more than half of the room."""
+        stay = self.used if self.count[self.used].sum() <= self.MOST // 2 else np.zeros(len(self.used), bool)
+        order = np.flatnonzero(stay)
+        order = order[np.argsort(self.begin[order])]
+        at = ranges(self.begin[order], self.count[order])
+        for column in self.edges:
+            column[: len(at)] = column[at]
+        self.begin[order] = np.cumsum(self.count[order]) - self.count[order]
+        self.n = len(at)
+        self.hashes, self.begin, self.count = self.hashes[stay], self.begin[stay], self.count[stay]
+        self.used = np.zeros(len(self.hashes), bool)
+
+    def add(self, t: Texts, hashes: np.ndarray, starts: np.ndarray, size: np.ndarray) -> bool:
+        """Filters the units that aren't kept yet; False if there is no room for all."""
+        at, known = self.find(hashes)
+        self.used[at[known]] = True
+        if known.all():
+            return True
+        new = np.flatnonzero(~known)
+        if size.max() >= 1 << 16 or size[new].sum() > 4 * SLICE:
+            return False
+        own = Texts(t.data[ranges(starts[new], size[new])], np.concatenate(([0], np.cumsum(size[new]))))
+        end, last, start, piece = filtered(own, self.v, self.alpha)
+        if self.n + len(end) > self.MOST:
+            self.sweep()
+            at, known = self.find(hashes)
+            if self.n + len(end) > self.MOST or len(new) + known.sum() < len(hashes):
+                return False
+        count = np.diff(np.searchsorted(end, own.offsets, "right"))
+        base = np.repeat(own.offsets[:-1], count)
+        for column, values in zip(self.edges, (end - base, last, start - base, piece), strict=True):
+            column[self.n : self.n + len(values)] = values
+        at = at[new]
+        self.begin = np.insert(self.begin, at, self.n + np.cumsum(count) - count)
+        self.hashes, self.count, self.used = np.insert(self.hashes, at, hashes[new]), np.insert(self.count, at, count), np.insert(self.used, at, False)
+        self.n += len(end)
+        return True
+
+    def of(self, t: Texts, hashes: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Edges of units with these (sorted, distinct) hashes: end and last random number as one sorted key, start, piece. The units'
+        nodes are numbered through."""
+        offsets = np.cumsum(size) - size
+        if self.add(t, hashes, starts, size):
+            at, _ = self.find(hashes)
+            count = self.count[at]
+            at = ranges(self.begin[at], count)
+            end, last, start, piece = (column[at] for column in self.edges)
+            base = np.repeat(offsets, count)
+            end, start = end + base, start + base
+        else:
+            end, last, start, piece = filtered(Texts(t.data[ranges(starts, size)], np.append(offsets, size.sum())), self.v, self.alpha)
+        return (end.astype(U) << U(32)) | last, start, piece
 
 
-def sample(texts: Texts, keys: np.ndarray, v: Vocabulary, alpha: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def sample(texts: Texts, keys: np.ndarray, v: Vocabulary, alpha: float, seed: int, known: Lattices | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Flat piece ids, and the number of pieces before each row."""
     t = prefixed(texts)
     if not len(t.data):
         return np.zeros(0, np.uint32), np.zeros(t.n + 1, np.int64)
     starts = units(t, v)
     ends = np.append(starts[1:], len(t.data))
-    _, first, which = np.unique(t.hashes(starts, ends), return_index=True, return_inverse=True)
+    hashes, first, which = np.unique(t.hashes(starts, ends), return_index=True, return_inverse=True)
     size = (ends - starts)[first]
-    own = Texts(t.data[ranges(starts[first], size)], np.concatenate(([0], np.cumsum(size))))
-    cumulated, back, piece = filtered(own, v, alpha)
+    upto, back, piece = (known or Lattices(v, alpha)).of(t, hashes, starts[first], size)
     order = np.argsort(which)  # neighbours read the same part of the tables
     starts, which = starts[order], which[order]
     row = np.searchsorted(t.offsets, starts, "right") - 1
     salt = mix(mix(keys.astype(np.int64).view(U)) ^ U(seed))[row]
-    origin = own.offsets[which]
-    node = own.offsets[which + 1]
+    origin = (np.cumsum(size) - size)[which]
+    node = origin + size[which]
     shift = starts - origin  # from the unit's node to the place in the slice
     inside = starts - t.offsets[row] - origin  # and to the place in the text
     out = np.full(len(t.data), -1, np.int64)
     while len(node):
-        u = (mix(salt ^ ((node + inside).astype(U) * U(0x9E3779B97F4A7C15))) >> U(11)).astype(np.float64) * 2.0**-53
-        e = np.searchsorted(cumulated, np.minimum(node + u, np.nextafter(node + 1.0, 0.0)), "right")
+        u = mix(salt ^ ((node + inside).astype(U) * U(0x9E3779B97F4A7C15))) >> U(32)
+        e = np.searchsorted(upto, (node.astype(U) << U(32)) | u)
         node = back[e]
         out[node + shift] = piece[e]
         go = node > origin
@@ -227,6 +302,13 @@ def sample(texts: Texts, keys: np.ndarray, v: Vocabulary, alpha: float, seed: in
     return out[out >= 0].astype(np.uint32), np.concatenate(([0], np.cumsum(out >= 0)))[t.offsets]
 
 
+def lattices(tokenizer: str, alpha: float) -> Lattices:
+    kept = cache()
+    if ("lattices", tokenizer, alpha) not in kept:
+        kept["lattices", tokenizer, alpha] = Lattices(vocabulary(tokenizer), alpha)
+    return kept["lattices", tokenizer, alpha]
+
+
 def joined(ids: np.ndarray, upto: np.ndarray, v: Vocabulary) -> Texts:
     """The texts of some rows of ids: the pieces' bytes without the first space."""
     counts = v.begin[ids + 1] - v.begin[ids]
@@ -247,11 +329,11 @@ def encode(docs: DataFrame, tokenizer: str, alpha: float = ALPHA, seed: int = SE
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(tokenizer)
+        v, known = vocabulary(tokenizer), lattices(tokenizer, alpha)
         for batch in batches:
             for part, texts in slices(batch, size=SLICE):
                 keys = part.column(0).fill_null(0).to_numpy()
-                ids, upto = sample(texts, keys, v, alpha, seed)
+                ids, upto = sample(texts, keys, v, alpha, seed, known)
                 again = joined(ids, upto, v)
                 same = np.diff(again.offsets) == np.diff(texts.offsets)
                 if len(again.data) == len(texts.data):

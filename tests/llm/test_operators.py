@@ -3,12 +3,14 @@
 import hashlib
 import itertools
 import math
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from quarryline.llm import graph
@@ -485,6 +487,8 @@ def test_sampled_pieces(spark):
     assert all(r.lossless for r in rows)
     text = {d: t or "" for d, t, *_ in edge.rows()}
     assert all(r.text == text[r.doc_id] for r in op8.decode(out, PIECES).collect())
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert all(library.decode(np.frombuffer(r.ids, "<u4").tolist()) == text[r.doc_id] for r in rows)
     assert {(r.doc_id, r.ids_crc32) for r in rows} == {(r.doc_id, r.ids_crc32) for r in op8.encode(edge.table(spark).repartition(7), PIECES).collect()}
     assert op8.encode(edge.empty(spark), PIECES).count() == 0 and {r.n_pieces for r in op8.encode(edge.all_null(spark), PIECES).collect()} == {0}
     # Frequencies of the segmentations of one word, against all of them enumerated.
@@ -505,6 +509,22 @@ def test_sampled_pieces(spark):
     assert max(abs(seen[x] / n - q) for x, q in zip(every, p / p.sum(), strict=True)) < 0.015
 
 
+def test_kept_lattices_change_no_segmentation(monkeypatch):
+    v = op8.vocabulary(PIECES)
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghé中 \n", k=rng.randint(1, 9))) for _ in range(400)]
+    rows = [" ".join(rng.choices(words, k=rng.randint(0, 60))).encode() for _ in range(300)] + [b"x" * 70_000, b"", b"y" * 300]
+    alone = [op8.sample(Texts.of([row]), np.array([i]), v, 1.0, 3)[0].tolist() for i, row in enumerate(rows)]
+    for most in (op8.Lattices.MOST, 3000, 0):  # room for all, for some (so they go and come), for none
+        monkeypatch.setattr(op8.Lattices, "MOST", most)
+        known = op8.Lattices(v, 1.0)
+        for step in (7, 303):
+            for a in range(0, len(rows), step):
+                ids, upto = op8.sample(Texts.of(rows[a : a + step]), np.arange(a, min(a + step, len(rows))), v, 1.0, 3, known)
+                assert [ids[x:y].tolist() for x, y in zip(upto[:-1], upto[1:], strict=True)] == alone[a : a + step]
+        assert known.n <= most
+
+
 def rules_brute(text):
     text = text or ""
     words = text.encode().split()
