@@ -103,6 +103,12 @@ def padded(items: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(items, " "), F.lit(" "))
 
 
+def split_words(text: Column) -> Column:
+    """The words of a text of ``padded``; none of an empty one."""
+    trimmed = F.trim(text)
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, " "))
+
+
 def tokens(text: Column) -> Column:
     """Words and punctuation marks of a text, without a language model."""
     return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*|\p{P}"), F.lit(0))

@@ -19,16 +19,20 @@ from ..functions.patterns import FEATURE_WORDS
 
 @dataclass(frozen=True)
 class Feature:
-    """A slot of the feature vector; ``kind`` is count, ratio or word. ``sql`` gives its value in SQL over the dataset."""
+    """A slot of the feature vector; ``kind`` is count, ratio or word. ``sql`` gives its value in SQL over the dataset, or, if
+    ``located``, over text columns as the relational page table has them (there a word may stand anywhere in the url)."""
 
     name: str
     kind: str
+    located: bool = False
 
     @property
     def sql(self) -> str:
         if self.kind != "word":
             return self.name
         where, word = self.name.split("_word_")
+        if self.located:
+            return f"(locate(' {word} ', distinct_words_text) <> 0)" if where == "page" else f"(locate('{word}', lower(url)) <> 0)"
         return f"(array_contains({where}_words, '{word}'))"
 
     def condition(self, at_most: bool, threshold: float) -> str:
@@ -42,10 +46,10 @@ class Feature:
         return f"{self.sql} {'<=' if at_most else '>'} CAST({threshold!r} AS DOUBLE)"
 
 
-def features(words: tuple[str, ...] = FEATURE_WORDS) -> list[Feature]:
+def features(words: tuple[str, ...] = FEATURE_WORDS, located: bool = False) -> list[Feature]:
     counts = [f"text_vpm_r{i}" for i in range(1, 5)] + [f"url_vpm_r{i}" for i in range(1, 5)] + ["num_words", "num_distinct_words", "longest_sequence", "num_pages", "num_distinct_matched_patents", "num_distinct_han_names"]
     ratios = [f"share_top{i}" for i in range(1, 6)] + ["han_names_herfindahl_index"]
-    return [Feature(n, "count") for n in counts] + [Feature(n, "ratio") for n in ratios] + [Feature(f"{where}_word_{w}", "word") for where in ("page", "url") for w in words]
+    return [Feature(n, "count") for n in counts] + [Feature(n, "ratio") for n in ratios] + [Feature(f"{where}_word_{w}", "word", located) for where in ("page", "url") for w in words]
 
 
 def feature_table(spark: SparkSession, found: list[Feature]) -> DataFrame:

@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import urls
+
 
 def session(app: str, master: str | None = None, s3: dict[str, str] | None = None) -> SparkSession:
     """A session; ``s3`` has access_key, secret_key and, if wanted, endpoint."""
@@ -42,6 +44,11 @@ def table_from_database(spark: SparkSession, url: str, table: str, fetch: int =
     return spark.read.format("jdbc").options(url=url, dbtable=table, fetchsize=str(fetch), **options).load()
 
 
+def to_database(rows: DataFrame, url: str, table: str, create: bool = False, **options: str) -> None:
+    """Rows added to a database table; with ``create`` a new table takes the place of an old one."""
+    rows.write.format("jdbc").options(url=url, dbtable=table, **options).mode("overwrite" if create else "append").save()
+
+
 def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame], again: bool = False) -> DataFrame:
     """What is stored at a path, made and written first if there is nothing or ``again`` is set."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -69,6 +76,32 @@ def write_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").text(path)
 
 
+def write_pages(rows: DataFrame, path: str) -> DataFrame:
+    """Writes the content of each row (url, content) to a file named after its url, on a mounted store. Returns (url, name, error): what
+    can't be written, as its name is too long, say, has an error and stops nothing. A file is whole or not there, also if a task runs
+    twice; of rows with one url any may be the one that stays."""
+
+    def run(batches):
+        os.makedirs(path, exist_ok=True)
+        for pdf in batches:
+            errors = []
+            for name, content in zip(pdf["name"], pdf["content"], strict=True):
+                part = f"{path}/.{uuid.uuid4().hex}"
+                try:
+                    with open(part, "wb") as out:
+                        out.write(content or b"")
+                    os.replace(part, f"{path}/{name}")
+                    errors.append(None)
+                except (OSError, ValueError) as e:
+                    if os.path.exists(part):
+                        os.remove(part)
+                    errors.append(str(e))
+            yield pdf[["url", "name"]].assign(error=errors)
+
+    named = rows.select("url", urls.filename(F.col("url"), F.coalesce(is_pdf(), F.lit(False))).alias("name"), "content").where("name IS NOT NULL")
+    return stored(named.mapInPandas(run, "url string, name string, error string"), "written")
+
+
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of each file under a folder."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
