@@ -8,11 +8,13 @@ segmentation wherever and whenever it is encoded.
 
 No piece reaches over the start of a run of spaces or over a line end, so the lattice falls apart into words there: each distinct word
 of a slice is filtered once (or was before: a worker keeps the lattices of words that come again), and all of its occurrences are
-sampled from that, in steps for all words at the same time. Probabilities are multiples of 2**-32.
+sampled from that, in steps for all words at the same time; very long ones are taken alone. Probabilities are multiples of 2**-32.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,6 +34,8 @@ SPACE = 32
 SLICE = 3 << 16
 #: Size of the lookup tables, as a power of two.
 BITS = 21
+#: Units of more bytes are filtered and sampled each on its own, node by node, in blocks of so many nodes.
+LONG, BLOCK = 1 << 10, 1 << 15
 
 
 @dataclass
@@ -166,8 +170,9 @@ def filtered(t: Texts, v: Vocabulary, alpha: float) -> tuple[np.ndarray, np.ndar
     start, and piece. Every edge has one random number at least. Weights are summed as whole numbers, so an edge's numbers don't hang on
     what else is in the slice."""
     starts, ends, pieces = edges(t, v)
-    base = np.repeat(t.offsets[:-1], np.diff(t.offsets))
-    depth = ends - base[ends - 1]
+    size = np.diff(t.offsets)
+    base = np.repeat(t.offsets[:-1], size)
+    depth = np.where(np.repeat(size > LONG, size)[ends - 1], 0, ends - base[ends - 1])
     order = np.argsort((depth << 38) | (ends << 6) | (ends - starts))
     s, e, p = starts[order], ends[order], pieces[order]
     layer = np.searchsorted(depth[order], np.arange(1, (depth.max() if len(depth) else 0) + 2))
@@ -175,6 +180,9 @@ def filtered(t: Texts, v: Vocabulary, alpha: float) -> tuple[np.ndarray, np.ndar
     score = np.full(len(t.data) + 1, 0.0)
     last = np.empty(len(s), np.uint32)
     w = alpha * v.log_p[p]
+    if layer[0]:
+        far = slice(0, layer[0])
+        last[far] = along(e[far], s[far], w[far], first[far], v.longest)
     for a, b in zip(layer[:-1].tolist(), layer[1:].tolist(), strict=True):
         if a == b:
             continue
@@ -197,6 +205,28 @@ def filtered(t: Texts, v: Vocabulary, alpha: float) -> tuple[np.ndarray, np.ndar
     return e[by_end], last[by_end], s[by_end], p[by_end]
 
 
+def along(e: np.ndarray, s: np.ndarray, w: np.ndarray, first: np.ndarray, longest: int) -> np.ndarray:
+    """``last`` of ``filtered`` for edges in the order of their ends, node by node: few edges end at a node, so steps over arrays don't pay.
+    Only the scores that an edge may still start from are held."""
+    last = np.empty(len(e), np.uint32)
+    ring = [0.0] * (longest + 1)
+    bounds = np.append(np.flatnonzero(np.diff(e, prepend=-1)), len(e))
+    for h in range(0, len(bounds) - 1, BLOCK):
+        cut = bounds[h : h + BLOCK + 1]
+        span = slice(cut[0], cut[-1])
+        weight, begin, top_edge, node = w[span].tolist(), (s[span] % len(ring)).tolist(), first[span].tolist(), (e[cut[:-1]] % len(ring)).tolist()
+        found = []
+        for at, (a, b) in zip(node, itertools.pairwise((cut - cut[0]).tolist()), strict=True):
+            value = [weight[i] if top_edge[i] else weight[i] + ring[begin[i]] for i in range(a, b)]
+            top = max(value)
+            run = list(itertools.accumulate(int(math.exp(x - top) * 2.0**52) for x in value))
+            total, room = run[-1], 2.0**32 - len(value)
+            found += [int(x / total * room) + i for i, x in enumerate(run)]
+            ring[at] = top + math.log(total * 2.0**-52)
+        last[span] = found
+    return last
+
+
 class Lattices:
     """Filtered lattices of units, kept by the units' hashes for the worker's life, up to a number of edges. When there is no more room,
     those go that weren't asked for again since the last time. What is kept changes no result."""
@@ -273,6 +303,11 @@ class Lattices:
         return (end.astype(U) << U(32)) | last, start, piece
 
 
+def drawn(salt: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Random numbers below 2**32 of places in texts."""
+    return mix(salt ^ (place.astype(U) * U(0x9E3779B97F4A7C15))) >> U(32)
+
+
 def sample(texts: Texts, keys: np.ndarray, v: Vocabulary, alpha: float, seed: int, known: Lattices | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Flat piece ids, and the number of pieces before each row."""
     t = prefixed(texts)
@@ -292,9 +327,22 @@ def sample(texts: Texts, keys: np.ndarray, v: Vocabulary, alpha: float, seed: in
     shift = starts - origin  # from the unit's node to the place in the slice
     inside = starts - t.offsets[row] - origin  # and to the place in the text
     out = np.full(len(t.data), -1, np.int64)
+    far = node - origin > LONG
+    for i in np.flatnonzero(far).tolist():  # edges are drawn for all nodes of a block, then followed
+        here, low = int(node[i]), int(origin[i])
+        while here > low:
+            a = max(low, here - BLOCK)
+            nodes = np.arange(a + 1, here + 1)
+            e = np.searchsorted(upto, (nodes.astype(U) << U(32)) | drawn(salt[i], nodes + inside[i]))
+            before, way = back[e].tolist(), []
+            while here > a:
+                way.append(here - a - 1)
+                here = before[way[-1]]
+            out[back[e[way]] + shift[i]] = piece[e[way]]
+    near = ~far
+    node, origin, shift, inside, salt = node[near], origin[near], shift[near], inside[near], salt[near]
     while len(node):
-        u = mix(salt ^ ((node + inside).astype(U) * U(0x9E3779B97F4A7C15))) >> U(32)
-        e = np.searchsorted(upto, (node.astype(U) << U(32)) | u)
+        e = np.searchsorted(upto, (node.astype(U) << U(32)) | drawn(salt, node + inside))
         node = back[e]
         out[node + shift] = piece[e]
         go = node > origin

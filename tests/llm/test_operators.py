@@ -525,6 +525,22 @@ def test_kept_lattices_change_no_segmentation(monkeypatch):
         assert known.n <= most
 
 
+@pytest.mark.parametrize(("long", "block"), [(8, 7), (8, 1 << 15), (1 << 10, 64)])
+def test_long_units_are_sampled_alike(monkeypatch, long, block):
+    v = op8.vocabulary(PIECES)
+    rng = random.Random(6)
+    rows = ["".join(rng.choices("abcdefghé中 \n", [6] * 10 + [1, 0.1], k=rng.randint(0, 90))).encode() for _ in range(200)]
+    rows += [b"a" * 2000, "".join(rng.choices("etaoinshré中", k=2500)).encode(), b"a" * 2000, b" " * 1500]
+    texts, keys = Texts.of(rows), np.arange(len(rows))
+    monkeypatch.setattr(op8, "LONG", 1 << 30)
+    want = op8.sample(texts, keys, v, 1.0, 3)
+    monkeypatch.setattr(op8, "LONG", long)
+    monkeypatch.setattr(op8, "BLOCK", block)
+    got = op8.sample(texts, keys, v, 1.0, 3)
+    assert all((a == b).all() for a, b in zip(want, got, strict=True))
+    assert op8.joined(*got, v).data.tobytes() == texts.data.tobytes()
+
+
 def rules_brute(text):
     text = text or ""
     words = text.encode().split()
