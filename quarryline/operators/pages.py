@@ -60,8 +60,11 @@ def _uncaptured(regex: str) -> str:
 
 
 def match_map(column: Column, regexes: tuple[str, ...], context: int) -> Column:
-    """Map from each regex to its matches with context; regexes without a match have an empty list."""
-    return F.map_from_arrays(F.array(*(F.lit(r) for r in regexes)), F.array(*(T.matches(column, _uncaptured(r), context) for r in regexes)))
+    """Map from each regex to its matches with context; regexes without a match have an empty list, which one pass over the text tells."""
+    found = [T.matches(column, _uncaptured(r), context) for r in regexes]
+    none = F.array().cast("array<struct<text:string,context:string>>")
+    lists = (F.when(F.regexp_like(column, F.lit(r)), m).otherwise(none) for r, m in zip(regexes, found, strict=True))
+    return F.map_from_arrays(F.array(*(F.lit(r) for r in regexes)), F.array(*lists))
 
 
 def with_domain(pages: DataFrame, domain: Column | None = None) -> DataFrame:
