@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_fingerprint, op2_ngram_jaccard, op3_substring_dedup, op4_packing, op5_language_id, op6_token_counts, op7_url_filter, op8_sampled_pieces, op9_quality_rules, op10_quality_classifier, op12_exact_dedup
+from . import op1_fingerprint, op2_ngram_jaccard, op3_substring_dedup, op4_packing, op5_language_id, op6_token_counts, op7_url_filter, op8_sampled_pieces, op9_quality_rules, op10_quality_classifier, op11_source_divergence, op12_exact_dedup, op13_schema_rewrite
 
-MODULES = (op1_fingerprint, op2_ngram_jaccard, op3_substring_dedup, op4_packing, op5_language_id, op6_token_counts, op7_url_filter, op8_sampled_pieces, op9_quality_rules, op10_quality_classifier, op12_exact_dedup)
+MODULES = (op1_fingerprint, op2_ngram_jaccard, op3_substring_dedup, op4_packing, op5_language_id, op6_token_counts, op7_url_filter, op8_sampled_pieces, op9_quality_rules, op10_quality_classifier, op11_source_divergence, op12_exact_dedup, op13_schema_rewrite)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
