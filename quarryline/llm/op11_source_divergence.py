@@ -176,7 +176,7 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, terms: int = TERMS
     columns = scratch.store(columns.groupBy("lang", "i", "j", "left", "right").agg(F.count("*").alias("times")), "columns")
     blocks = columns.groupBy("lang", "i", "j").agg(F.ceil(F.count("*") / block).alias("blocks"))
     blocks = columns.join(blocks, ["lang", "i", "j"]).withColumn("block", F.pmod(F.xxhash64("left", "right"), F.col("blocks")))
-    blocks = blocks.groupBy("lang", "i", "j", "block").agg(F.collect_list(F.struct("left", "right", "times")).alias("columns")).drop("block")
+    blocks = blocks.repartition("lang", "i", "j", "block").groupBy("lang", "i", "j", "block").agg(F.collect_list(F.struct("left", "right", "times")).alias("columns")).drop("block")
     tiled = F.transform(F.array_sort(F.collect_list(F.struct("spot", "source", "size"))), lambda x: x.dropFields("spot"))
     tiled = groups.groupBy("lang", "tile").agg(tiled.alias("t"), F.max("kinds").alias("kinds"), F.max("tiles").alias("tiles")).select("lang", "tile", F.col("t.source").alias("names"), F.col("t.size").alias("sizes"), "kinds", "tiles")
     tiled = scratch.store(tiled, "tiled")
