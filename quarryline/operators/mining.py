@@ -10,10 +10,8 @@ A page is handled as a whole in one Arrow batch function; finding candidate root
 
 from __future__ import annotations
 
-import contextlib
 import itertools
 import re
-import sys
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -29,6 +27,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSED_BY = {"p": frozenset("p div ul ol table h1 h2 h3 h4 h5 h6 section article form".split()), "li": frozenset({"li"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "option": frozenset({"option"})}
 #: Distance at which clusters of children are cut apart.
 THRESHOLD = 0.9
+#: Pairs of records that are compared at once.
+PAIRS = 1 << 18
 
 
 @dataclass(eq=False)
@@ -121,24 +121,6 @@ def by_path(top: Node, path: str) -> Node | None:
     return numbered(top).get(path)
 
 
-def depth(top: Node) -> int:
-    most, level = 0, [top]
-    while level:
-        most, level = most + 1, [k for n in level for k in n.kids]
-    return most
-
-
-@contextlib.contextmanager
-def deep(top: Node) -> Iterator[None]:
-    """Room for trees as deep as this one: matching and alignment go down level by level."""
-    before = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(before, 1000 + 10 * depth(top)))
-    try:
-        yield
-    finally:
-        sys.setrecursionlimit(before)
-
-
 def simplified(path: str) -> str:
     return re.sub(r"\[\d+\]", "", path)
 
@@ -175,63 +157,125 @@ def candidate_roots(top: Node, of: Callable[[str], bool] = lambda text: True) ->
     return [node for node in found if node is not None and len(node.kids) >= 2]
 
 
-def best_chain(n: int, m: int, score: Callable[[int, int], float]) -> tuple[float, list[tuple[int, int]]]:
+def best_chain(scores: list[list[float]]) -> tuple[float, list[tuple[int, int]]]:
     """Largest sum of scores over pairs (i, j) that ascend in both, and the pairs; a pair is taken only if it adds something."""
-    best = np.zeros((n + 1, m + 1))
-    pair = np.zeros((n, m))
-    for i in range(n):
-        for j in range(m):
-            pair[i, j] = score(i, j)
-            best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j], best[i, j] + pair[i, j])
+    n, m = len(scores), len(scores[0]) if scores else 0
+    best = [[0.0] * (m + 1)]
+    for row in scores:
+        above, here = best[-1], [0.0]
+        for j, score in enumerate(row):
+            here.append(max(above[j + 1], here[j], above[j] + score))
+        best.append(here)
     i, j, chain = n, m, []
     while i and j:
-        if pair[i - 1, j - 1] and best[i, j] == best[i - 1, j - 1] + pair[i - 1, j - 1] and best[i, j] > max(best[i - 1, j], best[i, j - 1]):
+        if scores[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + scores[i - 1][j - 1] and best[i][j] > max(best[i - 1][j], best[i][j - 1]):
             i, j = i - 1, j - 1
             chain.append((i, j))
-        elif best[i, j - 1] > best[i - 1, j]:
+        elif best[i][j - 1] > best[i - 1][j]:
             j -= 1
         else:
             i -= 1
-    return float(best[n, m]), chain[::-1]
+    return float(best[n][m]), chain[::-1]
+
+
+def best_totals(one: tuple[int, ...], others: np.ndarray, score: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The best chain's total of a list with each of many others of one length (a row each). ``score`` gives that of one item with each
+    of some others."""
+    above = [np.zeros(len(others))] * (others.shape[1] + 1)
+    for item in one:
+        here = [above[0]]
+        for j in range(others.shape[1]):
+            here.append(np.maximum(np.maximum(above[j + 1], here[j]), above[j] + score(item, others[:, j])))
+        above = here
+    return above[-1]
+
+
+class Shapes:
+    """The distinct shapes (tags, without texts and marks) of some nodes and of all that is below them, each known by a number; a
+    shape's children have smaller ones than itself. ``of`` gives the number of each node."""
+
+    def __init__(self, nodes: list[Node]):
+        known: dict[tuple, int] = {}
+        below: dict[int, int] = {}  # by identity
+        for top in nodes:
+            for node in reversed(list(top.walk())):  # children come before their parents
+                below[id(node)] = known.setdefault((node.tag, *(below[id(k)] for k in node.kids)), len(known))
+        self.kids = [key[1:] for key in known]
+        tags: dict[str, int] = {}
+        self.tag = np.array([tags.setdefault(key[0], len(tags)) for key in known], np.int64)
+        self.of = [below[id(n)] for n in nodes]
+
+    def matches(self, simple: bool = False) -> Callable[[int, int], float]:
+        """Matches of any two shapes, from a table over pairs of one tag that is filled from the leaves up, each pair once.
+
+        Clustered: a level counts by its width, a leaf 1 / width, an inner node what its children add up to / width. Simple: the number
+        of nodes in the largest common top-down tree that keeps order."""
+        place = np.zeros(len(self.kids), np.int64)
+        groups: dict[tuple[int, int], list[int]] = {}  # shapes of a tag with as many children, ascending
+        for s, kids in enumerate(self.kids):
+            groups.setdefault((int(self.tag[s]), len(kids)), []).append(s)
+        sizes = np.bincount(self.tag) if len(self.tag) else self.tag
+        table = [np.zeros((n, n)) for n in sizes]
+        at = [0] * len(sizes)
+        for s in range(len(place)):
+            place[s] = at[self.tag[s]]
+            at[self.tag[s]] += 1
+        by_tag: dict[int, list] = {}
+        for (tag, m), members in groups.items():
+            by_tag.setdefault(tag, []).append((m, np.array(members), np.array([self.kids[s] for s in members], np.int64).reshape(len(members), m)))
+
+        def score(one: int, others: np.ndarray) -> np.ndarray:
+            same = self.tag[others] == self.tag[one]
+            return np.where(same, table[self.tag[one]][place[one], np.where(same, place[others], 0)], 0.0)
+
+        for s, kids in enumerate(self.kids):
+            own = table[self.tag[s]]
+            for m, members, rows in by_tag[int(self.tag[s])]:
+                n = int(np.searchsorted(members, s, "right"))
+                if not n:
+                    continue
+                wide = max(len(kids), m)
+                if simple:
+                    values = 1 + np.floor(best_totals(kids, rows[:n], score))
+                else:
+                    values = best_totals(kids, rows[:n], lambda one, others, w=wide: score(one, others) / w) if wide else np.ones(n)
+                own[place[s], place[members[:n]]] = own[place[members[:n]], place[s]] = values
+        return lambda a, b: float(table[self.tag[a]][place[a], place[b]]) if self.tag[a] == self.tag[b] else 0.0
 
 
 def simple_match(a: Node, b: Node) -> int:
     """Number of nodes in the largest common top-down tree that keeps order."""
-    return 0 if a.tag != b.tag else 1 + int(best_chain(len(a.kids), len(b.kids), lambda i, j: simple_match(a.kids[i], b.kids[j]))[0])
+    found = Shapes([a, b])
+    return int(found.matches(simple=True)(*found.of))
 
 
 def normalized_match(a: Node, b: Node) -> float:
     return simple_match(a, b) / (2.0 * (a.size() + b.size()))
 
 
-def clustered_match(a: Node, b: Node, wide: int = 1) -> float:
-    """Match of two trees where a level counts by its width: a leaf 1 / width, an inner node what its children add up to / width."""
-    if a.tag != b.tag:
-        return 0.0
-    n, m = len(a.kids), len(b.kids)
-    total = best_chain(n, m, lambda i, j: clustered_match(a.kids[i], b.kids[j], max(n, m)))[0]
-    return (total if n or m else 1.0) / wide
+def clustered_match(a: Node, b: Node) -> float:
+    """Match of two trees where a level counts by its width."""
+    found = Shapes([a, b])
+    return found.matches()(*found.of)
 
 
-def shapes(nodes: list[Node]) -> list[int]:
-    """The shape of each node (its tags, without texts and marks), numbered by first occurrence among the nodes."""
-    known: dict[tuple, int] = {}
-    own: dict[int, int] = {}  # shape of each element below, by identity
-    for top in nodes:
-        for node in reversed(list(top.walk())):  # children come before their parents
-            own[id(node)] = known.setdefault((node.tag, *(own[id(k)] for k in node.kids)), len(known))
+def similarities(nodes: list[Node]) -> tuple[np.ndarray, list[int]]:
+    """Matches between the distinct shapes of the nodes, numbered by first occurrence, and the shape of each node: equal shapes match
+    everything equally."""
+    found = Shapes(nodes)
     number: dict[int, int] = {}
-    return [number.setdefault(own[id(n)], len(number)) for n in nodes]
+    kinds = [number.setdefault(s, len(number)) for s in found.of]
+    match = found.matches()
+    return np.array([[match(a, b) for b in number] for a in number]).reshape(len(number), len(number)), kinds
 
 
-def similarities(nodes: list[Node]) -> tuple[np.ndarray, list[int]]:
-    """Matches between the distinct shapes of the nodes, and the shape of each node: equal shapes match everything equally."""
-    kinds = shapes(nodes)
-    first = [kinds.index(k) for k in range(max(kinds, default=-1) + 1)]
-    out = np.zeros((len(first), len(first)))
-    for i, j in itertools.combinations_with_replacement(range(len(first)), 2):
-        out[i, j] = out[j, i] = clustered_match(nodes[first[i]], nodes[first[j]])
-    return out, kinds
+def distances(sims: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Between rows of matches as points, where a column counts as often as its shape occurs."""
+    points = sims * np.sqrt(often)
+    if len(points) <= 512:
+        return np.stack([np.sqrt(((points - p) ** 2).sum(axis=1)) for p in points]) if len(points) else points
+    squares = (points**2).sum(axis=1)
+    return np.sqrt(np.maximum(0, (squares[:, None] + squares[None, :] - 2 * (points @ points.T)).round(9)))
 
 
 def clusters(sims: np.ndarray, kinds: list[int], threshold: float = THRESHOLD) -> list[int]:
@@ -239,27 +283,60 @@ def clusters(sims: np.ndarray, kinds: list[int], threshold: float = THRESHOLD) -
 
     Nodes of one shape are one point and are joined at distance 0, before all others, so linkage starts from the shapes.
     """
-    groups = [[i] for i in range(len(sims))]
-    often = np.bincount(kinds, minlength=len(sims))
-    far = np.stack([np.sqrt(((sims - row) ** 2 * often).sum(axis=1)) for row in sims]) if len(sims) else sims.copy()
+    n = len(sims)
+    groups = [[i] for i in range(n)]
+    far = distances(sims, np.bincount(kinds, minlength=n))
     np.fill_diagonal(far, np.inf)
-    alive = set(range(len(sims)))
-    while len(alive) > 1:
-        x, y = divmod(int(far.argmin()), len(far))
-        if far[x, y] > threshold:
+    alive = np.ones(n, bool)
+    # Each row's nearest other; distances only grow, so it is looked for again only where it was one of the two that join.
+    near = far.argmin(axis=1) if n else np.zeros(0, np.int64)
+    least = far[np.arange(n), near] if n else np.zeros(0)
+    for _ in range(n - 1):
+        x = int(least.argmin())
+        y = int(near[x])
+        if not least[x] <= threshold:
             break
         groups[x] += groups[y]
         far[x] = far[:, x] = np.maximum(far[x], far[y])
         far[x, x] = far[y] = far[:, y] = np.inf
-        alive.remove(y)
-    of = {i: g for g in alive for i in groups[g]}
+        alive[y], least[y] = False, np.inf
+        again = np.flatnonzero(alive & ((near == y) | ((near == x) & (far[:, x] > least))))
+        again = np.union1d(again, [x])
+        near[again] = far[again].argmin(axis=1)
+        least[again] = far[again, near[again]]
+    of = {i: g for g in np.flatnonzero(alive).tolist() for i in groups[g]}
     number: dict[int, int] = {}
     return [number.setdefault(of[k], len(number)) for k in kinds]
 
 
 def record_similarity(a: tuple[int, ...], b: tuple[int, ...], sims: np.ndarray) -> float:
     """Of two records, given as the shapes of their children."""
-    return best_chain(len(a), len(b), lambda i, j: sims[a[i], b[j]])[0] / (max(len(a), len(b)) + 1)
+    return best_chain([[sims[i, j] for j in b] for i in a])[0] / (max(len(a), len(b)) + 1)
+
+
+def mean_similarity(records: list[tuple[int, ...]], sims: np.ndarray) -> float:
+    """Similarities of all pairs of records, summed, by the number of pairs and one. Equal records are compared once, and records of two
+    lengths with each other at once."""
+    often = Counter(records)
+    by_size: dict[int, list[tuple[int, ...]]] = {}
+    for r in often:
+        by_size.setdefault(len(r), []).append(r)
+    lists = [(size, np.array(rows, np.int64).reshape(len(rows), size), np.array([often[r] for r in rows], float)) for size, rows in sorted(by_size.items())]
+    total = -sum(n * record_similarity(r, r, sims) for r, n in often.items())  # a record isn't paired with itself
+    for k, (size, rows, times) in enumerate(lists):
+        for size2, rows2, times2 in lists[k:]:
+            step = max(1, PAIRS // len(rows2))
+            for at in range(0, len(rows), step):
+                part = rows[at : at + step]
+                above = [np.zeros((len(part), len(rows2)))] * (size2 + 1)
+                for i in range(size):
+                    here = [above[0]]
+                    for j in range(size2):
+                        here.append(np.maximum(np.maximum(above[j + 1], here[j]), above[j] + sims[part[:, i][:, None], rows2[:, j]]))
+                    above = here
+                value = float(times[at : at + step] @ above[-1] @ times2) / (max(size, size2) + 1)
+                total += value if size == size2 else 2 * value
+    return total / 2 / (len(records) * (len(records) - 1) // 2 + 1)
 
 
 def best_division(sims: np.ndarray, kinds: list[int], labels: list[int]) -> list[list[int]]:
@@ -270,11 +347,7 @@ def best_division(sims: np.ndarray, kinds: list[int], labels: list[int]) -> list
     for c in sorted(set(labels)):
         records = [r for r in split_before(list(range(len(labels))), lambda i, c=c: labels[i] == c) if len(r) < len(labels)]
         if records:
-            # Pairs of equal records count as often as they occur, and are compared once.
-            often = Counter(tuple(kinds[i] for i in r) for r in records)
-            values = [(record_similarity(a, b, sims), often[a] * often[b]) for a, b in itertools.combinations(often, 2)]
-            values += [(record_similarity(a, a, sims), n * (n - 1) // 2) for a, n in often.items() if n > 1]
-            score = sum(v * n for v, n in values) / (len(records) * (len(records) - 1) // 2 + 1)
+            score = round(mean_similarity([tuple(kinds[i] for i in r) for r in records], sims), 12)
             if score > best:
                 best, chosen = score, records
     return chosen
@@ -282,7 +355,9 @@ def best_division(sims: np.ndarray, kinds: list[int], labels: list[int]) -> list
 
 def division_by_seed(root: Node, seed: list[Node]) -> list[list[int]]:
     """Records cut where a child is most like the first element of a known record."""
-    near = [max(range(len(seed)), key=lambda j, k=kid: (clustered_match(k, seed[j]), -j)) for kid in root.kids]
+    found = Shapes([*root.kids, *seed])
+    match, n = found.matches(), len(root.kids)
+    near = [max(range(len(seed)), key=lambda j, k=k: (match(k, found.of[n + j]), -j)) for k in found.of[:n]]
     if len(set(near)) == len(near):
         return []
     return [r for r in split_before(list(range(len(near))), lambda i: near[i] == 0) if len(r) < len(near)]
@@ -299,7 +374,13 @@ class Column:
 
     @staticmethod
     def of(node: Node, record: int) -> Column:
-        return Column(node.tag, node.marks, {record: node}, [Column.of(k, record) for k in node.kids])
+        top = Column(node.tag, node.marks, {record: node})
+        stack = [(top, node)]
+        while stack:
+            column, n = stack.pop()
+            column.kids = [Column(k.tag, k.marks, {record: k}) for k in n.kids]
+            stack.extend(zip(column.kids, n.kids, strict=True))
+        return top
 
     def walk(self) -> Iterator[Column]:
         stack = [self]
@@ -309,12 +390,30 @@ class Column:
             stack.extend(reversed(column.kids))
 
 
-def fit(c: Column, n: Node) -> int:
-    """How well a node fits a column: common nodes, and one more for each equal class and item property."""
-    if c.tag != n.tag:
-        return 0
-    inner = best_chain(len(c.kids), len(n.kids), lambda i, j: fit(c.kids[i], n.kids[j]))[0]
-    return 1 + int(inner) + sum(1 for k in ("class", "itemprop") if c.marks.get(k) and c.marks.get(k) == n.marks.get(k))
+class Fits:
+    """How well nodes fit columns: common nodes, and one more for each equal class and item property. Each pair is worked out once, from
+    below; it holds as long as no columns were added below the pair."""
+
+    def __init__(self):
+        self.known: dict[tuple[int, int], int] = {}
+
+    def fill(self, columns: list[Column], nodes: list[Node]) -> None:
+        stack = [(c, n, False) for c in columns for n in nodes]
+        while stack:
+            c, n, ready = stack.pop()
+            if (id(c), id(n)) in self.known:
+                continue
+            if c.tag != n.tag:
+                self.known[id(c), id(n)] = 0
+            elif ready:
+                inner = best_chain(self.scores(c.kids, n.kids))[0]
+                self.known[id(c), id(n)] = 1 + int(inner) + sum(1 for k in ("class", "itemprop") if c.marks.get(k) and c.marks.get(k) == n.marks.get(k))
+            else:
+                stack.append((c, n, True))
+                stack.extend((x, y, False) for x in c.kids for y in n.kids)
+
+    def scores(self, columns: list[Column], nodes: list[Node]) -> list[list[int]]:
+        return [[self.known[id(c), id(n)] for n in nodes] for c in columns]
 
 
 def place(columns: list[Column], nodes: list[Node], record: int, grow: bool) -> tuple[bool, bool]:
@@ -323,28 +422,30 @@ def place(columns: list[Column], nodes: list[Node], record: int, grow: bool) ->
     Nodes that fit nothing get columns of their own if their place is certain: before all, after all, or between two neighbours.
     ``grow`` is false below the level down to which columns may be added.
     """
-    chain = dict((j, i) for i, j in best_chain(len(columns), len(nodes), lambda i, j: fit(columns[i], nodes[j]))[1])
-    own = {j: columns[i] for j, i in chain.items()}
-    grown = missed = False
-    for j, column in own.items():
-        column.cells[record] = nodes[j]
-    for run in runs_of(list(range(len(nodes))), lambda j: j not in own):
-        missed = True
-        before, after = own.get(run[0] - 1), own.get(run[-1] + 1)
-        first, last = run[0] == 0, run[-1] == len(nodes) - 1
-        at = None
-        if first and after is not None:
-            at = 0
-        elif last and before is not None:
-            at = columns.index(before) + 1
-        elif before is not None and after is not None and columns.index(after) - columns.index(before) == 1:
-            at = columns.index(after)
-        if at is not None and grow:
-            columns[at:at] = [Column.of(nodes[j], record) for j in run]
-            grown = True
-    for j, column in own.items():
-        more = place(column.kids, nodes[j].kids, record, grow)
-        grown, missed = grown or more[0], missed or more[1]
+    fits = Fits()
+    fits.fill(columns, nodes)
+    stack, grown, missed = [(columns, nodes)], False, False
+    while stack:
+        # Columns are added on the way down, so what is below this level is as it was when the table was filled.
+        columns, nodes = stack.pop()
+        own = {j: columns[i] for i, j in best_chain(fits.scores(columns, nodes))[1]}
+        for j, column in own.items():
+            column.cells[record] = nodes[j]
+        for run in runs_of(list(range(len(nodes))), lambda j, own=own: j not in own):
+            missed = True
+            before, after = own.get(run[0] - 1), own.get(run[-1] + 1)
+            first, last = run[0] == 0, run[-1] == len(nodes) - 1
+            at = None
+            if first and after is not None:
+                at = 0
+            elif last and before is not None:
+                at = columns.index(before) + 1
+            elif before is not None and after is not None and columns.index(after) - columns.index(before) == 1:
+                at = columns.index(after)
+            if at is not None and grow:
+                columns[at:at] = [Column.of(nodes[j], record) for j in run]
+                grown = True
+        stack.extend((column.kids, nodes[j].kids) for j, column in own.items())
     return grown, missed
 
 
@@ -371,7 +472,9 @@ def texts(template: list[Column], n: int) -> list[dict[str, str]]:
     """For each record the texts of its cells by the path of the column (numbered among columns of the same tag)."""
     out: list[dict[str, str]] = [{} for _ in range(n)]
 
-    def visit(columns: list[Column], prefix: str) -> None:
+    stack = [(template, "")]
+    while stack:
+        columns, prefix = stack.pop()
         total, seen = Counter(c.tag for c in columns), Counter()
         for c in columns:
             seen[c.tag] += 1
@@ -380,9 +483,7 @@ def texts(template: list[Column], n: int) -> list[dict[str, str]]:
                 for r, node in c.cells.items():
                     if node.text:
                         out[r][path] = node.text
-            visit(c.kids, path)
-
-    visit(template, "")
+            stack.append((c.kids, path))
     return out
 
 
@@ -486,7 +587,7 @@ SCHEMA = "page_id long, root string, rank int, n_records int, n_hits int, record
 
 def mine_pages(pages: DataFrame, wanted: str | None = None, roots: int = 3) -> DataFrame:
     """One row for each of the best roots of each page (page_id, html): its records, how many have a text that fits ``wanted``, or what
-    went wrong. Roots of any width are mined; matching is quadratic in the distinct shapes of their children."""
+    went wrong. Roots of any width and depth are mined; matching is quadratic in the distinct shapes of their children."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hit = re.compile(wanted) if wanted else None
@@ -501,8 +602,7 @@ def mine_pages(pages: DataFrame, wanted: str | None = None, roots: int = 3) -> D
                     continue
                 for rank, root in enumerate(found):
                     try:
-                        with deep(top):
-                            records = mine(root)
+                        records = mine(root)
                         n = sum(1 for r in records if hit is None or any(hit.search(t) for t in r.values()))
                         rows.append((page, root.path(), rank, len(records), n, records, None))
                     except Exception as e:
