@@ -37,6 +37,8 @@ FREQUENT, SHARED = 1 << 18, 3
 #: Bits of the filter of n-grams that occur in several documents. Beyond about FILTER_BITS / 4 of those it lets most n-grams through,
 #: which costs time and a larger exchange; results don't change.
 FILTER_BITS = 1 << 27
+#: Sets that have an n-gram beyond which its entries are dealt out over several tasks.
+SALTED = 1 << 16
 #: N-grams that a task gathers before it deals out their counts.
 GATHER = 1 << 21
 #: Most candidates that are broadcast to select their texts; beyond it they are joined.
@@ -88,11 +90,14 @@ def filter_places(cell: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Order:
-    """The global order of n-grams: ``listed`` (sorted cells) are the frequent ones, ``rank`` their places; ``masks`` is the filter of
-    cells that occur in several documents, a row of bytes for each part."""
+    """The global order of n-grams: ``listed`` (sorted cells) are the frequent ones, ``rank`` their places and ``counts`` their sets;
+    ``masks`` is the filter of cells that occur in several documents, a row of bytes for each part.
 
-    def __init__(self, parts: int, listed: np.ndarray, rank: np.ndarray, masks: np.ndarray):
-        self.parts, self.listed, self.rank, self.masks = parts, listed, rank, masks
+    Tasks get the four arrays by broadcast, and make the order of them: what is broadcast is found by name, and the package need not be
+    where tasks run."""
+
+    def __init__(self, listed: np.ndarray, rank: np.ndarray, counts: np.ndarray, masks: np.ndarray):
+        self.parts, self.listed, self.rank, self.counts, self.masks = len(masks), listed, rank, counts, masks
 
     def repeated(self, values: np.ndarray) -> np.ndarray:
         """False for n-grams that only one document has."""
@@ -100,6 +105,15 @@ class Order:
         one, two = filter_places(cell, self.masks.shape[1] * 8)
         return ((self.masks[part, one >> 3] >> (one & 7)) & (self.masks[part, two >> 3] >> (two & 7)) & 1).astype(bool)
 
+    def sets_with(self, values: np.ndarray) -> np.ndarray:
+        """How many sets have each n-gram, 0 for those that aren't listed."""
+        if not len(self.listed):
+            return np.zeros(len(values), np.int64)
+        part, cell = cells(values, self.parts)
+        name = part.astype(U) << U(32) | cell
+        at = np.minimum(np.searchsorted(self.listed, name), len(self.listed) - 1)
+        return np.where(self.listed[at] == name, self.counts[at], 0)
+
     def sort(self, values: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The n-grams of each row (sorted by hash) in the global order, and how many of each row aren't frequent."""
         if not len(self.listed) or not len(values):
@@ -157,8 +171,8 @@ def described(docs: DataFrame, parts: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, key long, n long, part int, counted binary")
 
 
-def global_order(counted: DataFrame, parts: int) -> Order:
-    """From rows (part, counted). To the driver: FILTER_BITS bits, and FREQUENT cells with their counts at most."""
+def global_order(counted: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What ``Order`` is made of, from rows (part, counted). To the driver: FILTER_BITS bits, and FREQUENT cells with their counts."""
     most, bits = -(-FREQUENT // parts), FILTER_BITS // parts // 8 * 8
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,15 +206,17 @@ def global_order(counted: DataFrame, parts: int) -> Order:
     rank = np.empty(len(listed), np.int64)
     rank[np.lexsort((listed, counts))] = np.arange(len(listed))
     order = np.argsort(listed)
-    return Order(parts, listed[order], rank[order], masks)
+    return listed[order], rank[order], counts[order], masks
 
 
-def prefix_entries(docs: DataFrame, order) -> DataFrame:
-    """Rows (gram, key, n, place): the first n-grams of each set that others may have, and their places in it. A pair that is similar
-    enough shares at least 0.8 of the larger set, so it meets among them. Rows may repeat."""
+def prefix_entries(docs: DataFrame, order, salted: int = SALTED) -> DataFrame:
+    """Rows (gram, salt, key, n, place): the first n-grams of each set that others may have, and their places in it. A pair that is
+    similar enough shares at least 0.8 of the larger set, so it meets among them. Rows may repeat. The salt is -1, but where more than
+    ``salted`` sets have an n-gram, its entries are dealt out to about so many each by salts from 0 on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = order.value
+        known = Order(*order.value)
+        seen: set[int] = set()
         for batch in batches:
             for _, texts in slices(batch):
                 values, ptr = gram_sets(texts)
@@ -208,26 +224,36 @@ def prefix_entries(docs: DataFrame, order) -> DataFrame:
                 values, _ = known.sort(values, ptr)
                 n = np.diff(ptr)
                 first = np.zeros(len(n), bool)
-                first[np.unique(keys, return_index=True)[1]] = True
+                for i, key in enumerate(keys.tolist()):
+                    if key not in seen:
+                        seen.add(key)
+                        first[i] = True
+                if len(seen) > GATHER // 4:
+                    seen.clear()
                 many = np.where(first & (n > 0), n - (4 * n + 4) // 5 + 1, 0)
                 row, place = np.repeat(np.arange(len(n)), many), spread(many)
                 gram = values[ptr[row] + place]
                 hit = known.repeated(gram)
-                row = row[hit]
-                yield record(gram=gram[hit].view(np.int64), key=keys[row], n=n[row].astype(np.int32), place=place[hit].astype(np.int32))
+                row, gram = row[hit], gram[hit]
+                sets = known.sets_with(gram)
+                salt = np.where(sets > salted, (mix(keys[row].view(U)) % (U(1) + sets.astype(U) // U(salted))).astype(np.int32), np.int32(-1))
+                yield record(gram=gram.view(np.int64), salt=salt, key=keys[row], n=n[row].astype(np.int32), place=place[hit].astype(np.int32))
 
-    return docs.mapInArrow(run, "gram long, key long, n int, place int")
+    return docs.mapInArrow(run, "gram long, salt int, key long, n int, place int")
 
 
 def meetings(entries: DataFrame) -> DataFrame:
-    """The entries of n-grams that several classes have, with the hubs of their n-gram: ``top``, the entry of the smallest place over all,
-    and ``own``, that among the classes of a similar size. Entries are dealt out once."""
+    """The distinct entries of n-grams that several classes have, with the hubs of their n-gram and salt: ``top``, the entry of the
+    smallest place over all, and ``own``, that among the classes of a similar size; null where that is the same. Entries are dealt out
+    once, and copies of a class are one entry from there on."""
     entry = F.struct("place", "n", "key")
-    rows = entries.repartition("gram").withColumn("size", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
-    rows = rows.withColumn("own", F.min(entry).over(Window.partitionBy("gram", "size")))
-    group = Window.partitionBy("gram")
-    rows = rows.withColumns({"top": F.min("own").over(group), "least": F.min("key").over(group), "most": F.max("key").over(group)})
-    return rows.where("least <> most").select("gram", "key", "n", "place", "own", "top")
+    rows = entries.repartition("gram", "salt").groupBy("gram", "salt", "key", "n", "place").agg(F.count("*").alias("copies"))
+    rows = rows.withColumn("size", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
+    rows = rows.withColumn("own", F.min(entry).over(Window.partitionBy("gram", "salt", "size")))
+    group = Window.partitionBy("gram", "salt")
+    rows = rows.withColumns({"top": F.min("own").over(group), "many": F.count("*").over(group)})
+    rows = rows.where("many > 1 OR salt >= 0")
+    return rows.select("gram", "salt", "key", "n", "place", F.when(F.col("own") != F.col("top"), F.col("own")).alias("own"), "top")
 
 
 def needed(na: str, nb: str) -> Column:
@@ -244,8 +270,10 @@ def may_link(one: str, two: str) -> Column:
 
 
 def hub_pairs(met: DataFrame) -> DataFrame:
-    """Pairs (a, b) of keys: each entry with the hubs of its n-gram."""
-    both = met.select(F.struct("place", "n", "key").alias("x"), F.explode(F.array_distinct(F.array("own", "top"))).alias("y"))
+    """Pairs (a, b) of keys: each entry with the hubs of its n-gram and salt, and these with the first hub of all salts."""
+    both = met.select(F.struct("place", "n", "key").alias("x"), F.explode(F.array_compact(F.array("own", "top"))).alias("y"))
+    hubs = met.where("salt >= 0").select("gram", "top").distinct()
+    both = both.union(hubs.join(hubs.groupBy("gram").agg(F.min("top").alias("y")), "gram").select(F.col("top").alias("x"), "y"))
     both = both.where((F.col("x.key") != F.col("y.key")) & may_link("x", "y"))
     return both.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
@@ -256,7 +284,7 @@ def mixed_pairs(met: DataFrame, roots: DataFrame, store: Callable[[DataFrame, st
     In each group, all classes but those of its largest component meet the others, so a group that is linked but for a few classes
     costs as many pairs as these have partners."""
     # A class whose place is too far for the smallest one of its group meets nobody (sets differ in a quarter of the smaller one at most).
-    near = met.where("4 * (place + top.place) <= n").select("gram", F.struct("place", "n", "key").alias("x"))
+    near = met.where("4 * (place + IF(salt < 0, top.place, 0)) <= n").select("gram", F.struct("place", "n", "key").alias("x"))
     members = near.join(roots, F.col("x.key") == roots["key"]).drop("key")
     sizes = members.groupBy("gram", "root").agg(F.count("*").alias("size"))
     groups = sizes.groupBy("gram").agg(F.max(F.struct("size", "root")).alias("main"), F.sum("size").alias("size"), F.count("*").alias("roots"))
@@ -276,7 +304,7 @@ def linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order) -> Data
 
     def cut(part: pa.RecordBatch, texts: Texts) -> pa.RecordBatch:
         values, ptr = gram_sets(texts)
-        values, plain = order.value.sort(values, ptr)
+        values, plain = Order(*order.value).sort(values, ptr)
         bounds = [U((i << 64) // (FRAGMENTS - 1)) for i in range(1, FRAGMENTS - 1)]
         doc, fragment, lists = [], [], []
         for d, a, b, rare in zip(part.column(0).to_pylist(), ptr[:-1].tolist(), ptr[1:].tolist(), plain.tolist(), strict=True):
@@ -304,12 +332,13 @@ def linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order) -> Data
     return total.where("100 * overlap >= 80 * (na + nb - overlap)").select("a", "b")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, salted: int = SALTED) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
     A null or empty text, or one without words, has an empty set and is linked with nothing; one with fewer than five words has one
-    n-gram, its whole sequence. Repeated rows get equal results. A row without doc_id is nobody's smallest one. An empty table gives
-    an empty result. Sets are compared by 64-bit hashes.
+    n-gram, its whole sequence. Repeated rows get equal results. A row without doc_id is nobody's smallest one, and a text that only
+    such rows have links nothing: documents that are linked through it alone aren't linked. An empty table gives an empty result. Sets
+    are compared by 64-bit hashes. ``salted`` changes no results.
     """
     spark = docs.sparkSession
     docs = documents(docs)
@@ -321,7 +350,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sets = store(known.where("part IS NULL").select("doc_id", "key", "n"), "sets")
     scratch.clear("sets")  # the counts are as large as half of the texts
     classes = store(sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")).where("rep IS NOT NULL"), "classes")
-    met = store(meetings(prefix_entries(docs, order)), "met")
+    met = store(meetings(prefix_entries(docs, order, salted)), "met")
 
     def reps(pairs: DataFrame) -> DataFrame:
         """The documents that stand for the classes of some pairs."""

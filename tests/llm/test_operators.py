@@ -3,7 +3,11 @@
 import hashlib
 import itertools
 import math
+import os
 import random
+import subprocess
+import sys
+import tempfile
 import zlib
 from collections import Counter
 
@@ -157,8 +161,9 @@ def test_jaccard_of_a_mixed_group(spark):
         for k in range(i % 7):
             words[(11 * (i % 5) + 17 * k) % 90] = f"f{i % 5}k{k}" if i % 3 else f"w{i}x{k}"
         rows.append((i, " ".join(words[: 90 - i % 9])))
-    out = op2.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
-    assert got(out) == jaccard_brute(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert got(op2.jaccard_components(docs)) == jaccard_brute(rows)
+    assert got(op2.jaccard_components(docs, salted=20)) == jaccard_brute(rows)  # entries of one n-gram in several tasks
 
 
 def test_candidates_grow_with_the_members(spark):
@@ -174,6 +179,42 @@ def test_candidates_grow_with_the_members(spark):
     assert made[1] <= 7 * made[0] <= 7 * 600
 
 
+def test_copies_in_many_partitions_meet_once(spark):
+    """Two texts that aren't linked but share frequent n-grams, with copies in every partition: the copies of each are one entry."""
+    met = []
+    for n in (2, 40):
+        rows = [(2 * i + j, edge.prose(40, 30) + " " + edge.prose(41 + j, 30)) for i in range(n) for j in range(2)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        known = op2.described(docs, 4)
+        order = spark.sparkContext.broadcast(op2.global_order(known.where("part IS NOT NULL").select("part", "counted"), 4))
+        found = op2.meetings(op2.prefix_entries(docs, order))
+        assert found.count() == found.select("gram", "key").distinct().count()
+        met.append(found.count())
+        assert got(op2.jaccard_components(docs)) == jaccard_brute(rows)
+    assert met[1] <= 2 * met[0]
+
+
+def test_operators_run_without_the_package_on_workers():
+    """From another folder, where workers can't import the package."""
+    code = """
+import importlib.util, sys
+spec = importlib.util.spec_from_file_location("__spark_entry__", sys.argv[1] + "/__spark_entry__.py")
+entry = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(entry)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", sys.argv[2]).getOrCreate()
+for name, query in entry.queries().items():
+    if name.startswith("op") or name == "pipeline":
+        query(spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+        print("ran", name)
+"""
+    with tempfile.TemporaryDirectory() as folder:
+        env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+        done = subprocess.run([sys.executable, "-c", code, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), folder], cwd="/", env=env, capture_output=True, text=True, timeout=900)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert done.stdout.count("ran ") == 14
+
+
 def test_jaccard_of_little(spark):
     assert op2.jaccard_components(edge.empty(spark)).count() == 0
     assert got(op2.jaccard_components(edge.all_null(spark))) == [(None, 0, None)] * 3
