@@ -11,6 +11,7 @@ A page is handled as a whole in one Arrow batch function; finding candidate root
 from __future__ import annotations
 
 import itertools
+import json
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -642,6 +643,19 @@ def structure(mined: DataFrame) -> DataFrame:
     return mined.select("page_id", "root", F.array_sort(F.array_distinct(F.flatten(F.transform("records", F.map_keys)))).alias("paths"))
 
 
+def nested_records(mined: DataFrame) -> DataFrame:
+    """One row for each record: page_id, root, record, and its nested and compact form as JSON with sorted keys."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        text = lambda tree: json.dumps(tree, ensure_ascii=False, sort_keys=True)
+        for batch in batches:
+            flat = [nested(json.loads(r)) for r in batch["r"]]
+            yield batch[["page_id", "root", "record"]].assign(nested=[text(t) for t in flat], compact=[text(compact(t)) for t in flat])
+
+    rows = mined.select("page_id", "root", F.posexplode("records").alias("record", "r")).withColumn("r", F.to_json("r"))
+    return rows.mapInPandas(run, "page_id long, root string, record int, nested string, compact string")
+
+
 def interesting(mined: DataFrame, wanted: str) -> DataFrame:
     """Roots with a record that has a text that fits."""
     return mined.where(F.exists("records", lambda r: F.exists(F.map_values(r), lambda t: F.regexp_like(t, F.lit(wanted)))))

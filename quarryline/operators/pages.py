@@ -122,9 +122,10 @@ def regex_columns(rows: DataFrame, patterns: Patterns | None = None, first: int
 
 
 def first_of_url(pages: DataFrame) -> DataFrame:
-    """For each url the row with the smallest page_id."""
-    w = Window.partitionBy("url").orderBy("page_id")
-    return pages.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+    """For each url the row with the smallest page_id (one without only if there is no other; of rows that repeat an id any). Rows of a
+    url are summed up where they are."""
+    row = F.struct(*(F.col(f"`{c}`") for c in pages.columns))
+    return pages.groupBy("url").agg(F.min_by(row, F.struct(F.col("page_id").isNull(), F.col("page_id"))).alias("r")).select("r.*")
 
 
 def every_nth(pages: DataFrame, n: int, *order: str) -> DataFrame:
@@ -138,13 +139,14 @@ def numbered(rows: DataFrame, name: str, *order: str, by: tuple[str, ...] = ())
     No value is brought to one task: rows are dealt out by ranges of the order and written to shared storage, as a sampled range may
     differ when it is computed again; each range is numbered by itself and begins after the rows of those before it.
     """
-    ranged = stored(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
-    counts = ranged.groupBy("_part", *by).agg(F.count("*").alias("_n"))
+    row = F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row")
+    of = lambda *names: [F.col(f"row.`{c}`") for c in names]
+    ranged = stored(rows.select(row).repartitionByRange(*of(*order)).withColumn("part", F.spark_partition_id()), "ranged")
+    group = F.struct(*of(*by)) if by else F.lit(0)
+    counts = ranged.groupBy("part", group.alias("group")).agg(F.count("*").alias("n"))
     # As many rows as there are ranges and values.
-    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_part", *(F.col(c).alias(f"_{c}") for c in by), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    own = ranged.withColumn(name, F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order)))
-    same = own["_part"] == starts["_part"]
-    for c in by:
-        same &= own[c].eqNullSafe(starts[f"_{c}"])
-    return own.join(starts, same).select(*rows.columns, (F.col(name) + F.col("_start")).alias(name))
+    before = Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("part").alias("at"), F.col("group").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    own = ranged.withColumn("group", group).withColumn("nth", F.row_number().over(Window.partitionBy("part", "group").orderBy(*of(*order))))
+    own = own.join(starts, (F.col("part") == F.col("at")) & F.col("group").eqNullSafe(F.col("of")))
+    return own.select("row.*", (F.col("nth") + F.col("start")).alias(name))

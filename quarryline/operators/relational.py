@@ -20,11 +20,12 @@ def register(publications: DataFrame, applicants: DataFrame, persons: DataFrame,
 
 
 def domains(mentions: DataFrame) -> DataFrame:
-    """Pages, mentions and distinct numbers of each domain. Equal values are summed up first, so no mention is written more than once
-    for a count."""
-    count = lambda by, name: mentions.groupBy("domain", by).agg(F.count("*").alias("_n")).groupBy("domain").agg(F.count(by).alias(name), F.sum("_n").alias("_n"))
-    pages = count("url", "num_pages").withColumnRenamed("_n", "num_patents_with_duplicates")
-    return pages.join(count("patent_number", "num_distinct_patents").drop("_n"), "domain")
+    """Pages, mentions and distinct numbers of each domain. Both counts start from one exchange of the distinct (domain, url, number),
+    so mentions are found once."""
+    rows = mentions.groupBy("domain", "url", "patent_number").agg(F.count("*").alias("n"))
+    count = lambda by, name: rows.groupBy("domain", by).agg(F.sum("n").alias("n")).groupBy("domain").agg(F.count(by).alias(name), F.sum("n").alias("n"))
+    pages = count("url", "num_pages").withColumnRenamed("n", "num_patents_with_duplicates")
+    return pages.join(count("patent_number", "num_distinct_patents").drop("n"), "domain")
 
 
 def domain_names(mentions: DataFrame, registered: DataFrame) -> DataFrame:

@@ -63,23 +63,56 @@ def prediction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dataset(spark, sf_dir).select("page_id", "domain", "num_pages", "num_distinct_matched_patents", F.round("share_top1", 9).alias("share_top1"), "text_vpm_r1")
 
 
-def _labelled(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
-    """Balanced training rows of a dataset: pages with a label whose domain has statistics."""
-    return K.balanced(_with_labels(spark, sf_dir, rows.where("num_distinct_han_names > 0")), "label", "page_id")
+def _marked(rows: DataFrame) -> DataFrame:
+    """A dataset with labels by a rule over two features: pages with the first regex, and those of the domain with the fewest pages."""
+    least = rows.agg(F.min("num_pages")).scalar()
+    return rows.withColumn("label", F.when((F.col("text_vpm_r1") > 0) | (F.col("num_pages") == least), 1.0).otherwise(0.0))
 
 
 def _models(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[M.Feature]]:
-    """The dataset, the training rows with their vectors, and the features. The dataset is written once for training and prediction."""
+    """The dataset, balanced training rows with their vectors, and the features. The dataset is written once for training and prediction."""
     found, rows = M.features(), stored(_dataset(spark, sf_dir), "dataset")
-    return rows, M.assembled(_labelled(spark, sf_dir, rows), found).select("features", "label"), found
+    training = K.balanced(_marked(rows).where("num_distinct_han_names > 0"), "label", "page_id")
+    return rows, M.assembled(training, found).select("features", "label"), found
 
 
-@query()
+#: A tree of depth 5 learns the rule without error, so the rule is what it predicts.
+SQL_MARKED = WITH_MORE + SQL_DATA + f""", ds AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS url, domain, {_sql_count('text', C.TEXT_REGEXES[0])}::DOUBLE AS r1, coalesce(num_pages, 0)::DOUBLE AS np FROM (SELECT kept.* FROM kept) LEFT JOIN dm USING (domain)),
+marked AS (SELECT *, CASE WHEN r1 > 0 OR np = (SELECT min(np) FROM ds) THEN 1.0 ELSE 0.0 END::DOUBLE AS label FROM ds)"""
+
+
+@query(SQL_MARKED + " SELECT page_id, url, label AS prediction FROM marked")
 def predict_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, training, found = _models(spark, sf_dir)
     return M.predicted(M.tree(training), rows, found).select("page_id", "url", "prediction")
 
 
+#: Least squares over two features, by Cramer's rule; weights are punished by their feature's variance over the label's deviation.
+SQL_SOLVED = SQL_MARKED + """, s AS (SELECT avg(r1 * r1) + 0.001 / stddev_pop(label) * var_pop(r1) AS a, avg(r1 * np) AS b, avg(np * np) + 0.001 / stddev_pop(label) * var_pop(np) AS d, avg(r1 * label) AS e, avg(np * label) AS f FROM marked),
+w AS (SELECT (e * d - b * f) / (a * d - b * b) AS w1, (a * f - b * e) / (a * d - b * b) AS w2 FROM s)"""
+
+
+def _two_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, object, list[M.Feature]]:
+    found = [f for f in M.features() if f.name in ("text_vpm_r1", "num_pages")]
+    rows = stored(_dataset(spark, sf_dir), "dataset")
+    return rows, M.regression(M.assembled(_marked(rows), found).select("features", "label")), found
+
+
+@query(SQL_SOLVED + " SELECT page_id, url, round(w1 * r1 + w2 * np, 6) AS prediction FROM marked, w")
+def regression_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linear regression over two features, which SQL can solve as well."""
+    rows, model, found = _two_features(spark, sf_dir)
+    return M.predicted(model, rows, found).select("page_id", "url", F.round("prediction", 6).alias("prediction"))
+
+
+@query(SQL_SOLVED + " SELECT url, round(w1 * r1 + w2 * np, 6) AS score FROM marked, w")
+def regression_of_two_as_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the query that the model is written out as."""
+    rows, model, found = _two_features(spark, sf_dir)
+    rows.createOrReplaceTempView("ClassifierDataset")
+    return spark.sql(M.regression_sql(model, found)).select("url", F.round("score", 6).alias("score"))
+
+
 @query()
 def predict_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, training, found = _models(spark, sf_dir)
@@ -91,7 +124,7 @@ def prediction_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.prediction_lines(predict_regression(spark, sf_dir))
 
 
-@query()
+@query(SQL_MARKED + " SELECT url FROM marked WHERE label = 1")
 def tree_rules_as_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Urls that the tree's emitted SQL finds."""
     rows, training, found = _models(spark, sf_dir)
@@ -121,10 +154,34 @@ def mdr_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.structure(mining.mine_pages(table(spark, sf_dir, "pages")))
 
 
+#: Rows of a page of ``listing_records``.
+LISTED_ROWS = 50
+
+
+@query(f"""SELECT c_nationkey AS nation, c_custkey // {LISTED_ROWS} AS part, row_number() OVER (PARTITION BY c_nationkey, c_custkey // {LISTED_ROWS} ORDER BY c_custkey) - 1 AS record, c_name AS name, 'no ' || c_custkey AS number,
+  c_mktsegment AS segment FROM customer QUALIFY count(*) OVER (PARTITION BY c_nationkey, c_custkey // {LISTED_ROWS}) > 1""")
+def listing_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of two elements each, mined from listings that are written from the customers of a nation, below headings and text."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.floor(F.col("c_custkey") / LISTED_ROWS).alias("part"), "c_custkey", "c_name", "c_mktsegment")
+    cells = F.concat(F.lit("<dt>"), "c_name", F.lit("</dt><dd><i>no "), "c_custkey", F.lit("</i><u>"), "c_mktsegment", F.lit("</u></dd>"))
+    rows = c.groupBy("nation", "part").agg(F.array_sort(F.collect_list(F.struct("c_custkey", cells.alias("html")))).alias("rows")).where(F.size("rows") > 1)
+    html = F.concat(F.lit("<html><body><h1>List</h1><p>of customers</p><dl>"), F.array_join(F.transform("rows", lambda r: r["html"]), ""), F.lit("</dl></body></html>"))
+    mined = mining.mine_pages(rows.select((F.col("nation").cast("long") * 1_000_000_000 + F.col("part")).alias("page_id"), html.alias("html")), roots=1)
+    found = mined.select("page_id", F.posexplode("records").alias("record", "r"))
+    place = [F.floor(F.col("page_id") / 1_000_000_000).cast("int").alias("nation"), (F.col("page_id") % 1_000_000_000).alias("part")]
+    return found.select(*place, F.col("record").cast("long").alias("record"), *(F.col("r")[f"/{t}/text"].alias(n) for t, n in (("dt", "name"), ("dd/i", "number"), ("dd/u", "segment"))))
+
+
+@query()
+def mdr_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record as nested maps, in JSON, with and without levels of one child."""
+    return mining.nested_records(mining.mine_pages(table(spark, sf_dir, "pages")))
+
+
 def _archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages written as an archive and read again."""
     warc.register(spark)
-    path = f"{shared_folder(spark).removeprefix('file://')}/archive"
+    path = f"{shared_folder(spark)}/archive"
     pages = table(spark, sf_dir, "pages").select("url", F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8").alias("http_header"), F.col("html").cast("binary").alias("content"))
     pages.write.format("warc").mode("append").save(path)
     return spark.read.format("warc").load(path)
@@ -135,9 +192,19 @@ def warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.valid_pages(warc.responses(_archive(spark, sf_dir))).select("url", F.col("content").cast("string").alias("html"))
 
 
+@query("SELECT url, html FROM pages")
+def warc_by_spark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same archive, read by Spark's own readers only."""
+    folder = _archive(spark, sf_dir).select("file").first()[0].rpartition("/")[0]
+    return P.valid_pages(warc.responses(warc.records(spark, folder))).select("url", F.col("content").cast("string").alias("html"))
+
+
 @query("SELECT url FROM pages WHERE lower(url) LIKE 'http%://m.%'")
 def cdx_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.by_prefix(warc.index_of(_archive(spark, sf_dir)), "http://m.").select("url")
+    """Captures by the beginning of their urls, from an index sorted by key."""
+    path = f"{shared_folder(spark)}/index"
+    warc.write_index(warc.index_of(_archive(spark, sf_dir)), path)
+    return warc.by_prefix(warc.read_index(spark, path), "http://m.").select("url")
 
 
 @query("SELECT url, strlen(html)::INT AS size FROM pages")

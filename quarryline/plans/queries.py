@@ -11,6 +11,7 @@ from ..functions import urls
 from ..operators import curation as K
 from ..operators import pages as P
 from ..operators import relational as R
+from ..sources.files import read_ordered, shared_folder, write_ordered
 from .corpus import SQL, SQL_DOMAIN, SQL_HOST, SQL_NUMBER, corpus, mentions, quoted, register_tables, registered, sql_html_text, sql_words, table
 from .registry import query
 
@@ -73,6 +74,25 @@ def discard_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "url", urls.discarded(F.col("url"), SOME_HOSTS.discarded_hosts).alias("discarded"))
 
 
+#: Endings of hosts for ``host_suffixes``, and the suffix rules that bear on them (exact, under a wildcard, excepted from one).
+ENDINGS = ("com", "co.uk", "uk", "b.c.kobe.jp", "city.kobe.jp", "kobe.jp", "www.ck", "shop.ck", "ck", "gov.ck", "example", "blogspot.com", "k12.ma.us", "1")
+SQL_RULES = "(VALUES " + ", ".join(f"({quoted(name)}, {quoted(mark)})" for name, mark in (
+    ("com", "e"), ("uk", "e"), ("co.uk", "e"), ("jp", "e"), ("kobe.jp", "u"), ("city.kobe.jp", "x"), ("ck", "u"), ("www.ck", "x"), ("blogspot.com", "e"), ("us", "e"), ("ma.us", "e"), ("k12.ma.us", "e"))) + ") AS r(name, mark)"
+
+
+@query(f"""WITH h AS (SELECT page_id, lower(split_part({SQL_HOST}, '.', 1)) || '.' || ending AS host FROM pages, (SELECT unnest({list(ENDINGS)}) AS ending)),
+l AS (SELECT page_id, host, string_split(host, '.') AS l FROM h),
+t AS (SELECT page_id, host, l, unnest(range(1, len(l) + 1)) AS k FROM l),
+m AS (SELECT page_id, host, l, max_by(CASE mark WHEN 'e' THEN k + 1 WHEN 'u' THEN k + 2 ELSE k END, CASE mark WHEN 'e' THEN 2 * k WHEN 'u' THEN 2 * k + 2 WHEN 'x' THEN 2 * k + 1 END) AS n
+  FROM t LEFT JOIN {SQL_RULES} ON r.name = array_to_string(l[len(l) - k + 1 :], '.') AND (mark <> 'u' OR k < len(l)) GROUP BY ALL)
+SELECT page_id, host, CASE WHEN n <= len(l) THEN array_to_string(l[len(l) - n + 1 :], '.') ELSE '' END AS domain FROM m""")
+def host_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top private domains below suffixes of several labels, wildcards and exceptions."""
+    first = F.lower(F.element_at(F.split(urls.host(F.col("url")), r"\."), 1))
+    hosts = table(spark, sf_dir, "pages").select("page_id", F.explode(F.array(*(F.concat(first, F.lit(f".{e}")) for e in ENDINGS))).alias("host"))
+    return urls.with_top_private_domain(hosts, F.col("host"))
+
+
 @query(f"SELECT page_id, {SQL_DOMAIN} AS domain FROM pages")
 def top_private_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.with_domain(table(spark, sf_dir, "pages")).select("page_id", "domain")
@@ -89,11 +109,25 @@ SQL_MORE = "CASE WHEN page_id % 7 = 0 THEN ' Virtual Patent-Marking vpm 287 prot
 WITH_MORE = WITH.replace("AS text FROM pages JOIN frag", f"|| {SQL_MORE} AS text FROM pages JOIN frag")
 
 
-@query()
+#: The parts of a text between its numbers and the numbers, in turns: numbers are the even ones. Marks stand around each number.
+SQL_PARTS = rf""", parts AS (
+  SELECT page_id, string_split_regex(replace(regexp_replace(replace(text, ' ', '  '), {quoted('(^|[ :])(' + SQL_NUMBER + ")([,.';:()]?(?: |$))")}, E'\\1\x01\\2\x01\\3', 'g'), '  ', ' '), E'\x01') AS p FROM kept),
+hit AS (
+  SELECT page_id, k AS position, p[2 * k + 2] AS text, right(array_to_string(p[1 : 2 * k + 1], ''), 10) || p[2 * k + 2] || left(array_to_string(p[2 * k + 3 :], ''), 10) AS context
+  FROM (SELECT page_id, p, unnest(range((len(p) - 1) // 2)) AS k FROM parts))"""
+
+
+@query(WITH_MORE + SQL_PARTS + " SELECT page_id, position::INT AS position, text, context FROM hit")
 def page_matches_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _built(spark, sf_dir).select("page_id", F.posexplode("patent_numbers").alias("position", "m")).select("page_id", "position", "m.text", "m.context")
 
 
+@query(WITH_MORE + SQL_PARTS + """ SELECT page_id, count(*)::INT AS num_patents, '[' || string_agg('{"text":' || to_json(text) || ',"context":' || to_json(context) || '}', ',' ORDER BY position) || ']' AS patent_numbers_json FROM hit GROUP BY page_id""")
+def page_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON column of the relational page table."""
+    return P.page_rows(_built(spark, sf_dir)).select("page_id", "num_patents", "patent_numbers_json")
+
+
 @query(WITH + rf""", t AS (
   SELECT page_id, regexp_replace(regexp_replace(regexp_replace(
     replace(regexp_replace(replace(text, ' ', '  '), {quoted('(^|[ :])' + SQL_NUMBER + "([,.';:()]?(?: |$))")}, '\1 {C.MARKER} \2', 'g'), '  ', ' '),
@@ -261,9 +295,19 @@ def vpm_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir).select("domain").distinct()
 
 
-@query(WITH + STATS + " SELECT domain, num_distinct_patents FROM dm WHERE num_distinct_patents BETWEEN 50 AND 500 ORDER BY num_distinct_patents DESC, domain LIMIT 10")
+@query(WITH + STATS.replace("domain", "host") + " SELECT host AS domain, num_distinct_patents FROM dm WHERE num_distinct_patents BETWEEN 25 AND 500 ORDER BY num_distinct_patents DESC, host LIMIT 10")
 def domain_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top(R.domains(mentions(spark, sf_dir)).where("num_distinct_patents BETWEEN 50 AND 500"), 10, "num_distinct_patents", "domain").select("domain", "num_distinct_patents")
+    rows = R.domains(mentions(spark, sf_dir, urls.host(F.col("url")))).where("num_distinct_patents BETWEEN 25 AND 500")
+    return R.top(rows, 10, "num_distinct_patents", "domain").select("domain", "num_distinct_patents")
+
+
+@query(WITH + STATS.replace("domain", "host") + " SELECT host AS domain, han_name, n, row_number() OVER (ORDER BY host, n DESC, han_name) AS position FROM names")
+def ordered_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of all hosts in one order over many files, each row with its place in it as the files have it."""
+    names = R.domain_names(mentions(spark, sf_dir, urls.host(F.col("url"))), registered(spark, sf_dir))
+    path = f"{shared_folder(spark)}/ordered"
+    write_ordered(names, path, F.col("domain"), F.desc("n"), F.col("han_name"))
+    return read_ordered(spark, path)
 
 
 @query(WITH + STATS + " SELECT domain, num_distinct_matched_patents FROM st WHERE domain LIKE '%example.com%' OR num_distinct_matched_patents > 30")

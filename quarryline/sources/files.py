@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import urls
 
@@ -45,8 +48,51 @@ def table_from_database(spark: SparkSession, url: str, table: str, fetch: int =
 
 
 def to_database(rows: DataFrame, url: str, table: str, create: bool = False, **options: str) -> None:
-    """Rows added to a database table; with ``create`` a new table takes the place of an old one."""
-    rows.write.format("jdbc").options(url=url, dbtable=table, **options).mode("overwrite" if create else "append").save()
+    """Rows added to a database table; with ``create`` a new table takes the place of an old one.
+
+    The new table is written under another name and takes the old one's when all tasks have committed, so a job that fails leaves what
+    was there. ``options``: of the connection (user, password, driver) and of Spark's writer.
+    """
+    if not create:
+        rows.write.format("jdbc").options(url=url, dbtable=table, **options).mode("append").save()
+        return
+    jvm = rows.sparkSession._jvm
+    known = jvm.java.util.Properties()
+    for name in ("user", "password"):
+        if name in options:
+            known.setProperty(name, options[name])
+    if "driver" in options:
+        jvm.java.lang.Class.forName(options["driver"])
+    new, old = (f"{table}_{mark}_{uuid.uuid4().hex[:8]}" for mark in ("new", "old"))
+    rename = "RENAME TABLE {} TO {}" if url.startswith(("jdbc:derby", "jdbc:mysql", "jdbc:mariadb")) else "ALTER TABLE {} RENAME TO {}"
+
+    def run(*statements: str) -> None:
+        connection = jvm.java.sql.DriverManager.getConnection(url, known)
+        try:
+            for sql in statements:
+                statement = connection.createStatement()
+                statement.execute(sql)
+                statement.close()
+        finally:
+            connection.close()
+
+    def there() -> bool:
+        try:
+            run(f"SELECT 1 FROM {table} WHERE 1 = 0")
+        except Py4JJavaError:
+            return False
+        return True
+
+    try:
+        rows.write.format("jdbc").options(url=url, dbtable=new, **options).mode("errorifexists").save()
+    except Exception:
+        with contextlib.suppress(Py4JJavaError):  # it may not have come to a table
+            run(f"DROP TABLE {new}")
+        raise
+    if there():
+        run(rename.format(table, old), rename.format(new, table), f"DROP TABLE {old}")
+    else:
+        run(rename.format(new, table))
 
 
 def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame], again: bool = False) -> DataFrame:
@@ -59,9 +105,35 @@ def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame], again:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset, as in tests, a folder of the machine."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarryline-")
-    return f"{top.rstrip('/')}/quarryline-{uuid.uuid4().hex}"
+    """A new folder under spark.checkpoint.dir, or the context's checkpoint folder. Where neither is set, as in tests, a folder of the
+    machine is, if all of Spark runs there; else it's an error."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        top = found.get() if found.isDefined() else None
+    if not top:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir isn't set: tasks need a folder that all of them share")
+        top = tempfile.mkdtemp(prefix="quarryline-")
+        spark.sparkContext.setCheckpointDir(top)
+    return f"{top.rstrip('/')}/quarryline/{uuid.uuid4().hex}"
+
+
+def write_ordered(rows: DataFrame, path: str, *order: Column) -> None:
+    """Rows in one order over all files of a folder: each file is sorted, and stands after those with smaller numbers."""
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+
+
+def read_ordered(spark: SparkSession, path: str, name: str = "position") -> DataFrame:
+    """The rows of ``write_ordered`` with their places from 1 on, as the files have them."""
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")
+    rows = spark.read.parquet(path)
+    placed = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), part.alias("part"), F.col("_metadata.row_index").alias("nth"))
+    counts = placed.groupBy(F.col("part").alias("at")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    starts = counts.select("at", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return placed.join(starts, F.col("part") == F.col("at")).select("row.*", (F.col("start") + F.col("nth") + 1).alias(name))
 
 
 def stored(rows: DataFrame, name: str = "table") -> DataFrame:

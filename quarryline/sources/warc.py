@@ -1,8 +1,9 @@
 """WARC archives as a Python data source (read and write), and CDX lookups.
 
-A compressed archive is a row of gzip members, mostly one for each record; the reader streams through a file record by record, so its
-memory is bounded by the largest record, and each file is a partition. Paths are local or on a mounted store; ``records`` reads through
-Spark's binaryFile instead, for stores that only Spark can open.
+A compressed archive is a row of gzip members, mostly one for each record; the reader streams through it record by record, so its memory
+is bounded by the largest record. Long files are read by several tasks: each begins at the first member that starts in its range of
+bytes, found by unpacking what looks like one. Paths are those of pyarrow's file systems (local, s3, gs, hdfs, ...), which read by
+ranges; ``records`` reads through Spark's binaryFile instead, for stores that only Spark can open.
 
 A record's place is (offset, within): the byte at which its gzip member starts (in an archive that isn't compressed, the record itself)
 and its place in the unpacked member, 0 for the first one. What breaks off is a row of type ``torn`` without content.
@@ -11,13 +12,16 @@ and its place in the unpacked member, 0 for the first one. What breaks off is a
 from __future__ import annotations
 
 import datetime as dt
+import fnmatch
 import glob
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -26,6 +30,31 @@ from ..functions import urls
 
 SCHEMA = "file string, offset long, within long, url string, warc_type string, crawl_date timestamp, http_status int, mime string, http_header string, content binary"
 BLOCK = 1 << 20
+#: Bytes of a compressed archive that one task reads, about.
+SPLIT = 64 << 20
+MAGIC = b"\x1f\x8b\x08"
+
+
+def place(path: str) -> tuple[FileSystem, str]:
+    """The file system of a path and the path in it."""
+    if re.match(r"file:/(?!/)", path):
+        path = "file://" + path[5:]
+    return FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), os.path.abspath(path))
+
+
+def archives(path: str) -> list[tuple[str, int]]:
+    """Names and sizes of a file, of the archives in a folder, or of those that fit a glob. What is being written begins with _ or a dot."""
+    system, at = place(path)
+    prefix = path[: len(path) - len(at)] if path.endswith(at) else ""
+    found = system.get_file_info(at) if not glob.has_magic(at) else None
+    if found is not None and found.type == FileType.File:
+        return [(path, found.size)]
+    if found is not None:
+        fits = lambda p: ".warc" in p
+    else:
+        fits, at = (lambda p, pattern=at: fnmatch.fnmatch(p, pattern)), re.split(r"[*?\[]", at)[0].rpartition("/")[0]
+    every = system.get_file_info(FileSelector(at, allow_not_found=True, recursive=True))
+    return sorted((prefix + f.path, f.size) for f in every if f.type == FileType.File and fits(f.path) and f.base_name[:1] not in "_.")
 
 
 class Stream:
@@ -172,6 +201,62 @@ def records_in(file: str, stream: Stream) -> Iterator[tuple]:
         yield record(file, *at, head, body)
 
 
+def is_member(source, at: int) -> bool:
+    """Whether a member with a record starts at a place: it unpacks to one, and another member or nothing follows."""
+    source.seek(at)
+    gz, head = zlib.decompressobj(31), b""
+    try:
+        while not gz.eof:
+            block = source.read(BLOCK)
+            if not block:
+                return head.startswith(b"WARC/")  # what is torn is a member as well
+            out = gz.decompress(block)
+            if len(head) < 5:
+                head += out[:5]
+                if not b"WARC/".startswith(head[:5]) and head:
+                    return False
+    except zlib.error:
+        return False
+    after = gz.unused_data or source.read(len(MAGIC))
+    return head.startswith(b"WARC/") and (len(after) < 2 or MAGIC.startswith(after[:3]) or not after.strip(b"\0"))
+
+
+def first_member(source, start: int, end: int) -> int | None:
+    """The first member that starts in a range of bytes."""
+    at = start
+    while at < end:
+        source.seek(at)
+        block = source.read(BLOCK + len(MAGIC) - 1)
+        found = block.find(MAGIC)
+        while 0 <= found < BLOCK:
+            if at + found >= end:
+                return None
+            if is_member(source, at + found):
+                return at + found
+            found = block.find(MAGIC, found + 1)
+        at += BLOCK
+    return None
+
+
+def records_between(file: str, source, start: int, end: int) -> Iterator[tuple]:
+    """Rows of the members that start in a range of bytes; an archive that isn't compressed is one range."""
+    source.seek(0)
+    first = start
+    if start and source.read(2) == MAGIC[:2]:
+        first = first_member(source, start, end)
+    if first is None:
+        return
+    source.seek(first)
+    stream = Stream(source.read)
+    stream.next = first
+    while stream.member() or not stream.packed:
+        if stream.packed and stream.offset >= end:
+            break
+        yield from records_in(file, stream)
+        if stream.torn or not stream.packed:
+            break
+
+
 def record_at(file: str, read, offset: int, within: int) -> tuple | None:
     """The record at a place; ``read`` gives bytes from ``offset`` on."""
     for row in records_of(file, read):
@@ -193,64 +278,81 @@ def framed(url: str, date: dt.datetime, payload: bytes) -> bytes:
 
 
 @dataclass
-class File(InputPartition):
+class Range(InputPartition):
     path: str
+    start: int
+    end: int
 
 
 class Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, split: int):
+        self.path, self.split = path, split
 
     def partitions(self) -> list[InputPartition]:
-        found = [self.path] if os.path.isfile(self.path) else sorted(glob.glob(self.path) if not os.path.isdir(self.path) else glob.glob(f"{self.path}/**/*.warc*", recursive=True))
-        return [File(f) for f in found] or [File("")]
-
-    def read(self, partition: File) -> Iterator[tuple]:
+        found = []
+        for path, size in archives(self.path):
+            system, at = place(path)
+            with system.open_input_file(at) as source:
+                packed = source.read(2) == MAGIC[:2]
+            step = self.split if packed else max(size, 1)
+            found += [Range(path, start, min(size, start + step)) for start in range(0, max(size, 1), step)]
+        return found or [Range("", 0, 0)]
+
+    def read(self, partition: Range) -> Iterator[tuple]:
         if partition.path:
-            with open(partition.path, "rb") as f:
-                yield from records_of(partition.path, f.read)
+            system, at = place(partition.path)
+            with system.open_input_file(at) as source:
+                yield from records_between(partition.path, source, partition.start, partition.end)
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    path: str | None
+    name: str | None
 
 
 class Writer(DataSourceWriter):
-    """One archive for each task, under a name of its own until the job commits."""
+    """One archive for each task, under a name of the attempt until the job commits. Then those of the attempts that count get their
+    names, and what others of the job have left goes."""
 
     def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite = path, overwrite
+        self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
 
     def write(self, rows: Iterator) -> Written:
-        path = f"{self.path}/_tmp_{uuid.uuid4().hex}.warc.gz"
-        n = 0
-        os.makedirs(self.path, exist_ok=True)
-        with open(path, "wb") as out:
+        system, folder = place(self.path)
+        name, n = uuid.uuid4().hex, 0
+        system.create_dir(folder)
+        path = f"{folder}/_tmp_{self.job}_{name}.warc.gz"
+        with system.open_output_stream(path, compression=None) as out:
             for row in rows:
                 http = (row["http_header"] or "HTTP/1.1 200 OK\r\nContent-Type: text/html").encode("latin-1", "replace")
                 out.write(framed(row["url"], dt.datetime.now(dt.UTC), http + b"\r\n\r\n" + bytes(row["content"] or b"")))
                 n += 1
         if not n:
-            os.remove(path)
-        return Written(path if n else None)
+            system.delete_file(path)
+        return Written(name if n else None)
+
+    def left(self) -> list[str]:
+        """What attempts of this job have written and not moved."""
+        system, folder = place(self.path)
+        return [f.path for f in system.get_file_info(FileSelector(folder, allow_not_found=True)) if f.base_name.startswith(f"_tmp_{self.job}_")]
 
     def commit(self, messages: list) -> None:
-        new = [m.path for m in messages if m is not None and m.path]
-        if self.overwrite:
-            for old in glob.glob(f"{self.path}/files_*.warc.gz"):
-                os.remove(old)
-        for path in new:
-            os.replace(path, path.replace("_tmp_", "files_"))
+        system, folder = place(self.path)
+        old = [f.path for f in system.get_file_info(FileSelector(folder, allow_not_found=True)) if re.fullmatch(r"files_\w+\.warc\.gz", f.base_name)] if self.overwrite else []
+        for m in messages:
+            if m is not None and m.name:
+                system.move(f"{folder}/_tmp_{self.job}_{m.name}.warc.gz", f"{folder}/files_{m.name}.warc.gz")
+        for path in old + self.left():
+            system.delete_file(path)
 
     def abort(self, messages: list) -> None:
-        for m in messages:
-            if m is not None and m.path and os.path.exists(m.path):
-                os.remove(m.path)
+        for path in self.left():
+            place(self.path)[0].delete_file(path)
 
 
 class Warc(DataSource):
-    """``spark.read.format("warc").load(path)``: a file, a folder or a glob. Writes response records of (url, http_header, content)."""
+    """``spark.read.format("warc").load(path)``: a file, a folder or a glob; option ``split``: bytes of a compressed file for a task. Writes
+    response records of (url, http_header, content)."""
 
     @classmethod
     def name(cls) -> str:
@@ -260,7 +362,7 @@ class Warc(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> Reader:
-        return Reader(self.options["path"])
+        return Reader(self.options["path"], int(self.options.get("split", SPLIT)))
 
     def writer(self, schema, overwrite: bool) -> Writer:
         return Writer(self.options["path"], overwrite)
@@ -328,21 +430,40 @@ def first_by_url(index: DataFrame, url: str) -> DataFrame:
     return by_url(index, url).where(good()).orderBy("timestamp", "file", "offset").limit(1)
 
 
-def content_of(index: DataFrame) -> DataFrame:
-    """Captures of an index with their content (null if nothing is there): each is read at its place, not by a scan of the archives.
-    Files are on a mounted store; else join the index with ``records`` on (file, offset, within)."""
+def write_index(index: DataFrame, path: str) -> None:
+    """An index as files sorted by url_key, each with a range of keys of its own: lookups read what may have the key and nothing else."""
+    index.repartitionByRange("url_key", "timestamp").sortWithinPartitions("url_key", "timestamp").write.option("parquet.block.size", 8 << 20).parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def content_of(index: DataFrame, archive: DataFrame | None = None) -> DataFrame:
+    """Captures of an index with their content: each is read at its place, not by a scan of the archives. Null if nothing is there, or
+    no such file, or no offset. In a store that only Spark can open, give the archive's records: they are joined by place."""
+    if archive is not None:
+        at = ["file", "offset", "within"]
+        return index.join(archive.select(*at, "content"), at, "left").select(*index.columns, "content")
 
     def run(batches):
         for pdf in batches:
-            content, last, source = [], None, None
             order = pdf.sort_values(["file", "offset"]).reset_index(drop=True)
+            content, last, source = [], None, None
             for file, offset, within in zip(order["file"], order["offset"], order["within"], strict=True):
+                if not isinstance(file, str) or offset != offset or offset is None:
+                    content.append(None)
+                    continue
                 if file != last:
                     if source is not None:
                         source.close()
-                    last, source = file, open(file.removeprefix("file://"), "rb")  # noqa: SIM115
-                source.seek(offset)
-                found = record_at(file, source.read, offset, within)
+                    last = file
+                    system, at = place(file)
+                    source = system.open_input_file(at) if system.get_file_info(at).type == FileType.File else None
+                found = None
+                if source is not None and 0 <= offset < source.size():
+                    source.seek(int(offset))
+                    found = record_at(file, source.read, int(offset), 0 if within != within or within is None else int(within))
                 content.append(found[-1] if found is not None else None)
             if source is not None:
                 source.close()

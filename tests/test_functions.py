@@ -6,6 +6,7 @@ from hypothesis import settings as hypothesis_settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quarryline.functions import patterns as C
 from quarryline.functions import text as T
 from quarryline.functions import urls
 
@@ -85,3 +86,28 @@ def test_filename_without_extension(spark):
 @pytest.mark.parametrize(("text", "expected"), [("U.S. Patent Nos. 8,363,572", "US8363572"), ("D435,561", "D435561"), ("pat. no. 5,123,123", "5123123")])
 def test_bare_number(spark, text, expected):
     assert spark.range(1).select(T.bare_number(F.lit(text))).first()[0] == expected
+
+
+def test_hosts_are_discarded_as_by_the_regexes(spark):
+    """Every default pattern and others, on hosts around them; 100,000 patterns in one pass."""
+    odd = (r"blog\..+", r"a(b|c)\.de", r".+\.gov(\...)?", r"x-y\.z_\.org", r"(.+\.)?two\...")
+    patterns = (*C.DISCARDED_HOSTS, *odd)
+    names = [p.replace("(.+\\.)?", "").replace(".+\\.", "").replace("(\\...)?", "").replace("\\...", ".uk").replace("\\.", ".") for p in patterns]
+    ends = [n + e for n in names for e in ("", ".uk", ".c", ".com", ".", ".é1")]
+    hosts = sorted({pre + n for n in ends for pre in ("", "www.", "a.b.", ".", "a..", "not", "1.2.")} | {"", "com", "blog.x", "blog.", "ab.de", "ad.de", "x.ab.de"})
+    rows = spark.createDataFrame([(f"http://{h}/p",) for h in hosts] + [(None,), ("no url",)], "u string")
+    host, regex = urls.host(F.col("u")), "^(?:" + "|".join(f"(?:{p})" for p in patterns) + ")$"
+    both = rows.select("u", urls.discarded(F.col("u"), patterns).alias("got"), F.coalesce(F.regexp_like(host, F.lit(regex)), F.lit(False)).alias("want")).collect()
+    assert [r.u for r in both if r.got != r.want] == [] and 100 < sum(r.got for r in both) < len(both)
+    listed, rest = urls.host_names(patterns)
+    assert rest == [r"blog\..+", r"a(b|c)\.de"] and ("google.com.??", "s") in listed
+    many = tuple(rf"(.+\.)?site{i}\.com" for i in range(100_000))
+    some = rows.limit(3).select(F.explode(F.array(*(F.lit(f"http://{h}/") for h in ("site7.com", "a.site99999.com", "site100000.com", "xsite7.com")))).alias("u"))
+    assert [r[0] for r in some.limit(4).select(urls.discarded(F.col("u"), many)).collect()] == [True, True, False, False]
+
+
+def test_domain_gives_way_and_needs_no_join(spark):
+    rows = spark.createDataFrame([("a.b.co.uk", "old", 1), ("y.ck", None, 2), ("www.ck", "", 3), (None, "z", 4)], "h string, domain string, _labels int")
+    out = urls.with_top_private_domain(rows, F.col("h"))
+    assert [(r.domain, r._labels) for r in out.collect()] == [("b.co.uk", 1), ("", 2), ("www.ck", 3), ("", 4)]
+    assert "Join" not in out._jdf.queryExecution().toString()
