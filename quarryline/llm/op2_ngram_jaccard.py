@@ -12,7 +12,8 @@ these bounds are candidates. (3) Partial overlaps are counted for candidates.
 The result is the components of the links, so a group of classes that meet at one n-gram isn't expanded into pairs. Each class is first
 compared with the group's hubs: the class with the smallest place there, which differs least from what the group has in common, over
 all and among those of a similar size. Only where that leaves more than one component in a group, pairs of different components within
-the bounds are compared as well. So no link is lost, and a group of near copies costs as many comparisons as it has members.
+the bounds are compared as well. So no link is lost, and a group of near copies costs as many comparisons as it has members. What two
+sets can share at most is first bounded by small histograms of their n-grams; only pairs within reach have their sets compared.
 """
 
 from __future__ import annotations
@@ -297,10 +298,48 @@ def mixed_pairs(met: DataFrame, roots: DataFrame, store: Callable[[DataFrame, st
     return both.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
+def texts_of_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The documents of some pairs (a, b)."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
+def histogram(values: np.ndarray) -> bytes:
+    """How many n-grams of a set fall on each value of some bits of their hashes, about four on each, 255 for more."""
+    size = 1 << max(4, (len(values) // 4).bit_length())
+    return np.minimum(np.bincount((values & U(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes()
+
+
+def most_shared(one: bytes, other: bytes) -> float:
+    """The most n-grams that two sets can share, by their histograms."""
+    x, y = sorted((np.frombuffer(one, np.uint8), np.frombuffer(other, np.uint8)), key=len)
+    if (x == 255).any() or (y == 255).any():
+        return float("inf")
+    return float(np.minimum(x, y.reshape(-1, len(x)).sum(axis=0)).sum())
+
+
+def within_reach(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of some pairs (a, b: documents) that may be similar enough by the histograms of their sets, which are a small part of the
+    sets: those that have a passage in common and little else go here."""
+
+    def cut(part: pa.RecordBatch, texts: Texts) -> pa.RecordBatch:
+        values, ptr = gram_sets(texts)
+        return record(doc=part.column(0), n=np.diff(ptr), bins=blobs([histogram(values[a:b]) for a, b in zip(ptr[:-1].tolist(), ptr[1:].tolist(), strict=True)]))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb, x, y = (batch.column(i).to_pylist() for i in range(2, 6))
+            stay = [most_shared(p, q) >= (4 * (m + n) + 8) // 9 for m, n, p, q in zip(na, nb, x, y, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(stay, pa.bool_()))
+
+    bins = map_slices(texts_of_pairs(docs, pairs), cut, "doc long, n long, bins binary").dropDuplicates(["doc"])
+    both = pairs.join(bins.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("bins").alias("x")), "a")
+    both = both.join(bins.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("y")), "b")
+    return both.select("a", "b", "na", "nb", "x", "y").mapInArrow(judge, "a long, b long")
+
+
 def linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order) -> DataFrame:
     """Those of some pairs (a, b: documents) whose sets are similar enough: partial overlaps for each fragment, summed for each pair."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     def cut(part: pa.RecordBatch, texts: Texts) -> pa.RecordBatch:
         values, ptr = gram_sets(texts)
@@ -319,7 +358,7 @@ def linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order) -> Data
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists], dtype=np.int64))).astype(np.int32)
         return record(doc=pa.array(doc, pa.int64()), fragment=pa.array(fragment, pa.int32()), segment=pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
 
-    segments = map_slices(docs.join(ids, "doc_id", "left_semi"), cut, "doc long, fragment int, segment array<long>")
+    segments = map_slices(texts_of_pairs(docs, pairs), cut, "doc long, fragment int, segment array<long>")
     wide = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
     one = wide.join(segments.select(F.col("doc").alias("a"), "fragment", F.col("segment").alias("x")), ["a", "fragment"])
     two = one.join(segments.select(F.col("doc").alias("b"), "fragment", F.col("segment").alias("y")), ["b", "fragment"])
@@ -362,11 +401,11 @@ def jaccard_components(docs: DataFrame, salted: int = SALTED) -> DataFrame:
         return classes.join(stars, classes["rep"] == stars["node"], "left").select("key", F.coalesce("root", "rep").alias("root"))
 
     first = store(reps(hub_pairs(met)), "first")
-    links = store(linked(docs, first, classes, order), "links")
+    links = store(linked(docs, store(within_reach(docs, first), "near"), classes, order), "links")
     stars = components(links, store)
     more = store(reps(mixed_pairs(met, store(rooted(stars), "roots"), store)).join(first, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        stars = components(links.union(linked(docs, more, classes, order)), store)
+        stars = components(links.union(linked(docs, store(within_reach(docs, more), "near"), classes, order)), store)
     out = sets.join(store(rooted(stars), "components").withColumnRenamed("root", "component"), "key", "left")
     scratch.clear("sets", "components")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

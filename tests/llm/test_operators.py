@@ -179,6 +179,18 @@ def test_candidates_grow_with_the_members(spark):
     assert made[1] <= 7 * made[0] <= 7 * 600
 
 
+def test_histograms_bound_what_sets_share():
+    """Sets of any sizes, with folded and full bins: never less than they share, and much less than all for unlike ones."""
+    r = np.random.default_rng(1)
+    for n, m, both in ((0, 5, 0), (3, 9, 2), (300, 280, 60), (5000, 300, 300), (40_000, 33_000, 5_000)):
+        x, y = (r.integers(0, 1 << 63, k).astype(np.uint64) for k in (n, m))
+        x[:both] = y[:both]
+        most = op2.most_shared(op2.histogram(x), op2.histogram(y))
+        assert both <= most <= min(n, m)
+    assert most < 0.85 * m
+    assert op2.most_shared(op2.histogram(np.full(900, 16, np.uint64)), op2.histogram(x)) == float("inf")
+
+
 def test_copies_in_many_partitions_meet_once(spark):
     """Two texts that aren't linked but share frequent n-grams, with copies in every partition: the copies of each are one entry."""
     met = []
