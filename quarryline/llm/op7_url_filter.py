@@ -47,8 +47,8 @@ def longest_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str],
 
 def signs(url: Column) -> Column:
     """The URL as an array of numbers 1 to SIZE - 1, after two zeros."""
-    fold = F.translate(F.lower(url), ALPHABET, "".join(chr(0x100 + i) for i in range(len(ALPHABET))))
-    numbers = F.transform(F.split(fold, ""), lambda c: F.when((F.ascii(c) >= 0x100) & (F.ascii(c) < 0x100 + len(ALPHABET)), F.ascii(c) - 0xFF).otherwise(SIZE - 1))
+    # The place in the alphabet, 0 for what isn't in it.
+    numbers = F.transform(F.split(F.lower(url), ""), lambda c: F.coalesce(F.nullif(F.instr(F.lit(ALPHABET), c), F.lit(0)), F.lit(SIZE - 1)))
     return F.concat(F.array(F.lit(0), F.lit(0)), F.when(F.length(url) > 0, numbers).otherwise(F.array().cast("array<int>")))
 
 
