@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import components
-from .scan import Scratch, Texts, U, blobs, documents, grams, map_slices, mix, read_table, record, slices, spread, starts_within
+from .scan import Scratch, Texts, U, blobs, documents, grams, map_slices, mix, parts_of, read_table, record, slices, spread, starts_within
 
 #: Words of an n-gram.
 N = 5
@@ -136,11 +136,11 @@ class Order:
 
 
 def described(docs: DataFrame, parts: int) -> DataFrame:
-    """A row (doc_id, key = digest of the set, n) for each document, and rows (part, counted) with the cells of n-grams: sorted,
+    """A row (doc_id, key = digest of the set, n, part) for each document, and rows (part, counted) with the cells of n-grams: sorted,
     differences, their bytes by significance; once for each of some documents with different sets that has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, set()
+        held, size, seen, rows = [], 0, set(), 0
 
         def flush() -> pa.RecordBatch:
             part, cell = cells(np.concatenate(held), parts)
@@ -157,7 +157,8 @@ def described(docs: DataFrame, parts: int) -> DataFrame:
             for part, texts in slices(batch):
                 values, ptr = gram_sets(texts)
                 keys = digests(values, ptr)
-                yield record(doc_id=part.column(0), key=keys, n=np.diff(ptr), part=pa.nulls(len(keys), pa.int32()), counted=pa.nulls(len(keys), pa.binary()))
+                yield record(doc_id=part.column(0), key=keys, n=np.diff(ptr), part=((np.arange(rows, rows + len(keys))) % parts).astype(np.int32), counted=pa.nulls(len(keys), pa.binary()))
+                rows += len(keys)
                 for key, a, b in zip(keys.tolist(), ptr[:-1].tolist(), ptr[1:].tolist(), strict=True):
                     if a < b and key not in seen:
                         seen.add(key)
@@ -172,17 +173,21 @@ def described(docs: DataFrame, parts: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, key long, n long, part int, counted binary")
 
 
-def global_order(counted: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """What ``Order`` is made of, from rows (part, counted). To the driver: FILTER_BITS bits, and FREQUENT cells with their counts."""
+def sets_and_counts(known: DataFrame, parts: int) -> DataFrame:
+    """Of the rows of ``described``, dealt out once: those of documents (doc_id, key, n) as they are, and for each part a row (part,
+    bits, listed, counts) with its share of the filter and its most frequent cells."""
     most, bits = -(-FREQUENT // parts), FILTER_BITS // parts // 8 * 8
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, part = [], None
         for batch in batches:
-            for raw in batch.column(1).to_pylist():
+            rows = batch.filter(batch.column(4).is_null())
+            none = pa.nulls(rows.num_rows, pa.binary())
+            yield record(doc_id=rows.column(0), key=rows.column(1), n=rows.column(2), part=rows.column(3), bits=none, listed=none, counts=none)
+            for raw in batch.column(4).drop_null().to_pylist():
                 steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
                 found.append(np.cumsum(steps, dtype=np.uint32))
-            part = batch.column(0)[0].as_py()
+                part = batch.column(3)[0].as_py()
         if part is None:
             return
         cell = np.concatenate(found)
@@ -196,10 +201,17 @@ def global_order(counted: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray
             mask[place] = True
         cell, count = cell[count >= SHARED], count[count >= SHARED]
         top = np.lexsort((cell, -count))[:most]
-        yield record(part=pa.array([part], pa.int32()), bits=blobs([np.packbits(mask, bitorder="little").tobytes()]), listed=blobs([(cell[top].astype(U) | U(part << 32)).tobytes()]), counts=blobs([count[top].astype(np.int64).tobytes()]))
+        none = pa.nulls(1, pa.int64())
+        yield record(doc_id=none, key=none, n=none, part=pa.array([part], pa.int32()), bits=blobs([np.packbits(mask, bitorder="little").tobytes()]), listed=blobs([(cell[top].astype(U) | U(part << 32)).tobytes()]), counts=blobs([count[top].astype(np.int64).tobytes()]))
+
+    return known.repartitionById(parts, F.col("part")).mapInArrow(judge, "doc_id long, key long, n long, part int, bits binary, listed binary, counts binary")
 
-    masks, listed, counts = np.zeros((parts, bits // 8), np.uint8), [np.zeros(0, U)], [np.zeros(0, np.int64)]
-    for r in counted.repartitionById(parts, F.col("part")).mapInArrow(judge, "part int, bits binary, listed binary, counts binary").collect():
+
+def global_order(counted: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What ``Order`` is made of, from the parts' rows of ``sets_and_counts``. To the driver: FILTER_BITS bits, and FREQUENT cells (or
+    one for each part) with their counts."""
+    masks, listed, counts = np.zeros((parts, FILTER_BITS // parts // 8), np.uint8), [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    for r in counted.where("bits IS NOT NULL").select("part", "bits", "listed", "counts").collect():
         masks[r["part"]] = np.frombuffer(r["bits"], np.uint8)
         listed.append(np.frombuffer(r["listed"], U))
         counts.append(np.frombuffer(r["counts"], np.int64))
@@ -381,13 +393,12 @@ def jaccard_components(docs: DataFrame, salted: int = SALTED) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = documents(docs)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_of(docs)
     scratch = Scratch(spark)
     store = scratch.store
-    known = store(described(docs, parts), "described")
-    order = spark.sparkContext.broadcast(global_order(known.where("part IS NOT NULL").select("part", "counted"), parts))
-    sets = store(known.where("part IS NULL").select("doc_id", "key", "n"), "sets")
-    scratch.clear("sets")  # the counts are as large as half of the texts
+    known = store(sets_and_counts(described(docs, parts), parts), "sets")
+    order = spark.sparkContext.broadcast(global_order(known, parts))
+    sets = known.where("bits IS NULL").select("doc_id", "key", "n")
     classes = store(sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")).where("rep IS NOT NULL"), "classes")
     met = store(meetings(prefix_entries(docs, order, salted)), "met")
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .scan import Texts, U, blobs, documents, grams, mix, moved, prefix_sums, ranges, read_table, record, slices, spread, starts_within
+from .scan import Texts, U, blobs, documents, grams, mix, parts_of, moved, prefix_sums, ranges, read_table, record, slices, spread, starts_within
 
 WINDOW, GRAM = 20, 5
 #: Bits of the filter of repeated anchors.
@@ -226,7 +226,7 @@ def searched(seg: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, spans) of all windows that also start earlier; a document may have several rows."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_of(docs)
     docs = docs.where("doc_id IS NOT NULL")
     bits = FILTER_BITS // parts // 8 * 8
     told = spark.sparkContext.broadcast(repeated_anchors(docs, parts, max(HOT, docs.count() // HOT_SHARE)))

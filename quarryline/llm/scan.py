@@ -9,7 +9,6 @@ from __future__ import annotations
 import ctypes
 import sys
 import types
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_folder
+
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 STEP = 0xD1342543DE82EF95
@@ -228,17 +229,20 @@ def documents(df: DataFrame, *more: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset, as in tests, under a folder that is then set as it."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        top = found.get() if found.isDefined() else None
-    if not top:
-        import tempfile
-
-        top = tempfile.mkdtemp(prefix="quarryline-")
-        spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/quarryline/{uuid.uuid4().hex}"
+    """A new folder under spark.checkpoint.dir."""
+    return shared_folder(spark)
+
+
+#: Stored bytes of input for each part that a task gathers whole, and the most parts.
+PART_BYTES, MOST_PARTS = 64 << 20, 1 << 16
+
+
+def parts_of(rows: DataFrame) -> int:
+    """How many parts work on some rows is dealt out to, so that a part stays of one size however large the input is: the session's
+    number of shuffle partitions, or more by what Spark knows of the input's size."""
+    known = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = known if known < 1 << 58 else 0  # Spark takes what it doesn't know for endless
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(known // PART_BYTES, MOST_PARTS))
 
 
 def stored(df: DataFrame, what: str = "part") -> DataFrame:

@@ -13,7 +13,7 @@ import corpus_pipeline
 from quarryline.llm import op5_language_id as op5
 from quarryline.llm import op7_url_filter as op7
 from quarryline.llm import op10_quality_classifier as op10
-from quarryline.llm.scan import Texts
+from quarryline.llm.scan import PART_BYTES, Texts, parts_of
 
 from . import edge
 from .test_operators import dedup_brute, jaccard_brute
@@ -200,3 +200,11 @@ def test_signs_beyond_the_alphabet_are_others(spark):
     place = {c: i for i, c in enumerate(op7.ALPHABET, 1)}
     for r in rows:
         assert r.s == [0, 0, *(place.get(c, op7.SIZE - 1) for c in r.u.lower())]
+
+
+def test_parts_grow_with_the_input(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    few = parts_of(docs)
+    assert few == int(spark.conf.get("spark.sql.shuffle.partitions")) == parts_of(edge.table(spark))
+    monkeypatch.setattr("quarryline.llm.scan.PART_BYTES", 10_000)
+    assert parts_of(docs) > 2 * few and PART_BYTES > 10_000

@@ -173,8 +173,8 @@ def test_candidates_grow_with_the_members(spark):
         base = edge.prose(31, 100).split()
         rows = [(i, " ".join(w if j != i % 100 and j != (7 * i) % 100 else f"e{i}" for j, w in enumerate(base))) for i in range(copies)]
         docs = spark.createDataFrame(rows, "doc_id long, text string")
-        known = op2.described(docs, 4)
-        order = spark.sparkContext.broadcast(op2.global_order(known.where("part IS NOT NULL").select("part", "counted"), 4))
+        known = op2.sets_and_counts(op2.described(docs, 4), 4)
+        order = spark.sparkContext.broadcast(op2.global_order(known, 4))
         made.append(op2.hub_pairs(op2.meetings(op2.prefix_entries(docs, order))).count())
     assert made[1] <= 7 * made[0] <= 7 * 600
 
@@ -197,8 +197,8 @@ def test_copies_in_many_partitions_meet_once(spark):
     for n in (2, 40):
         rows = [(2 * i + j, edge.prose(40, 30) + " " + edge.prose(41 + j, 30)) for i in range(n) for j in range(2)]
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
-        known = op2.described(docs, 4)
-        order = spark.sparkContext.broadcast(op2.global_order(known.where("part IS NOT NULL").select("part", "counted"), 4))
+        known = op2.sets_and_counts(op2.described(docs, 4), 4)
+        order = spark.sparkContext.broadcast(op2.global_order(known, 4))
         found = op2.meetings(op2.prefix_entries(docs, order))
         assert found.count() == found.select("gram", "key").distinct().count()
         met.append(found.count())
