@@ -23,13 +23,19 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps (those without words go)."""
+    """Documents that the quality classifier keeps.
+
+    Texts without words, null ones included, have the least evidence and go, but where nothing can be learned, all others stay. Rows that
+    repeat are judged alike and stay as often as they occur, also without doc_id. An empty table gives an empty result."""
     docs = docs.select(*COLUMNS)
     return quality.kept_documents(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned; those without a letter, or too far from all centroids, go."""
+    """Documents in a language that was learned; those without a letter, or too far from all centroids, go.
+
+    Null and empty texts have no letter. Rows that repeat are judged alike and stay as often as they occur, also without doc_id. An empty
+    table, or one without a labelled row to learn from, gives an empty result."""
     docs = docs.select(*COLUMNS)
     model = language.fit(docs.where(~language.held_out()))
     rest = [F.col("text").alias("body"), *(F.col(c) for c in COLUMNS[2:])]
@@ -38,7 +44,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id; of rows that repeat a doc_id the least by text, lang,
-    source and n_chars. Rows without doc_id stay."""
+    source and n_chars. Rows without doc_id stay, and texts without words are nobody's duplicates. An empty table gives an empty result."""
     docs = docs.select(*COLUMNS)
     gone = near.jaccard_components(docs).where("doc_id <> component_id").select("doc_id")
     left = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
@@ -50,8 +56,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the words of passages that stand earlier; texts that lose none stay as they are, of the others the kept
-    words are joined by one space."""
+    """All documents without the words of passages that stand earlier; texts that lose none, null ones included, stay as they are, of the
+    others the kept words are joined by one space and counted anew.
+
+    Rows that repeat a doc_id with the same text are one document and get the same result; rows without doc_id stay as they are and
+    count for no one. An empty table gives an empty result."""
     schema = docs.select(*COLUMNS).schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +76,8 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences."""
+    """Pieces of all documents, packed into sequences: at least one for each row, also for a null or empty text (its end sign), a repeated
+    row or one without doc_id. An empty table gives no pieces."""
     return packing.pack_documents(docs)
 
 
