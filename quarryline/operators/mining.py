@@ -586,12 +586,13 @@ def compact(tree):
 SCHEMA = "page_id long, root string, rank int, n_records int, n_hits int, records array<map<string,string>>, error string"
 
 
-def mine_pages(pages: DataFrame, wanted: str | None = None, roots: int = 3) -> DataFrame:
+def mine_pages(pages: DataFrame, wanted: str | None = None, roots: int = 3, seed: str | None = None) -> DataFrame:
     """One row for each of the best roots of each page (page_id, html): its records, how many have a text that fits ``wanted``, or what
-    went wrong. Roots of any width and depth are mined; matching is quadratic in the distinct shapes of their children."""
+    went wrong. With ``seed``, the HTML of one record of any page, records are cut where a child is like the seed's first element. Roots of any width and depth are mined; matching is quadratic in the distinct shapes of their children."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hit = re.compile(wanted) if wanted else None
+        known = parse(seed).kids if seed is not None else None
         for batch in batches:
             rows = []
             for page, html in zip(batch["page_id"], batch["html"], strict=True):
@@ -603,7 +604,7 @@ def mine_pages(pages: DataFrame, wanted: str | None = None, roots: int = 3) -> D
                     continue
                 for rank, root in enumerate(found):
                     try:
-                        records = mine(root)
+                        records = mine(root, known)
                         n = sum(1 for r in records if hit is None or any(hit.search(t) for t in r.values()))
                         rows.append((page, root.path(), rank, len(records), n, records, None))
                     except Exception as e:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as C
+from ..functions import text as T
 from ..functions import urls
 from ..operators import classifier as M
 from ..operators import curation as K
@@ -13,7 +15,7 @@ from ..operators import mining
 from ..operators import pages as P
 from ..operators import relational as R
 from ..sources import warc
-from ..sources.files import shared_folder, stored
+from ..sources.files import read_pages, shared_folder, stored, trimmed_csv, write_lines, write_pages
 from ..streaming import extract as S
 from .corpus import corpus, mentions, registered, sql_words, table
 from .queries import STATS, WITH, WITH_MORE, _built, _sql_count
@@ -158,20 +160,33 @@ def mdr_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 LISTED_ROWS = 50
 
 
-@query(f"""SELECT c_nationkey AS nation, c_custkey // {LISTED_ROWS} AS part, row_number() OVER (PARTITION BY c_nationkey, c_custkey // {LISTED_ROWS} ORDER BY c_custkey) - 1 AS record, c_name AS name, 'no ' || c_custkey AS number,
-  c_mktsegment AS segment FROM customer QUALIFY count(*) OVER (PARTITION BY c_nationkey, c_custkey // {LISTED_ROWS}) > 1""")
-def listing_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _listings(spark: SparkSession, sf_dir: str, seed: str | None = None) -> DataFrame:
     """Records of two elements each, mined from listings that are written from the customers of a nation, below headings and text."""
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.floor(F.col("c_custkey") / LISTED_ROWS).alias("part"), "c_custkey", "c_name", "c_mktsegment")
     cells = F.concat(F.lit("<dt>"), "c_name", F.lit("</dt><dd><i>no "), "c_custkey", F.lit("</i><u>"), "c_mktsegment", F.lit("</u></dd>"))
     rows = c.groupBy("nation", "part").agg(F.array_sort(F.collect_list(F.struct("c_custkey", cells.alias("html")))).alias("rows")).where(F.size("rows") > 1)
     html = F.concat(F.lit("<html><body><h1>List</h1><p>of customers</p><dl>"), F.array_join(F.transform("rows", lambda r: r["html"]), ""), F.lit("</dl></body></html>"))
-    mined = mining.mine_pages(rows.select((F.col("nation").cast("long") * 1_000_000_000 + F.col("part")).alias("page_id"), html.alias("html")), roots=1)
+    mined = mining.mine_pages(rows.select((F.col("nation").cast("long") * 1_000_000_000 + F.col("part")).alias("page_id"), html.alias("html")), roots=1, seed=seed)
     found = mined.select("page_id", F.posexplode("records").alias("record", "r"))
     place = [F.floor(F.col("page_id") / 1_000_000_000).cast("int").alias("nation"), (F.col("page_id") % 1_000_000_000).alias("part")]
     return found.select(*place, F.col("record").cast("long").alias("record"), *(F.col("r")[f"/{t}/text"].alias(n) for t, n in (("dt", "name"), ("dd/i", "number"), ("dd/u", "segment"))))
 
 
+SQL_LISTINGS = f"""SELECT c_nationkey AS nation, c_custkey // {LISTED_ROWS} AS part, row_number() OVER (PARTITION BY c_nationkey, c_custkey // {LISTED_ROWS} ORDER BY c_custkey) - 1 AS record, c_name AS name, 'no ' || c_custkey AS number,
+  c_mktsegment AS segment FROM customer QUALIFY count(*) OVER (PARTITION BY c_nationkey, c_custkey // {LISTED_ROWS}) > 1"""
+
+
+@query(SQL_LISTINGS)
+def listing_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listings(spark, sf_dir)
+
+
+@query(SQL_LISTINGS)
+def listing_by_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, cut by a record of another page."""
+    return _listings(spark, sf_dir, "<dt>name</dt><dd><i>number</i><u>segment</u></dd>")
+
+
 @query()
 def mdr_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each record as nested maps, in JSON, with and without levels of one child."""
@@ -216,6 +231,66 @@ def cdx_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.content_of(index).select("url", F.octet_length("content").alias("size"))
 
 
+def _cdx_lines(pages: DataFrame) -> DataFrame:
+    """Lines of an index in which each page was captured three times, not always with success."""
+    capture = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")
+    rows = pages.select("url", "page_id", capture)
+    status = F.when((F.col("page_id") + F.col("k")) % 3 == 0, 404).when((F.col("page_id") + F.col("k")) % 5 == 0, 301).otherwise(200).cast("string")
+    parts = [urls.url_key(F.col("url")), F.format_string("2024%02d01000000", F.col("k") + 1), F.col("url"), F.lit("text/html"), status, F.lit("D"), F.lit("-"), F.lit("-"), F.lit("10"), (F.col("page_id") * 10 + F.col("k")).cast("string"), F.lit("f.warc.gz")]
+    return rows.where("url NOT LIKE '% %'").select(F.concat_ws(" ", *parts).alias("value"))
+
+
+@query("""WITH c AS (SELECT url, page_id, k, CASE WHEN (page_id + k) % 3 = 0 THEN 404 WHEN (page_id + k) % 5 = 0 THEN 301 ELSE 200 END AS status FROM pages, (SELECT unnest([0, 1, 2]) AS k) WHERE url NOT LIKE '% %')
+SELECT url, printf('2024%02d01000000', k + 1) AS timestamp, page_id * 10 + k AS "offset" FROM c WHERE status = 200 QUALIFY row_number() OVER (PARTITION BY url ORDER BY k, page_id) = 1""")
+def cdx_first_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first successful capture of every page, from an index in text lines."""
+    path = f"{shared_folder(spark)}/lines"
+    write_lines(_cdx_lines(table(spark, sf_dir, "pages")), path)
+    return warc.first_captures(warc.cdx(spark, path), "url").select("url", "timestamp", "offset")
+
+
+@query("SELECT url, CASE WHEN page_id % 4 = 0 THEN '%PDF' ELSE '' END || html AS content, page_id % 4 = 0 AS is_pdf FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1 AND length(url) < 200")
+def pages_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages exported as files that are named after their urls, read again; some begin like a PDF file and are named so."""
+    pages = P.first_of_url(table(spark, sf_dir, "pages")).where("length(url) < 200")
+    content = F.concat(F.when(F.col("page_id") % 4 == 0, "%PDF").otherwise(""), "html").cast("binary")
+    path = f"{shared_folder(spark)}/pages"
+    written = write_pages(pages.select("url", content.alias("content")), path)
+    return read_pages(written.where("error IS NULL"), path).select("url", F.col("content").cast("string").alias("content"), F.endswith("name", F.lit(".pdf")).alias("is_pdf"))
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written with spaces around its values, and read without them."""
+    path = f"{shared_folder(spark)}/csv"
+    padded = [F.concat(F.lit("  "), F.col(c).cast("string"), F.lit(" ")) for c in ("c_custkey", "c_name", "c_mktsegment")]
+    write_lines(table(spark, sf_dir, "customer").select(F.concat_ws(";", *padded).alias("value")), path)
+    return trimmed_csv(spark, path, "c_custkey long, c_name string, c_mktsegment string", ";")
+
+
+@query(SQL_MARKED + " SELECT label::VARCHAR || chr(9) || domain || chr(9) || url AS value FROM marked")
+def tree_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the tree predicts as lines of a file."""
+    rows, training, found = _models(spark, sf_dir)
+    path = f"{shared_folder(spark)}/predictions"
+    write_lines(M.prediction_lines(M.predicted(M.tree(training), rows, found)), path)
+    return spark.read.text(path)
+
+
+_WORDS = "[" + ", ".join(f"'{w}'" for w in C.FEATURE_WORDS) + "]"
+
+
+@query(SQL_MARKED + f""" SELECT page_id, len(list_intersect(list_distinct({sql_words('text')}), {_WORDS}))::DOUBLE AS page_words, (SELECT count(*) FROM (SELECT unnest({_WORDS}) AS w) WHERE contains(lower(k.url), w))::DOUBLE AS url_words
+  FROM (SELECT page_id, text, regexp_replace(url, '#.*$', '') AS url FROM kept) k""")
+def word_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many word features each page has, by its vector; words located in text columns, as the relational tables have them."""
+    found = [f for f in M.features(located=True) if f.kind == "word"]
+    rows = _built(spark, sf_dir).select("page_id", "url", T.padded(F.array_sort("distinct_words")).alias("distinct_words_text"))
+    half = len(C.FEATURE_WORDS)
+    total = lambda start: F.aggregate(F.slice("v", start, half), F.lit(0.0), lambda acc, x: acc + x)
+    return M.assembled(rows, found).select("page_id", vector_to_array("features").alias("v")).select("page_id", total(1).alias("page_words"), total(half + 1).alias("url_words"))
+
+
 @query(WITH + "SELECT page_id, url, patent_number_full AS number FROM mention")
 def streaming_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions of the corpus, found by a stream over files that were written before."""

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -148,25 +150,33 @@ def write_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").text(path)
 
 
+def place(path: str) -> tuple[FileSystem, str]:
+    """The file system of a path and the path in it."""
+    if re.match(r"file:/(?!/)", path):
+        path = "file://" + path[5:]
+    return FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), os.path.abspath(path))
+
+
 def write_pages(rows: DataFrame, path: str) -> DataFrame:
-    """Writes the content of each row (url, content) to a file named after its url, on a mounted store. Returns (url, name, error): what
-    can't be written, as its name is too long, say, has an error and stops nothing. A file is whole or not there, also if a task runs
-    twice; of rows with one url any may be the one that stays."""
+    """Writes the content of each row (url, content) to a file named after its url, in any file system of pyarrow's. Returns (url, name,
+    error): what can't be written, as its name is too long, say, has an error and stops nothing. A file is whole or not there, also if a
+    task runs twice; of rows with one url any may be the one that stays."""
 
     def run(batches):
-        os.makedirs(path, exist_ok=True)
+        system, folder = place(path)
+        system.create_dir(folder)
         for pdf in batches:
             errors = []
             for name, content in zip(pdf["name"], pdf["content"], strict=True):
-                part = f"{path}/.{uuid.uuid4().hex}"
+                part = f"{folder}/.{uuid.uuid4().hex}"
                 try:
-                    with open(part, "wb") as out:
+                    with system.open_output_stream(part, compression=None) as out:
                         out.write(content or b"")
-                    os.replace(part, f"{path}/{name}")
+                    system.move(part, f"{folder}/{name}")
                     errors.append(None)
                 except (OSError, ValueError) as e:
-                    if os.path.exists(part):
-                        os.remove(part)
+                    with contextlib.suppress(OSError):
+                        system.delete_file(part)
                     errors.append(str(e))
             yield pdf[["url", "name"]].assign(error=errors)
 
@@ -174,6 +184,26 @@ def write_pages(rows: DataFrame, path: str) -> DataFrame:
     return stored(named.mapInPandas(run, "url string, name string, error string"), "written")
 
 
+def read_pages(names: DataFrame, path: str) -> DataFrame:
+    """(name, url, content) of pages that ``write_pages`` has written, from their names (name); null content where there is no file.
+    Their names have colons, which not every reader takes."""
+
+    def run(batches):
+        system, folder = place(path)
+        for pdf in batches:
+            content = []
+            for name in pdf["name"]:
+                try:
+                    with system.open_input_file(f"{folder}/{name}") as f:
+                        content.append(f.read())
+                except OSError:
+                    content.append(None)
+            yield pdf[["name"]].assign(content=content)
+
+    read = names.select("name").mapInPandas(run, "name string, content binary")
+    return read.select("name", urls.url_of_filename(F.col("name")).alias("url"), "content")
+
+
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of each file under a folder."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")

@@ -21,12 +21,13 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
+from pyarrow.fs import FileSelector, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..functions import urls
+from .files import place
 
 SCHEMA = "file string, offset long, within long, url string, warc_type string, crawl_date timestamp, http_status int, mime string, http_header string, content binary"
 BLOCK = 1 << 20
@@ -35,13 +36,6 @@ SPLIT = 64 << 20
 MAGIC = b"\x1f\x8b\x08"
 
 
-def place(path: str) -> tuple[FileSystem, str]:
-    """The file system of a path and the path in it."""
-    if re.match(r"file:/(?!/)", path):
-        path = "file://" + path[5:]
-    return FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), os.path.abspath(path))
-
-
 def archives(path: str) -> list[tuple[str, int]]:
     """Names and sizes of a file, of the archives in a folder, or of those that fit a glob. What is being written begins with _ or a dot."""
     system, at = place(path)
@@ -439,6 +433,12 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def first_captures(index: DataFrame, by: str = "url_key") -> DataFrame:
+    """The first successful capture of each key (or of each url); captures of one are summed up where they are."""
+    row = F.struct(*(F.col(f"`{c}`") for c in index.columns))
+    return index.where(good()).groupBy(by).agg(F.min_by(row, F.struct("timestamp", "file", "offset")).alias("r")).select("r.*")
+
+
 def content_of(index: DataFrame, archive: DataFrame | None = None) -> DataFrame:
     """Captures of an index with their content: each is read at its place, not by a scan of the archives. Null if nothing is there, or
     no such file, or no offset. In a store that only Spark can open, give the archive's records: they are joined by place."""
