@@ -36,16 +36,16 @@ def domain_names(mentions: DataFrame, registered: DataFrame) -> DataFrame:
 def domain_stats(names: DataFrame, domain_rows: DataFrame | None = None, top: int = 5) -> DataFrame:
     """Concentration of names in each domain: shares of the 1 to ``top`` largest, and the Herfindahl index.
 
-    The largest counts are ranked within a domain; a domain's names are summed up before that, so its rows are its names only.
+    Sums are partial ones, and only the largest counts of a domain are ranked: a limit for each domain comes before the exchange, so a
+    domain that most names are of isn't brought to one task.
     """
-    rank = Window.partitionBy("domain").orderBy(F.desc("n"), "han_name")
-    whole = Window.partitionBy("domain")
-    ranked = names.withColumns({"rank": F.row_number().over(rank), "total": F.sum("n").over(whole)})
-    share = [F.sum(F.when(F.col("rank") <= k, F.col("n")).otherwise(0)) / F.first("total") for k in range(1, top + 1)]
-    out = ranked.groupBy("domain").agg(
-        F.sum("n").alias("num_distinct_matched_patents"), F.count("*").alias("num_distinct_han_names"), *(s.alias(f"share_top{k + 1}") for k, s in enumerate(share)),
-        F.sum(F.pow(F.col("n") / F.col("total"), 2)).alias("han_names_herfindahl_index"),
-    )
+    first = Window.partitionBy("domain").orderBy(F.desc("n"), "han_name")
+    sums = names.groupBy("domain").agg(F.sum("n").alias("num_distinct_matched_patents"), F.count("*").alias("num_distinct_han_names"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    largest = names.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top)
+    largest = largest.groupBy("domain").agg(*(F.sum(F.when(F.col("rank") <= k, F.col("n")).otherwise(0)).alias(f"n_top{k}") for k in range(1, top + 1)))
+    total = F.col("num_distinct_matched_patents")
+    shares = [(F.col(f"n_top{k}") / total).alias(f"share_top{k}") for k in range(1, top + 1)]
+    out = sums.join(largest, "domain").select("domain", total, "num_distinct_han_names", *shares, (F.col("squares") / (total * total)).alias("han_names_herfindahl_index"))
     if domain_rows is None:
         return out
     out = out.join(domain_rows.select("domain", "num_distinct_patents"), "domain", "left")

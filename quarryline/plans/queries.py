@@ -135,17 +135,30 @@ def page_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.page_rows(_built(spark, sf_dir)).select("page_id", "num_patents", "patent_numbers_json")
 
 
-@query(WITH + rf""", t AS (
+#: ``f``: a 1 for each number among the tokens of a page, a 0 for each other token.
+SQL_FLAGS = rf""", t AS (
   SELECT page_id, regexp_replace(regexp_replace(regexp_replace(
     replace(regexp_replace(replace(text, ' ', '  '), {quoted('(^|[ :])' + SQL_NUMBER + "([,.';:()]?(?: |$))")}, '\1 {C.MARKER} \2', 'g'), '  ', ' '),
     '(?i)\b(patents?|US|U.?S.?)\b', ' ', 'g'), '[^\p{{L}}\p{{M}}\p{{Nl}}0-9]', ' ', 'g'), ' +', ' ', 'g') AS s FROM kept),
-  f AS (SELECT page_id, array_to_string(list_transform(string_split(rtrim(s), ' '), lambda x: CASE WHEN x = '{C.MARKER}' THEN '1' ELSE '0' END), '') AS f FROM t)
-SELECT page_id, coalesce(list_max(list_transform(regexp_extract_all(f, '1+'), lambda x: length(x))), 0)::INT AS longest, len(regexp_extract_all(f, '1+'))::INT AS n_runs FROM f""")
+  f AS (SELECT page_id, array_to_string(list_transform(string_split(rtrim(s), ' '), lambda x: CASE WHEN x = '{C.MARKER}' THEN '1' ELSE '0' END), '') AS f FROM t)"""
+
+
+@query(WITH + SQL_FLAGS + r""" SELECT page_id, coalesce(list_max(list_transform(regexp_extract_all(f, '1+'), lambda x: length(x))), 0)::INT AS longest, len(regexp_extract_all(f, '1+'))::INT AS n_runs FROM f""")
 def page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = P.extract(corpus(spark, sf_dir)).select("page_id", T.marked_tokens(F.col("text")).alias("tokens"))
     return t.select("page_id", T.longest_run(F.col("tokens")).alias("longest"), F.size(T.runs(F.col("tokens"))).alias("n_runs"))
 
 
+@query(WITH + SQL_FLAGS + """, p AS (SELECT page_id, regexp_extract_all(f, '1+|0+') AS p FROM f),
+i AS (SELECT page_id, p, unnest(range(1, len(p) + 1)) AS i FROM p),
+s AS (SELECT page_id, coalesce(list_sum(list_transform(p[1 : i - 1], lambda x: length(x))), 0)::INT AS start, length(p[i])::INT AS length FROM i WHERE p[i] LIKE '1%')
+SELECT page_id, start, start + length - 1 AS "end", length FROM s""")
+def page_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where runs of numbers start and end among the tokens of a page."""
+    rows = P.extract(corpus(spark, sf_dir)).select("page_id", F.explode(T.runs(T.marked_tokens(F.col("text")))).alias("r"))
+    return rows.select("page_id", "r.*")
+
+
 @query(WITH + "SELECT page_id, url, domain, position::INT AS position, false AS explicit_us, patent_number, patent_number_full FROM mention")
 def page_patents(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The corpus has no urls with fragments that matter here: mentions keep the url as it is given.
