@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import spread_out
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An open element of the key ends when one of the values starts.
 CLOSED_BY = {"p": frozenset("p div ul ol table h1 h2 h3 h4 h5 h6 section article form".split()), "li": frozenset({"li"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "option": frozenset({"option"})}
@@ -612,7 +614,7 @@ def mine_pages(pages: DataFrame, wanted: str | None = None, roots: int = 3, seed
             if rows:
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return pages.select("page_id", "html").mapInPandas(run, SCHEMA)
+    return spread_out(pages.select("page_id", "html")).mapInPandas(run, SCHEMA)
 
 
 def text_nodes(pages: DataFrame) -> DataFrame:

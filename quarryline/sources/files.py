@@ -122,6 +122,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/quarryline/{uuid.uuid4().hex}"
 
 
+def spread_out(rows: DataFrame) -> DataFrame:
+    """Rows over all cores, for work that takes long for its bytes: inputs of fewer partitions than there are cores are dealt out."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.rdd().getNumPartitions() < cores else rows
+
+
 def write_ordered(rows: DataFrame, path: str, *order: Column) -> None:
     """Rows in one order over all files of a folder: each file is sorted, and stands after those with smaller numbers."""
     rows.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
