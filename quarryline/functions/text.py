@@ -67,13 +67,13 @@ def shorter_context(context: Column, old: int, new: int) -> Column:
     return F.substring(context, F.lit(cut + 1), F.greatest(F.length(context) - 2 * cut, F.lit(0)))
 
 
-def cut_context(context: Column, hit: Column, new: int) -> Column:
-    """A context of a match cut down to ``new`` characters on either side; it may be shorter on one side, where the text begins or ends.
-    The match is the part of the context whose surroundings are as even as the text allows, the first of such."""
+def cut_context(context: Column, hit: Column, old: int, new: int) -> Column:
+    """A context of a match cut down from ``old`` to ``new`` characters on either side. One side may be shorter, where the text begins or
+    ends: the match stands after ``old`` characters, or else before as many. If both are shorter, it is the first place that has it."""
     n, size = F.length(context), F.length(hit)
-    # Without a cut end both sides are equally long, so the middle place is tried first.
-    middle = F.floor((n - size) / 2).cast("int") + 1
-    at = F.when(F.substring(context, middle, size) == hit, middle).otherwise(F.instr(context, hit))
+    after, before = F.lit(old + 1), F.greatest(n - old - size + 1, F.lit(1))
+    is_at = lambda k: F.substring(context, k, size) == hit
+    at = F.when(is_at(after) & (n <= 2 * old + size), after).when(is_at(before), before).otherwise(F.instr(context, hit))
     start = F.greatest(at - new, F.lit(1))
     return F.substring(context, start, at - start + size + new)
 

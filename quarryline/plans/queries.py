@@ -126,7 +126,7 @@ def page_matches_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shorter_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contexts of ten characters cut down to four; at the ends of a text, where there are fewer, they are taken anew."""
     rows = page_matches_context(spark, sf_dir).select("page_id", "position", "text", "context")
-    return rows.select("page_id", "position", T.cut_context(F.col("context"), F.col("text"), 4).alias("context"))
+    return rows.select("page_id", "position", T.cut_context(F.col("context"), F.col("text"), 10, 4).alias("context"))
 
 
 @query(WITH_MORE + SQL_PARTS + """ SELECT page_id, count(*)::INT AS num_patents, '[' || string_agg('{"text":' || to_json(text) || ',"context":' || to_json(context) || '}', ',' ORDER BY position) || ']' AS patent_numbers_json FROM hit GROUP BY page_id""")

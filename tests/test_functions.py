@@ -111,3 +111,11 @@ def test_domain_gives_way_and_needs_no_join(spark):
     out = urls.with_top_private_domain(rows, F.col("h"))
     assert [(r.domain, r._labels) for r in out.collect()] == [("b.co.uk", 1), ("", 2), ("www.ck", 3), ("", 4)]
     assert "Join" not in out._jdf.queryExecution().toString()
+
+
+def test_contexts_are_cut_down(spark):
+    """At the start and the end of a text one side is shorter, and what stands beside a match may look like it."""
+    text = "1234567 1234567 and EP7654321 at the end 7654321"
+    rows = spark.createDataFrame([(text,)], "t string").select(F.explode(T.matches(F.col("t"), r"\d{7}", 10)).alias("m")).select("m.text", "m.context")
+    got = [r[0] for r in rows.select(T.cut_context(F.col("context"), F.col("text"), 10, 3)).collect()]
+    assert got == ["1234567 12", "67 1234567 an", " EP7654321 at", "nd 7654321"]
