@@ -63,6 +63,8 @@ def bound(value: Column, fn: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), fn)[0]
 
 
+#: Host patterns up to which one regex is faster than the lookup (by half for two dozen).
+FEW = 64
 #: A host pattern that the table of names can hold: subdomains, literal labels, a last label of any two characters, or without it.
 PLAIN = re.compile(r"(?P<sub>\(\.\+\\\.\)\?|\.\+\\\.)?(?P<name>[\w-]+(?:\\\.[\w-]+)*)(?P<two>\\\.\.\.|\(\\\.\.\.\)\?)?")
 
@@ -86,13 +88,15 @@ def host_names(patterns: Iterable[str]) -> tuple[list[tuple[str, str]], list[str
 def discarded(url: Column, patterns: tuple[str, ...]) -> Column:
     """Whether the whole host fits any pattern; what has no host isn't discarded.
 
-    Patterns that are plain names with or without subdomains are looked up label by label, whatever their number; the others, and hosts
-    with empty labels, are held against one regex.
+    Many patterns that are plain names with or without subdomains are looked up label by label, whatever their number; the others, hosts
+    with empty labels, and lists of up to ``FEW`` patterns are held against one regex.
     """
     if not patterns:
         return F.lit(False)
     either = lambda some: F.regexp_like(at, F.lit("^(?:" + "|".join(f"(?:{p})" for p in some) + ")$"))
     at = host(url)
+    if len(patterns) <= FEW:
+        return F.coalesce(either(patterns), F.lit(False))
     listed, rest = host_names(patterns)
     names = Names(listed)
 
