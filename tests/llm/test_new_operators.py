@@ -194,6 +194,17 @@ def test_drifted_rewrite(spark):
         assert r.rewritten or (r.path == before[r.file_no].path and os.stat(r.path).st_mtime_ns == stamp[r.file_no])
 
 
+def test_rewrite_of_a_whole_table(spark):
+    """The registered query on the table as it is, and the final folder as Spark reads it."""
+    path = "/root/testdata/sf0.001/clients.parquet"
+    columns = pq.read_table(path)
+    rows = list(zip(*(columns.column(n).to_pylist() for n in NAMES), strict=True))
+    found = sorted(op13.op13_schema_rewrite(spark, "/root/testdata/sf0.001").collect())
+    assert [(*r[:8], r[9]) for r in found] == rewrite_brute(rows, 250, "19:")
+    back = spark.read.parquet(os.path.dirname(found[0].path))
+    assert back.count() == len(rows) and back.columns == NAMES and dict(back.dtypes)["nation_id"] == "bigint"
+
+
 def test_drifted_rewrite_of_edge_tables(spark):
     empty = spark.createDataFrame([], CLIENTS)
     assert op13.drifted_rewrite(empty).count() == 0
