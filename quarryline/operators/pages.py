@@ -30,6 +30,13 @@ def extract(pages: DataFrame, patterns: Patterns | None = None) -> DataFrame:
     return hits.where(F.size("numbers") > 0)
 
 
+def flagged(pages: DataFrame, patterns: Patterns | None = None) -> DataFrame:
+    """All pages with ``has_keyword`` and ``has_number``, to be stored: scans of what is stored then leave out pages by a flag. What can't
+    be judged has neither; flags of those names give way."""
+    p = patterns or Patterns()
+    return pages.withColumns({"has_keyword": safely(F.regexp_like("text", F.lit(p.keyword))), "has_number": safely(F.regexp_like("text", F.lit(p.number)))})
+
+
 def lines(pages: DataFrame, patterns: Patterns | None = None) -> DataFrame:
     """One line ``url TAB number TAB number ...`` for each page."""
     return extract(pages, patterns).select(F.concat_ws("\t", F.col("url"), F.array_join("numbers", "\t")).alias("value"))

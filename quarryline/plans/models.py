@@ -15,9 +15,9 @@ from ..operators import mining
 from ..operators import pages as P
 from ..operators import relational as R
 from ..sources import warc
-from ..sources.files import read_pages, shared_folder, stored, trimmed_csv, write_lines, write_pages
+from ..sources.files import cached, read_pages, shared_folder, stored, trimmed_csv, write_lines, write_pages
 from ..streaming import extract as S
-from .corpus import corpus, mentions, registered, sql_words, table
+from .corpus import SQL_BOUNDED_NUMBER, corpus, mentions, quoted, registered, sql_words, table
 from .queries import STATS, WITH, WITH_MORE, _built, _sql_count
 from .registry import query
 
@@ -259,6 +259,13 @@ def pages_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_pages(written.where("error IS NULL"), path).select("url", F.col("content").cast("string").alias("content"), F.endswith("name", F.lit(".pdf")).alias("is_pdf"))
 
 
+@query(WITH + f" SELECT page_id, url, text, len(regexp_extract_all(replace(text, ' ', '  '), {quoted(SQL_BOUNDED_NUMBER)}, 1)) > 0 AS has_number FROM corpus WHERE regexp_matches(text, {quoted(C.KEYWORD)})")
+def flagged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages stored with flags, made once and read by their flag."""
+    pages = cached(spark, f"{shared_folder(spark)}/flagged", lambda: P.flagged(corpus(spark, sf_dir)))
+    return pages.where("has_keyword").select("page_id", "url", "text", "has_number")
+
+
 @query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table written with spaces around its values, and read without them."""

@@ -278,3 +278,10 @@ def test_query_is_its_sql(spark, tables, name):
     got = registry.QUERIES[name](spark, SF)
     want = tables.sql(registry.ORACLES[name])
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
+
+
+def test_flags_reach_the_scan(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "patent 1234567"), (2, "patent"), (3, "1234567"), (4, None)], "page_id int, text string")
+    found = files.cached(spark, str(tmp_path / "flagged"), lambda: pages.flagged(rows))
+    assert sorted((r.page_id, r.has_keyword, r.has_number) for r in found.collect()) == [(1, True, True), (2, True, False), (3, False, True), (4, False, False)]
+    assert "EqualTo(has_keyword,true)" in found.where("has_keyword")._jdf.queryExecution().executedPlan().toString()
