@@ -133,3 +133,17 @@ def test_marks_tell_columns_apart():
     template = [mining.Column.of(mining.parse("<li><b class=n>a</b><b class=p>1</b></li>").kids[0], 0)]
     mining.place(template, mining.parse("<li><b class=p>2</b></li>").kids, 1, True)
     assert mining.texts(template, 2) == [{"/li/b[1]/text": "a", "/li/b[2]/text": "1"}, {"/li/b[2]/text": "2"}]
+
+
+def test_results_are_handed_on_in_slices():
+    """However many pages a batch has, a task holds the results of some of them only."""
+    import pyarrow as pa
+
+    html = "<ul>" + "".join(f"<li><b>k{i}</b>{'v' * 2000}</li>" for i in range(50)) + "</ul>"
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(100)), "html": [html] * 100})
+    done = []
+    found = mining.in_slices(iter([batch]), lambda page, html: (done.append(page), [(page, "/ul", 0, 1, 1, [[("/b", "k")]], None)])[1], mining.FIELDS)
+    first = next(found)
+    assert len(done) < 20 and first.num_rows == len(done)
+    rows = [*first.to_pylist(), *(r for b in found for r in b.to_pylist())]
+    assert [r["page_id"] for r in rows] == list(range(100)) and rows[-1]["records"] == [[("/b", "k")]]
