@@ -147,3 +147,33 @@ def test_results_are_handed_on_in_slices():
     assert len(done) < 20 and first.num_rows == len(done)
     rows = [*first.to_pylist(), *(r for b in found for r in b.to_pylist())]
     assert [r["page_id"] for r in rows] == list(range(100)) and rows[-1]["records"] == [[("/b", "k")]]
+
+
+def test_pages_of_one_build_are_cut_once(monkeypatch):
+    """Roots and records are those of each page by itself, but are worked out once for a build."""
+    calls = []
+    plain = mining.template_of
+    monkeypatch.setattr(mining, "template_of", lambda *a: (calls.append(1), plain(*a))[1])
+    r, known = random.Random(7), mining.Known()
+    htmls = [f"<body><h1>n{n}</h1><ul>" + "".join(f"<li class={'xy'[i % 2]}><b>k{n}</b>{i}</li>" for i in range(6)) + "</ul></body>" for n in range(50)]
+    found = [[(path, known.mine(nodes, at)) for at, path in known.roots(nodes, 3)] for nodes in (known.page(mining.parse(h)) for h in htmls)]
+    assert 0 < len(calls) == len(found[0])
+    htmls += [f"<ul>{''.join(page(r, 1) for _ in range(4))}</ul><text>{page(r, 2)}</text>" for _ in range(40)]
+    monkeypatch.setattr(mining, "KEPT", 500)  # what is kept is forgotten several times
+    for h in htmls:
+        nodes = known.page(mining.parse(h))
+        want = [(root.path(), [list(x.items()) for x in mining.mine(root)]) for root in mining.candidate_roots(mining.parse(h))[:3]]
+        assert [(path, known.mine(nodes, at)) for at, path in known.roots(nodes, 3)] == want
+        assert known.kept < 500 + 10 * len(nodes) + 1000
+
+
+def test_few_and_many_are_compared_alike(monkeypatch):
+    for root in roots(30, 3):
+        sims, kinds = mining.similarities(root.kids)
+        cut = mining.best_division(sims, kinds, mining.clusters(sims, kinds))
+        monkeypatch.setattr(mining, "FEW_SHAPES", 0)
+        monkeypatch.setattr(mining, "FEW_PAIRS", 0)
+        same, kinds = mining.similarities(root.kids)
+        assert (sims == same).all() and cut == mining.best_division(same, kinds, mining.clusters(same, kinds))
+        assert all(mining.simple_match(a, b) == plain_simple(a, b) for a, b in itertools.combinations(root.kids[:4], 2))
+        monkeypatch.undo()
