@@ -155,3 +155,13 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         with pytest.raises(ValueError, match="checkpoint"):
             files.shared_folder(Session())
+
+
+def test_long_work_is_dealt_out_by_size(spark, tmp_path, monkeypatch):
+    """One row group is one task, however large; what takes long for its bytes is dealt out in parts of a bounded size."""
+    spark.range(4000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("html")).coalesce(1).write.parquet(str(tmp_path / "p"))
+    rows = spark.read.parquet(str(tmp_path / "p"))
+    monkeypatch.setattr(files, "SPREAD_BYTES", 20_000)
+    parts = files.spread_out(rows).rdd.glom().map(len).collect()
+    assert len(parts) > 8 and sum(parts) == 4000 and max(parts) < 1000
+    assert files.spread_out(spark.createDataFrame([(1,)], "a long")).rdd.getNumPartitions() <= 8  # of unknown size
