@@ -177,3 +177,21 @@ def test_few_and_many_are_compared_alike(monkeypatch):
         assert (sims == same).all() and cut == mining.best_division(same, kinds, mining.clusters(same, kinds))
         assert all(mining.simple_match(a, b) == plain_simple(a, b) for a, b in itertools.combinations(root.kids[:4], 2))
         monkeypatch.undo()
+
+
+def test_texts_are_handed_on_in_slices():
+    """The function that finds texts holds those of some pages of a batch only."""
+    import pyarrow as pa
+
+    class Pages:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    html = "<ul>" + "".join(f"<li><b>k{i}</b>{'v' * 2000}</li>" for i in range(50)) + "</ul>"
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(100)), "html": [html] * 99 + [None]})
+    found = [b.to_pylist() for b in mining.text_nodes(Pages())(iter([batch]))]
+    assert max(len(b) for b in found) < 2000 and sum(len(b) for b in found) == 99 * 100
+    assert found[0][:2] == [{"page_id": 0, "path": "/ul/li[1]/b", "text": "k0"}, {"page_id": 0, "path": "/ul/li[1]", "text": "v" * 2000}]
