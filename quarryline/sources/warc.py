@@ -21,6 +21,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow.fs import FileSelector, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +31,13 @@ from ..functions import urls
 from .files import place
 
 SCHEMA = "file string, offset long, within long, url string, warc_type string, crawl_date timestamp, http_status int, mime string, http_header string, content binary"
+FIELDS = pa.schema([
+    ("file", pa.string()), ("offset", pa.int64()), ("within", pa.int64()), ("url", pa.string()), ("warc_type", pa.string()), ("crawl_date", pa.timestamp("us", "UTC")),
+    ("http_status", pa.int32()), ("mime", pa.string()), ("http_header", pa.string()), ("content", pa.binary()),
+])
 BLOCK = 1 << 20
+#: Bytes of content and records that a task holds before it hands them on; a record stays whole.
+SLICE, SLICE_ROWS = 4 << 20, 1000
 #: Bytes of a compressed archive that one task reads, about.
 SPLIT = 64 << 20
 MAGIC = b"\x1f\x8b\x08"
@@ -251,6 +258,23 @@ def records_between(file: str, source, start: int, end: int) -> Iterator[tuple]:
             break
 
 
+def in_slices(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Records as Arrow batches of a bounded size, so that what a task holds doesn't grow with the archive."""
+    some, held = [], 0
+
+    def handed_on() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), FIELDS, strict=True)], schema=FIELDS)
+
+    for row in rows:
+        some.append(row)
+        held += len(row[-1] or b"")
+        if held >= SLICE or len(some) == SLICE_ROWS:
+            yield handed_on()
+            some, held = [], 0
+    if some:
+        yield handed_on()
+
+
 def record_at(file: str, read, offset: int, within: int) -> tuple | None:
     """The record at a place; ``read`` gives bytes from ``offset`` on."""
     for row in records_of(file, read):
@@ -292,11 +316,11 @@ class Reader(DataSourceReader):
             found += [Range(path, start, min(size, start + step)) for start in range(0, max(size, 1), step)]
         return found or [Range("", 0, 0)]
 
-    def read(self, partition: Range) -> Iterator[tuple]:
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if partition.path:
             system, at = place(partition.path)
             with system.open_input_file(at) as source:
-                yield from records_between(partition.path, source, partition.start, partition.end)
+                yield from in_slices(records_between(partition.path, source, partition.start, partition.end))
 
 
 @dataclass

@@ -165,3 +165,16 @@ def test_long_work_is_dealt_out_by_size(spark, tmp_path, monkeypatch):
     parts = files.spread_out(rows).rdd.glom().map(len).collect()
     assert len(parts) > 8 and sum(parts) == 4000 and max(parts) < 1000
     assert files.spread_out(spark.createDataFrame([(1,)], "a long")).rdd.getNumPartitions() <= 8  # of unknown size
+
+
+def test_records_are_handed_on_in_slices(archive, tmp_path):
+    """A task holds some records only, however many its range has."""
+    path = str(tmp_path / "many.warc.gz")
+    with open(path, "wb") as f:
+        f.write(b"".join(member(f"http://h/{i}", b"HTTP/1.1 200 OK\r\n\r\n" + bytes([i]) * 1_000_000) for i in range(20)))
+    reader = warc.Reader(path, 64 << 20)
+    batches = [b for part in reader.partitions() for b in reader.read(part)]
+    assert max(b.num_rows for b in batches) <= 5 and [u for b in batches for u in b.column("url").to_pylist()] == [f"http://h/{i}" for i in range(20)]
+    small, want = archive
+    reader = warc.Reader(small, 64 << 20)
+    assert [(r["url"], r["content"]) for b in reader.read(reader.partitions()[0]) for r in b.to_pylist()] == want
